@@ -93,7 +93,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             t, key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(t) != 0)) + 1
             starts, ends = np.append(0, cuts), np.append(cuts, len(fp))
-            out = [e for a, b in zip(starts[(many := ends - starts > 1)].tolist(), ends[many].tolist(), strict=True) for e in forest(fp[a:b], radius)]
+            many = ends - starts > 1
+            out = [e for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True) for e in forest(fp[a:b], radius)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
 
