@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,7 +27,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 2
     """Cuts record batches so that the column's values take about ``limit`` bytes in each; a longer value comes alone."""
     for batch in batches:
         size = batch.column(column).cast(pa.large_string())
-        ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(size), 0)).to_pylist()
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(size), 0)).to_pylist()
         start = base = 0
         for k, end in enumerate(ends):
             if k > start and end - base > limit:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,18 +104,16 @@ class Pack:
     """The documents of a pack, in the order of their ids and texts' hashes, and their segments."""
 
     def __init__(self, table: pa.Table, buckets: int):
-        ids = table.column("id").combine_chunks()
-        self.rows = table.take(pa.compute.sort_indices(table, sort_keys=[("id", "ascending"), ("tag", "ascending")]))
-        del ids
+        self.rows = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("tag", "ascending")]))
         texts = self.rows.column("text").cast(pa.large_binary()).combine_chunks()
         texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        texts = pa.compute.fill_null(texts, b"")
+        texts = pc.fill_null(texts, b"")
         offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
         data = texts.buffers()[2]
         self.text = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
         self.ends = offsets[1:] - offsets[0]
         self.known = self.rows.column("id").is_valid().to_numpy()
-        self.ids = pa.compute.fill_null(self.rows.column("id"), 0).to_numpy().astype(np.int64)
+        self.ids = pc.fill_null(self.rows.column("id"), 0).to_numpy().astype(np.int64)
         h, first, last = segments(self.text, self.ends)
         doc = np.searchsorted(self.ends, first, "right")
         known = self.known[doc]  # a row without an id is neither before nor behind another
@@ -130,8 +129,8 @@ class Pack:
         np.maximum.at(high, self.which, self.doc)
         several = self.ids[np.minimum(low, len(self.ids) - 1)] != self.ids[high] if len(low) else low < high
         order = np.argsort(self.bucket, kind="stable")
-        numbers, cuts = np.unique(self.bucket[order], return_index=True)
-        for b, own in zip(numbers.tolist(), np.split(order, cuts[1:]), strict=True):
+        for b, a, z in runs(self.bucket[order].astype(np.int64)):
+            own = order[a:z]
             yield b, pack_blob(np.diff(self.distinct[own], prepend=np.uint64(0)), np.packbits(several[own]))
 
     def chosen(self, flags: dict[int, bytes]) -> None:
@@ -181,6 +180,8 @@ class Pack:
 def runs(values: np.ndarray) -> list[tuple[int, int, int]]:
     """value, start and end of each run."""
     heads = np.flatnonzero(np.diff(values, prepend=-1))
+    if not len(heads):
+        return []
     return [(int(values[a]), int(a), int(z)) for a, z in zip(heads, [*heads[1:], len(values)], strict=True)]
 
 
@@ -309,7 +310,7 @@ def _answers(table: pa.Table) -> pa.Table:
 
 
 def _mail(table: pa.Table, kind: int) -> dict[int, bytes]:
-    own = table.filter(pa.compute.equal(table.column("kind"), kind))
+    own = table.filter(pc.equal(table.column("kind"), kind))
     return dict(zip(own.column("bucket").to_pylist(), own.column("blob").to_pylist(), strict=True))
 
 

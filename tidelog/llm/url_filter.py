@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 #: Fixed values: (verdict, host, path).
 FIXED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 LABEL = "label=block"
-#: Share of the labelled URLs that must hold a rule's tokens and the label, share of those with the tokens that must have it, and tokens in a rule.
-SUPPORT, CONFIDENCE, TOKENS = 0.005, 0.6, 3
+#: Share of the labelled URLs, and number of them, that must hold a rule's tokens and the label, share of those with the tokens that must have it, and tokens in a rule.
+SUPPORT, LEAST, CONFIDENCE, TOKENS = 0.005, 20, 0.6, 3
 #: Rules up to which the index is broadcast. Frequent sets number at most the mean count of token sets in a URL over SUPPORT, however many URLs there are.
 BROADCAST_RULES = 50_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,7 +48,10 @@ def parsed(pages: DataFrame, url_col: str) -> DataFrame:
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """rule (a number), tokens: sets of tokens that occur with the label often enough. ``labelled``: items, block (boolean)."""
     baskets = labelled.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items")).where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    baskets = baskets.persist()
+    least = min(1.0, max(support, LEAST / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(baskets)
+    baskets.unpersist()
     rules = model.associationRules.where(F.array_contains("consequent", LABEL) & (F.size("antecedent") <= TOKENS) & (F.col("lift") > 1))
     return rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), F.col("antecedent").alias("tokens"))
 
