@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..logframe import LogFrame
 
-PER_IP = Window.partitionBy("source_ip").orderBy("ts", "pos")
-PER_USER = Window.partitionBy("username").orderBy("ts", "pos")
+def _per(field: str):
+    return Window.partitionBy(field).orderBy("ts", "pos")
 
 
 def _failed(frame: LogFrame) -> Column:
@@ -21,16 +21,16 @@ def _good(frame: LogFrame) -> Column:
 
 def success_after_failures(frame: LogFrame, least: int = 3) -> DataFrame:
     """For each address the first success after at least ``least`` failures: source_ip, pos, n_failures before it, last_failure (the pos of the last one)."""
-    before = PER_IP.rowsBetween(Window.unboundedPreceding, -1)
+    before = _per("source_ip").rowsBetween(Window.unboundedPreceding, -1)
     rows = frame.df.where(frame.value("source_ip") != "").select("source_ip", "ts", "pos", _failed(frame).alias("failed"), _good(frame).alias("good")).where("failed or good")
     rows = rows.select("*", F.sum(F.col("failed").cast("long")).over(before).alias("n_failures"), F.last(F.when(F.col("failed"), F.col("pos")), ignorenulls=True).over(before).alias("last_failure"))
-    first = rows.where(F.col("good") & (F.col("n_failures") >= least)).withColumn("n", F.row_number().over(PER_IP))
+    first = rows.where(F.col("good") & (F.col("n_failures") >= least)).withColumn("n", F.row_number().over(_per("source_ip")))
     return first.where("n = 1").select("source_ip", "pos", "n_failures", "last_failure")
 
 
 def auth_chains(frame: LogFrame, seconds: int = 900) -> DataFrame:
     """Failures that a success of the same user follows within a time: failed (pos), success (pos), username, micros between."""
-    after = PER_USER.rowsBetween(1, Window.unboundedFollowing)
+    after = _per("username").rowsBetween(1, Window.unboundedFollowing)
     rows = frame.df.select("username", "ts", "pos", _failed(frame).alias("failed"), _good(frame).alias("good")).where("(failed or good) and ts is not null")
     follow = F.first(F.when(F.col("good"), F.struct("pos", "ts")), ignorenulls=True).over(after)
     rows = rows.withColumn("next", follow).where("failed and next is not null")
