@@ -104,3 +104,21 @@ def graph(frame: LogFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def reattach(rows: DataFrame, store: DataFrame) -> DataFrame:
+    """The rows with the evidence_id that file, line and timestamp have in the store; null if none."""
+    return rows.join(store.select(*IDENTITY, "evidence_id"), IDENTITY, "left")
+
+
+def html_report(title: str, tables: dict[str, DataFrame], limit: int = 200) -> str:
+    """A page with the first rows of each table, for people to read; the tables themselves go to files by Spark's writers."""
+    from html import escape
+
+    parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
+    for name, df in tables.items():
+        cell = lambda tag, x: f"<{tag}>{escape('' if x is None else str(x))}</{tag}>"
+        head = "".join(cell("th", c) for c in df.columns)
+        body = "".join(f"<tr>{''.join(cell('td', x) for x in row)}</tr>" for row in df.limit(limit).collect())
+        parts.append(f"<h2>{escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+    return "".join(parts) + "</body></html>"

@@ -99,3 +99,28 @@ def chunks(rows: DataFrame, session: str | None, span: int = 60, run: int = 50)
     named = F.when(F.coalesce(F.col(session), F.lit("")) != "", F.concat(F.lit("s"), F.substring(F.sha1(F.col(session)), 1, 12))) if session else F.lit(None).cast("string")
     minute = F.when(F.col("ts").isNotNull(), F.concat(F.lit("t"), F.floor(F.unix_seconds("ts") / span).cast("string")))
     return rows.select("pos", F.coalesce(named, minute, F.concat(F.lit("p"), F.floor(F.col("pos") / run).cast("string"))).alias("chunk"))
+
+
+def context(frame, query: str, entities: list[str], hints: dict[str, str], limit: int = 40) -> DataFrame:
+    """pos and score of the rows that an answer should rest on: 1 for each query token in the row, 4 for each entity and 6 for each hint (field and value)."""
+    text = F.concat_ws(" ", *(frame.value(f) for f in frame.fields))
+    words = list(dict.fromkeys(w for w in query.lower().split() if len(w) >= 3))
+    score = sum((text.contains(w).cast("int") for w in words), F.lit(0))
+    score = score + sum((4 * text.contains(e.lower()).cast("int") for e in entities), F.lit(0))
+    score = score + sum((6 * (frame.value(f) == v.strip().lower()).cast("int") for f, v in hints.items()), F.lit(0))
+    return frame.df.select("pos", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "pos").limit(limit)
+
+
+def with_chunks(hits: DataFrame, chunk_of: DataFrame) -> DataFrame:
+    """The positions of all rows that share a chunk with a hit (pos)."""
+    wanted = chunk_of.join(hits.select("pos"), "pos", "left_semi").select("chunk").distinct()
+    return chunk_of.join(wanted, "chunk", "left_semi").select("pos")
+
+
+def related_terms(frame, hits: DataFrame, fields: list[str], k: int = 5) -> DataFrame:
+    """field, value, n: the values that the hits (pos) have most often, to widen a search by."""
+    from pyspark.sql import Window
+
+    counts = frame.on(frame.df.join(hits.select("pos"), "pos", "left_semi")).long(fields).groupBy("field", "value").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")

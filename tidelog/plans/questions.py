@@ -61,3 +61,27 @@ def answer(text: str, frame: LogFrame, limit: int = 50) -> DataFrame:
     if question.intent in ("first", "last"):
         return sequences.first_and_last(rows, condition).select(F.col(question.intent).alias("pos"))
     return sequences.timeline(rows, condition, limit).select("pos")
+
+
+def extract_values(text: str, frame: LogFrame, kind: str) -> DataFrame:
+    """value and count of the indicators of a kind in the rows that a question selects, over all of them."""
+    from ..operators import indicators
+
+    condition = predicate({"operation": "AND", "conditions": understand(text).conditions}, frame)
+    found = indicators.from_log(frame.on(frame.df.where(condition))).where(F.col("kind") == kind)
+    return found.groupBy("value").agg(F.count("*").alias("count"))
+
+
+def verified_zero(text: str, frame: LogFrame) -> DataFrame:
+    """field, value, n_rows for each condition of a question on its own: which of them makes an answer of zero."""
+    conditions = [c for c in understand(text).conditions if "field" in c]
+    counts = frame.df.agg(*(F.count_if(predicate(c, frame)).alias(f"n{k}") for k, c in enumerate(conditions)))
+    rows = F.array(*(F.struct(F.lit(c["field"]).alias("field"), F.lit(c["value"]).alias("value"), F.col(f"n{k}").alias("n_rows")) for k, c in enumerate(conditions)))
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def suggest(frame: LogFrame, k: int = 3) -> DataFrame:
+    """question: what could be asked about the most frequent users, addresses and actions."""
+    top = aggregates.facets(frame, [f for f in ("username", "source_ip", "action") if f in frame.fields], k)
+    text = F.when(F.col("field") == "username", F.concat(F.lit("How many failed logins of user "), "value", F.lit(" were there?"))).when(F.col("field") == "source_ip", F.concat(F.lit("Show the timeline of "), "value"))
+    return top.select(F.coalesce(text, F.concat(F.lit("Which users have the most events of "), "value", F.lit("?"))).alias("question"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .logframe import EVENTS_LOG, LogFrame, events_log
 from .operators import aggregates, cases, correlation, detections, grounding, incident, indicators, retrieval, search, sequences
 from .plans import run
-from .plans.questions import answer
+from .plans.questions import answer, extract_values, suggest, verified_zero
 from .sources import merge_audit, parse_syslog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,10 @@ on_log("syslog_parse", lambda log: parse_syslog(LINES(log), 2024).select("line",
 AUDIT_LINES = lambda log: log.df.selectExpr("pos AS line", "CASE WHEN pos % 2 = 0 THEN concat('type=SYSCALL msg=audit(', us div 1000000, '.123:', pos div 4, '): pid=', 100 + pos, ' auid=', username, ' comm=\"', event_type, '\" a0=zz') ELSE concat('type=EXECVE msg=audit(', us div 1000000, '.123:', pos div 4, '): argc=2 a1=\"-o\" a0=\"', event_type, '\" a10=last a2=', hex(concat('file name ', code))) END AS value")
 on_log("audit_merge", lambda log: merge_audit(parse_syslog(AUDIT_LINES(log), 2024)).where("audit_type = 'EXECVE'").selectExpr("line", "command", "process_name", "attrs['auid'] AS auid", "attrs['a0'] AS a0"), "SELECT e.pos AS line, e.event_type || ' -o file name ' || e.code || ' last' AS command, s.event_type AS process_name, s.username AS auid, e.event_type AS a0 FROM log e LEFT JOIN log s ON s.pos = least(e.pos // 4 * 4 + 2, (SELECT max(pos) // 2 * 2 FROM log)) WHERE e.pos % 2 = 1")
 _add("json_field", lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select(F.get_json_object("props", "$.k").cast("int").alias("k")).groupBy("k").agg(F.count("*").alias("count")), "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS count FROM events GROUP BY 1")
+on_log("evidence_reattach", lambda log: cases.reattach(log.df.where("pos < 60").selectExpr("event_type AS file", "pos AS line", "us AS timestamp"), _store(log, "pos % 2 = 0")).select("line", "evidence_id"), "SELECT pos AS line, CASE WHEN pos % 2 = 0 THEN 'EV-' || lpad(CAST(pos + 1 AS VARCHAR), 6, '0') END AS evidence_id FROM log WHERE pos < 60")
+on_log("evidence_context", lambda log: retrieval.context(log, "purchase of user", ["10.0.2.1 "], {"severity": "critical"}), "SELECT pos, score FROM (SELECT pos, CAST(contains(t, 'purchase') AS INTEGER) + CAST(contains(t, 'user') AS INTEGER) + 4 * CAST(contains(t, '10.0.2.1 ') AS INTEGER) + 6 * CAST(severity = 'critical' AS INTEGER) AS score FROM (SELECT *, concat_ws(' ', event_type, username, source_ip, destination_ip, action, severity, code, process_name, command, message) AS t FROM log)) WHERE score > 0 ORDER BY score DESC, pos LIMIT 40")
+on_log("chunk_expansion", lambda log: retrieval.with_chunks(log.df.where("value >= 200").select("pos"), retrieval.chunks(log.df, None, 3600)), "SELECT pos FROM log WHERE us // 3600000000 IN (SELECT us // 3600000000 FROM log WHERE value >= 200)")
+on_log("related_terms", lambda log: retrieval.related_terms(log, log.df.where("value >= 150"), ["username", "event_type"], 3), "h AS (SELECT * FROM log WHERE value >= 150), c AS (SELECT 'username' AS field, username AS value, count(*) AS n FROM h GROUP BY 2 UNION ALL SELECT 'event_type', event_type, count(*) FROM h GROUP BY 2) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY field ORDER BY n DESC, value) <= 3")
+on_log("qa_values", lambda log: extract_values("List the destinations of critical failures", log, "username"), "SELECT username AS value, count(*) AS count FROM log WHERE event_type = 'error' AND severity = 'critical' GROUP BY 1")
+on_log("qa_verified_zero", lambda log: verified_zero("How many critical failed logins of user 9999 were there?", log), "SELECT 'action' AS field, 'failed_login' AS value, count(*) FILTER (WHERE event_type = 'error') AS n_rows FROM log UNION ALL SELECT 'severity', 'critical', count(*) FILTER (WHERE severity = 'critical') FROM log UNION ALL SELECT 'username', '9999', count(*) FILTER (WHERE username = '9999') FROM log")
+on_log("qa_suggestions", suggest, "c AS (SELECT 'How many failed logins of user ' || username || ' were there?' AS question, username AS v, 'u' AS f, count(*) AS n FROM log GROUP BY username UNION ALL SELECT 'Show the timeline of ' || source_ip, source_ip, 'i', count(*) FROM log GROUP BY source_ip UNION ALL SELECT 'Which users have the most events of ' || action || '?', action, 'a', count(*) FROM log GROUP BY action) SELECT question FROM c QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, v) <= 3")

@@ -26,3 +26,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def verify_files(spark, path: str, manifest: DataFrame) -> DataFrame:
+    """name, expected, found, ok: the SHA-256 of files against a manifest (name, sha256); a file that one side lacks is not ok. Files are hashed where they are read."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("found"))
+    both = manifest.select("name", F.lower("sha256").alias("expected")).join(files, "name", "full")
+    return both.select("name", "expected", "found", F.coalesce(F.col("expected") == F.col("found"), F.lit(False)).alias("ok"))
