@@ -79,6 +79,13 @@ def test_every_pair_within_the_radius_shares_a_table():
     assert len(masks) == 15
     for bits in itertools.combinations(range(64), 3):
         assert any(not m & sum(1 << b for b in bits) for m in masks)
+    rng = random.Random(1)
+    for radius in (1, 2, 4, 5, 6):
+        masks = [m % (1 << 64) for m in simhash.masks(radius)]
+        assert min(m.bit_count() for m in masks) >= 24
+        for _ in range(3000):
+            bits = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(not m & bits for m in masks)
 
 
 def test_components_equal_brute_force(spark):
@@ -119,3 +126,33 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)}
+
+
+def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"word{rng.randrange(5000)}" for _ in range(n))
+    texts = [prose(400) for _ in range(12)]
+    item = "the quick question asks how far a train goes in 3 hours when it leaves at noon from the old station"
+    near = texts[0].split()
+    near[200] = "changed"
+    texts += [texts[0], " ".join(near), prose(300) + " " + item, "too short", "again and again " * 100, texts[2][:900] + " token = abcdef123456 end", None, ""]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept.append(sorted(r.doc_id for r in docs.collect()))
+    assert kept[0] == [*range(15), 17]
+    assert kept[1] == [*range(12), 14, 17]
+    assert kept[2] == kept[3] == [*range(12), 17]
+    assert "token" not in docs.where("doc_id = 17").first().text
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in final.collect()) == kept[3]
+    assert final.where("n_tokens > 0").count() == len(kept[3])

@@ -24,12 +24,19 @@ SEED = 42
 
 
 def masks(radius: int = RADIUS) -> list[int]:
-    """The bits that each of the 2**(radius+1) - 1 tables keeps, as signed 64-bit numbers."""
+    """The bits that each table keeps, as signed 64-bit numbers: about half of them. There are 2**(radius+1) - 1 tables, for a radius up to 6.
+
+    With seven bits the vectors are the columns of a first-order Reed-Muller code, so that every table keeps 32 bits; the one that keeps all is left out.
+    """
+    if not 0 < radius <= 6:
+        raise ValueError("the radius must be 1 to 6")
     top = 2 ** (radius + 1) - 1
+    vectors = [64 + i if radius == 6 else i % top + 1 for i in range(64)]
     out = []
     for v in range(1, top + 1):
-        mask = sum(1 << i for i in range(64) if (v & (i % top + 1)).bit_count() & 1)
-        out.append(mask - (1 << 64) if mask >> 63 else mask)
+        mask = sum(1 << i for i in range(64) if (v & vectors[i]).bit_count() & 1)
+        if mask.bit_count() < 64:
+            out.append(mask - (1 << 64) if mask >> 63 else mask)
     return out
 
 
