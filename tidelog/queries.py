@@ -135,7 +135,8 @@ on_log("common_values", lambda log: correlation.common_values(log.on(log.df.wher
 
 # Retrieval
 _add("tfidf", lambda spark, d: retrieval.tfidf(spark.read.parquet(f"{d}/documents.parquet"), "license version apache", "doc_id", "text").select("id", F.round("score", 6).alias("score")), """WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM documents), g AS (SELECT id, unnest(w) AS t FROM w UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), tf AS (SELECT id, t, 1 + ln(count(*)) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents), idf AS (SELECT t, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY t), q AS (SELECT t, idf AS q FROM idf WHERE t IN ('license', 'version', 'apache', 'license version', 'version apache')), x AS (SELECT tf.id, tf.tf * idf.idf AS w, q.q FROM tf JOIN idf USING (t) LEFT JOIN q USING (t)), l AS (SELECT sqrt(sum(q * q)) AS l FROM q) SELECT id, round(sum(w * q) / (sqrt(sum(w * w)) * any_value(l)), 6) AS score FROM x, l GROUP BY id HAVING sum(w * q) IS NOT NULL""")
-on_log("bm25", lambda log: retrieval.bm25(log.df, "purchase 42 code", "pos", "message").select("id", F.round("score", 6).alias("score")), None)
+TERMS = "t AS (SELECT pos AS id, list_distinct(list_transform(list_filter(list_concat(w, flatten(list_transform(w, lambda x: regexp_split_to_array(x, '[_./:@+-]+')))), lambda x: length(x) >= 2), lambda x: CASE WHEN length(x) >= 7 AND x LIKE '%ing' THEN x[:-4] WHEN length(x) >= 6 AND (x LIKE '%ed' OR x LIKE '%es') THEN x[:-3] WHEN length(x) >= 5 AND x LIKE '%s' THEN x[:-2] ELSE x END)) AS terms FROM (SELECT pos, regexp_extract_all(lower(message), '[a-z0-9_./:@+-]{2,}') AS w FROM log))"
+on_log("bm25", lambda log: retrieval.bm25(log.df, "purchase 42 clicks", "pos", "message").select("id", F.round("score", 6).alias("score")), f"{TERMS}, q AS (SELECT unnest(['purchase', '42', 'click']) AS t), d AS (SELECT q.t, count(*) AS df FROM t JOIN q ON list_contains(t.terms, q.t) GROUP BY q.t), s AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t) SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(terms) / mean))), 6) AS score FROM t JOIN d ON list_contains(t.terms, d.t), s GROUP BY id")
 on_log("hybrid_rank", lambda log: retrieval.hybrid(log.df, "purchase user 42", "pos", "message").select("id", F.round("score", 6).alias("score")), None)
 on_log("chunks", lambda log: retrieval.chunks(log.df, None), "SELECT pos, 't' || (us // 60000000) AS chunk FROM log")
 
