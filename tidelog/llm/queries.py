@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_spans, licenses, quality, secrets, simhash, token_counts, url_filter, warc
+from . import bpe, decontamination, exact_spans, licenses, oracles, quality, secrets, simhash, token_counts, url_filter, warc
 from .common import table
 
 
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
