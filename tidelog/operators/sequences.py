@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..logframe import LogFrame
 
-def _per(field: str):
-    return Window.partitionBy(field).orderBy("ts", "pos")
-
-
 def _failed(frame: LogFrame) -> Column:
     return frame.value("action") == "failed_login"
 
@@ -19,23 +15,37 @@ def _good(frame: LogFrame) -> Column:
     return frame.value("action").isin("successful_login", "login_success", "success")
 
 
-def success_after_failures(frame: LogFrame, least: int = 3) -> DataFrame:
-    """For each address the first success after at least ``least`` failures: source_ip, pos, n_failures before it, last_failure (the pos of the last one)."""
-    before = _per("source_ip").rowsBetween(Window.unboundedPreceding, -1)
-    rows = frame.df.where(frame.value("source_ip") != "").select("source_ip", "ts", "pos", _failed(frame).alias("failed"), _good(frame).alias("good")).where("failed or good")
-    rows = rows.select("*", F.sum(F.col("failed").cast("long")).over(before).alias("n_failures"), F.last(F.when(F.col("failed"), F.col("pos")), ignorenulls=True).over(before).alias("last_failure"))
-    first = rows.where(F.col("good") & (F.col("n_failures") >= least)).withColumn("n", F.row_number().over(_per("source_ip")))
-    return first.where("n = 1").select("source_ip", "pos", "n_failures", "last_failure")
+def success_after_failures(frame: LogFrame, least: int = 3, span: int = 3600) -> DataFrame:
+    """For each address the first success after at least ``least`` failures: source_ip, pos, n_failures before it, last_failure (the pos of the last one).
+
+    Failures are counted within spans of ``span`` seconds, and the counts of the spans before are added, so no task holds all rows of a busy address.
+    """
+    rows = frame.df.where((frame.value("source_ip") != "") & F.col("ts").isNotNull()).select("source_ip", "pos", F.unix_micros("ts").alias("us"), _failed(frame).alias("failed"), _good(frame).alias("good")).where("failed or good")
+    rows = rows.withColumn("span", F.floor(F.col("us") / (span * 1_000_000)))
+    at = F.when(F.col("failed"), F.struct("us", "pos"))
+    spans = rows.groupBy("source_ip", "span").agg(F.count_if("failed").alias("n"), F.max(at).alias("last"))
+    earlier = Window.partitionBy("source_ip").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("source_ip", "span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.last("last", ignorenulls=True).over(earlier).alias("last0"))
+    before = Window.partitionBy("source_ip", "span").orderBy("us", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"n": F.coalesce(F.sum(F.col("failed").cast("long")).over(before), F.lit(0)), "last": F.last(at, ignorenulls=True).over(before)})
+    both = rows.where("good").join(spans, ["source_ip", "span"]).withColumn("total", F.col("n") + F.col("n0")).where(F.col("total") >= least)
+    first = both.groupBy("source_ip").agg(F.min(F.struct("us", "pos", "total", F.coalesce("last", "last0").alias("last"))).alias("f"))
+    return first.select("source_ip", "f.pos", F.col("f.total").alias("n_failures"), F.col("f.last.pos").alias("last_failure"))
 
 
 def auth_chains(frame: LogFrame, seconds: int = 900) -> DataFrame:
-    """Failures that a success of the same user follows within a time: failed (pos), success (pos), username, micros between."""
-    after = _per("username").rowsBetween(1, Window.unboundedFollowing)
-    rows = frame.df.select("username", "ts", "pos", _failed(frame).alias("failed"), _good(frame).alias("good")).where("(failed or good) and ts is not null")
-    follow = F.first(F.when(F.col("good"), F.struct("pos", "ts")), ignorenulls=True).over(after)
-    rows = rows.withColumn("next", follow).where("failed and next is not null")
-    gap = F.unix_micros("next.ts") - F.unix_micros("ts")
-    return rows.where(gap <= seconds * 1_000_000).select(F.col("pos").alias("failed"), F.col("next.pos").alias("success"), "username", gap.alias("micros"))
+    """Failures that a success of the same user follows within a time: failed (pos), success (pos), username, micros between; the next success counts.
+
+    Users are cut into spans of that time and successes also stand in the span before their own, so a busy user is dealt out over many tasks.
+    """
+    width = seconds * 1_000_000
+    rows = frame.df.where("ts is not null").select("username", "ts", "pos", F.unix_micros("ts").alias("us"), _failed(frame).alias("failed"), _good(frame).alias("good")).where("failed or good")
+    span = F.floor(F.col("us") / width)
+    rows = rows.withColumn("span", F.explode(F.when(F.col("good"), F.array(span - 1, span)).otherwise(F.array(span))))
+    after = Window.partitionBy("username", "span").orderBy("us", "pos").rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("next", F.first(F.when(F.col("good"), F.struct("pos", "us")), ignorenulls=True).over(after))
+    gap = F.col("next.us") - F.col("us")
+    return rows.where(F.col("failed") & (gap <= width)).select(F.col("pos").alias("failed"), F.col("next.pos").alias("success"), "username", gap.alias("micros"))
 
 
 def representatives(scored: DataFrame, keys: list[str], order: list) -> DataFrame:
