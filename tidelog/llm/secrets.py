@@ -116,8 +116,8 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` as struct ``row``, their text (null: empty) and ``found``: the spans of all rules by start, then by the order of rules."""
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    """The text of each row, its other columns as struct ``row``, and ``found``: the spans of all rules by start, then by the order of rules. A null text has none."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row"))
     likely = candidates(source, rules).select(F.col("id").alias("of"), "kinds")
     joined = source.join(likely, F.col("id").eqNullSafe(F.col("of")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
@@ -156,7 +156,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size("found") == 0, F.col(f"row.{text_col}")).otherwise(clean)
-    rows = rows.select("row", text.alias("clean"))
-    values = {text_col: F.col("clean")} | ({"n_chars": F.when(F.col(f"row.{text_col}").eqNullSafe(F.col("clean")), F.col("row.n_chars")).otherwise(F.length("clean"))} if "n_chars" in docs.columns else {})
+    none = F.size("found") == 0
+    values = {text_col: F.when(none, F.col("text")).otherwise(F.col("clean"))} | ({"n_chars": F.when(none, F.col("row.n_chars")).otherwise(F.length("clean"))} if "n_chars" in docs.columns else {})
+    rows = rows.select("row", "text", "found", F.when(~none, clean).alias("clean"))
     return rows.select(*(values.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
