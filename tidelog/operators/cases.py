@@ -19,9 +19,9 @@ def add_evidence(store: DataFrame, new: DataFrame) -> DataFrame:
     Numbers follow the order of identities. Only the new rows are ordered, and they are few beside the log.
     """
     fresh = new.join(store.select(*IDENTITY), IDENTITY, "left_anti").dropDuplicates(IDENTITY)
-    last = store.agg(F.coalesce(F.max(F.substring("evidence_id", 4, 12).cast("long")), F.lit(0)).alias("__last"))
-    number = F.row_number().over(Window.orderBy(*IDENTITY)) + F.col("__last")
-    named = fresh.crossJoin(F.broadcast(last)).withColumn("evidence_id", F.format_string("EV-%06d", number))  # one row
+    last = store.agg(F.coalesce(F.max(F.substring("evidence_id", 4, 12).cast("long")), F.lit(0))).scalar()
+    number = F.row_number().over(Window.orderBy(*IDENTITY)) + last
+    named = fresh.withColumn("evidence_id", F.format_string("EV-%06d", number))
     return store.unionByName(named.select(store.columns))
 
 

@@ -60,8 +60,8 @@ def platform(frame: LogFrame) -> DataFrame:
 
 def first_after(frame: LogFrame, stage: str) -> DataFrame:
     """pos and command of the first command after the last row of a stage."""
-    last = stages(frame).where(F.col("stage") == stage).agg(F.max("pos").alias("__p"))
-    rows = frame.df.where(frame.value("command") != "").crossJoin(F.broadcast(last)).where(F.col("pos") > F.col("__p"))  # one row
+    last = stages(frame).where(F.col("stage") == stage).agg(F.max("pos")).scalar()
+    rows = frame.df.where((frame.value("command") != "") & (F.col("pos") > last))
     return rows.orderBy("pos").limit(1).select("pos", "command")
 
 

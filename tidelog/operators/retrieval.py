@@ -40,8 +40,8 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int | N
     wanted = [r.t for r in spark.range(1).select(F.explode(terms(F.lit(query))).alias("t")).collect()]
     rows = index(docs, id_col, text_col)
     held = [F.array_contains("terms", t) for t in wanted]
-    stats = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *(F.count_if(h).alias(f"df{k}") for k, h in enumerate(held)))
-    joined = rows.where(F.arrays_overlap("terms", F.array(*map(F.lit, wanted)).cast("array<string>"))).crossJoin(F.broadcast(stats))  # one row
+    stats = rows.agg(F.struct(F.count("*").alias("n"), F.avg("size").alias("mean"), *(F.count_if(h).alias(f"df{k}") for k, h in enumerate(held)))).scalar()
+    joined = rows.where(F.arrays_overlap("terms", F.array(*map(F.lit, wanted)).cast("array<string>"))).withColumn("s", stats).select("id", "terms", "size", "s.*")
     norm = 1 + K1 * (1 - B + B * F.col("size") / F.col("mean"))
     idf = lambda k: F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
     score = sum((F.when(h, idf(k) * (K1 + 1) / norm).otherwise(0.0) for k, h in enumerate(held)), F.lit(0.0))
@@ -60,22 +60,22 @@ def tfidf(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     """id and cosine of the TF-IDF vectors (sublinear counts, smoothed IDF) of text and query. Texts without a common term are left out."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.explode(grams(F.col(text_col))).alias("t")).groupBy("id", "t").agg((1 + F.log(F.count("*"))).alias("tf"))
-    n = docs.agg(F.count("*").alias("n"))
-    idf = rows.groupBy("t").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("t", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    n = docs.agg(F.count("*")).scalar()
+    idf = rows.groupBy("t").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
     weights = rows.join(idf, "t").select("id", "t", (F.col("tf") * F.col("idf")).alias("w"), "idf")
     asked = spark.range(1).select(F.explode(grams(F.lit(query))).alias("t")).groupBy("t").agg((1 + F.log(F.count("*"))).alias("q"))
     asked = asked.join(idf, "t").select("t", (F.col("q") * F.col("idf")).alias("q"))
-    length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
+    length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q")))).scalar()
     both = weights.join(F.broadcast(asked), "t", "left")  # as many rows as the query has terms
     dots = both.groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("dot is not null")
-    return dots.crossJoin(F.broadcast(length)).select("id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score"))  # one row
+    return dots.select("id", (F.col("dot") / (F.col("norm") * length)).alias("score"))
 
 
 def scaled(scores: DataFrame) -> DataFrame:
     """Scores moved to 0 up to 1; equal ones become 1."""
-    ends = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    span = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
-    return scores.crossJoin(F.broadcast(ends)).select("id", span.alias("score"))  # one row
+    ends = scores.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi"))).scalar()
+    low, high = F.col("e.lo"), F.col("e.hi")
+    return scores.withColumn("e", ends).select("id", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0).alias("score"))
 
 
 def hybrid(docs: DataFrame, query: str, id_col: str, text_col: str, cut: float = 0.45, limit: int = 20) -> DataFrame:
@@ -90,8 +90,8 @@ def hybrid(docs: DataFrame, query: str, id_col: str, text_col: str, cut: float =
         one = scores.select("id", (F.col("score") * weight).alias("score"))
         every = one if every is None else every.unionByName(one)
     total = every.groupBy("id").agg(F.sum("score").alias("score"))
-    best = total.agg(F.max("score").alias("best"))
-    return total.crossJoin(F.broadcast(best)).where(F.col("score") >= cut * F.col("best")).select("id", "score").orderBy(F.desc("score"), "id").limit(limit)  # one row
+    best = total.agg(F.max("score")).scalar()
+    return total.where(F.col("score") >= cut * best).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def chunks(rows: DataFrame, session: str | None, span: int = 60, run: int = 50) -> DataFrame:

@@ -38,9 +38,9 @@ def term_rows(frame: LogFrame, term: str) -> DataFrame:
     if len(term) < 2:
         return frame.df.limit(0)
     held = frame.df.withColumn("__tokens", row_tokens(frame))
-    exact = held.agg(F.coalesce(F.max(F.array_contains("__tokens", term)), F.lit(False)).alias("__exact"))  # one row
-    rows = held.where(F.exists("__tokens", lambda t: t.contains(term))).crossJoin(F.broadcast(exact))
-    return rows.where(~F.col("__exact") | F.array_contains("__tokens", term)).drop("__tokens", "__exact")
+    exact = held.agg(F.coalesce(F.max(F.array_contains("__tokens", term)), F.lit(False))).scalar()
+    rows = held.where(F.exists("__tokens", lambda t: t.contains(term)))
+    return rows.where(~exact | F.array_contains("__tokens", term)).drop("__tokens")
 
 
 def rows_with_field(frame: LogFrame, term: str) -> DataFrame:

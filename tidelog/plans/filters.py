@@ -116,7 +116,7 @@ def run(plan: dict, frame: LogFrame) -> DataFrame:
         if kind == "DISTINCT":
             return groups.select("value")
         n = groups.agg(F.count("*").alias("n_groups"))
-        return groups.orderBy(F.desc("count"), "value").limit(int(plan.get("limit", 50))).crossJoin(F.broadcast(n))  # one row
+        return groups.orderBy(F.desc("count"), "value").limit(int(plan.get("limit", 50))).withColumn("n_groups", n.scalar())
     key = value.try_cast("double") if plan.get("numeric") else value
     order = F.desc(key) if plan.get("descending", kind == "TOP_K") else F.asc(key)
     rows = rows.orderBy(order, "pos")

@@ -52,8 +52,8 @@ def answer(text: str, frame: LogFrame, limit: int = 50) -> DataFrame:
     condition = predicate({"operation": "AND", "conditions": question.conditions}, frame)
     rows = frame
     if question.last_seconds is not None:
-        end = frame.df.agg(F.max("ts").alias("__end"))
-        rows = frame.on(frame.df.crossJoin(F.broadcast(end)).where(F.unix_micros("ts") >= F.unix_micros("__end") - question.last_seconds * 1_000_000).drop("__end"))  # one row
+        end = frame.df.agg(F.max(F.unix_micros("ts"))).scalar()
+        rows = frame.on(frame.df.where(F.unix_micros("ts") >= end - question.last_seconds * 1_000_000))
     if question.intent == "count":
         return rows.df.agg(F.count_if(condition).alias("count"))
     if question.intent == "top":
