@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, GRAM = 50, 16
-#: Packs and buckets for each shuffle partition.
-PER_PARTITION = 2
+#: Packs and buckets for each shuffle partition. A pack writes to every bucket, so messages number their product, or that of the anchors if there are fewer.
+PACKS, BUCKETS = 2, 1
 _SLICE = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 over the golden ratio, made odd
 _WORDS = -(-LENGTH // 8)
@@ -84,7 +84,7 @@ def segments(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def pack_blob(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed string; numbers are split into planes of bytes."""
     parts = [np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.int64).tobytes()]
-    parts += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
+    parts += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -322,9 +322,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remove from each other; a row without an id is left whole and removes nothing. Ids are whole numbers. Other columns are left out.
     """
     spark = docs.sparkSession
-    n = PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packs, n = PACKS * partitions, BUCKETS * partitions
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    packed = source.select(F.pmod(F.xxhash64("id", "tag"), F.lit(n)).cast("int").alias("pack"), "id", "tag", "text")
+    packed = source.select(F.pmod(F.xxhash64("id", "tag"), F.lit(packs)).cast("int").alias("pack"), "id", "tag", "text")
 
     def ask(table: pa.Table) -> pa.Table:
         return _rows(table.column("pack")[0].as_py(), [*Pack(table, n).anchors()])
