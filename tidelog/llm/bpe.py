@@ -7,10 +7,12 @@ the pairs that come to be into the lists of their ranks.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import by_bytes, texts_of
 
 #: Words whose tokens a worker remembers in each of two generations.
-MEMO = 200_000
+MEMO = 150_000
 _GAP = 0xFFFFF
+_COUNT, _IDS, _TOKENS = map(itemgetter, range(3))
 
 
 def byte_letters() -> list[str]:
@@ -63,7 +66,7 @@ class Merges:
 
     def merge_all(self, words: Iterable[list[int]]) -> list[list[int]]:
         """The ids of each word after all merges. Every product has one pair only, so ranks never come up too late."""
-        rank_of, first, second, made = self.rank.get, self.first, self.second, self.made
+        rank_of, first, second, made, push = self.rank.get, self.first, self.second, self.made, heapq.heappush
         ids, starts = [_GAP], []
         for word in words:
             starts.append(len(ids))
@@ -78,21 +81,26 @@ class Merges:
             r = heapq.heappop(active)
             a, b, c = first[r], second[r], made[r]
             places = where.pop(r)
-            places.sort()
+            if a == b:
+                places.sort()  # pairs of equal symbols overlap, and the first of them merges
             for p in places:
                 if ids[p] != a or ids[q := after[p]] != b:
                     continue
                 ids[p], ids[q] = c, -1
                 after[p] = t = after[q]
                 before[t] = p
-                s = before[p]
-                for at, pair in ((s, ids[s] << 20 | c), (p, c << 20 | ids[t])):
-                    if (k := rank_of(pair)) is not None:
-                        if k in where:
-                            where[k].append(at)
-                        else:
-                            where[k] = [at]
-                            heapq.heappush(active, k)
+                if (x := ids[s := before[p]]) != _GAP and (k := rank_of(x << 20 | c)) is not None:
+                    if k in where:
+                        where[k].append(s)
+                    else:
+                        where[k] = [s]
+                        push(active, k)
+                if (x := ids[t]) != _GAP and (k := rank_of(c << 20 | x)) is not None:
+                    if k in where:
+                        where[k].append(p)
+                    else:
+                        where[k] = [p]
+                        push(active, k)
         out = []
         for p in starts:
             one = []
@@ -135,40 +143,59 @@ class WordBpe:
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.stretches = regex.compile(r"\S+")
         self.special = regex.compile("|".join(map(regex.escape, self.added)))
-        self.memo = Memo()  # count, ids and tokens of a stretch
+        self.memo, self.of_word = Memo(), Memo()  # count, ids and tokens of a stretch and of a word
+
+    def merge(self, words: Iterable[str]) -> None:
+        """Encodes words that were not met of late, all together."""
+        new, inner, last = list(words), self.inner, self.last
+        symbols = []
+        for word in new:
+            raw = word.encode()
+            ids = [inner[b] for b in raw]
+            ids[-1] = last[raw[-1]]
+            symbols.append(ids)
+        for word, ids in zip(new, self.merges.merge_all(symbols), strict=True):
+            self.of_word[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids)))
 
     def learn(self, stretches: Iterable[str]) -> None:
-        """Encodes stretches of text that hold no white space, all together."""
-        words, counts, new = [], [], list(stretches)
-        for stretch in new:
-            text = unicodedata.normalize("NFC", stretch)
-            text = text.lower() if text.isascii() else "".join(map(str.lower, text))
-            found = self.words.findall(text)
-            counts.append(len(found))
-            for word in found:
-                *head, tail = word.encode()
-                words.append([*(self.inner[b] for b in head), self.last[tail]])
-        merged = iter(self.merges.merge_all(words))
-        for stretch, n in zip(new, counts, strict=True):
-            ids = [i for _ in range(n) for i in next(merged)]
-            self.memo[stretch] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids)))
-
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[int, str, str]]]:
-        """For each text, what each of its stretches and special strings gives: count, ids and tokens, joined by blanks."""
-        split = []
-        for text in texts:
-            if "<|" in text and self.special.search(text):
-                parts, at = [], 0
-                for m in self.special.finditer(text):
-                    parts += self.stretches.findall(text[at : m.start()])
-                    parts.append((1, str(self.added[m[0]]), m[0]))
-                    at = m.end()
-                split.append(parts + self.stretches.findall(text[at:]))
+        """Takes stretches of normalised text apart into words; letters alone are one word."""
+        split = [(x, (x,) if x.isalpha() else self.words.findall(x)) for x in stretches]
+        self.merge(self.of_word.missing({w for _, words in split for w in words}))
+        of_word = self.of_word
+        for stretch, words in split:
+            if len(words) == 1:
+                self.memo[stretch] = of_word[words[0]]
             else:
-                split.append(self.stretches.findall(text))
+                found = [of_word[w] for w in words]
+                self.memo[stretch] = (sum(map(_COUNT, found)), " ".join(map(_IDS, found)), " ".join(map(_TOKENS, found)))
+
+    def split(self, text: str) -> list[str]:
+        """The stretches of a text in normal form and lower case.
+
+        Python's own split takes four control characters for white space, which the pattern does not, and its lower case looks at what follows a sigma.
+        """
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "\u03a3" in text:
+                text = "".join(map(str.lower, text))
+        text = text.lower()
+        return self.stretches.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text the number of its ids, the ids and the tokens, each joined by one blank."""
+        split: list[list] = []
+        for text in texts:
+            parts, at = [], 0
+            for m in self.special.finditer(text) if "<|" in text else ():
+                parts += self.split(text[at : m.start()])
+                parts.append((1, str(self.added[m[0]]), m[0]))
+                at = m.end()
+            split.append(parts + self.split(text[at:]) if at else self.split(text))
         self.learn(self.memo.missing({x for parts in split for x in parts if type(x) is str}))
+        memo = self.memo
         for parts in split:
-            yield [x for p in parts if (x := self.memo[p] if type(p) is str else p)[0]]
+            found = [memo[p] if type(p) is str else p for p in parts]
+            yield sum(map(_COUNT, found)), " ".join(filter(None, map(_IDS, found))), " ".join(filter(None, map(_TOKENS, found)))
 
 
 def encode_documents(docs: DataFrame, config: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,12 +207,12 @@ def encode_documents(docs: DataFrame, config: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(shared.value)
-        for batch in by_bytes(batches, "text"):
-            n, ids, decoded = [], [], []
-            for parts in bpe.encode(texts_of(batch, "text")):
-                n.append(sum(x[0] for x in parts))
-                ids.append(" ".join([x[1] for x in parts]))
-                decoded.append(" ".join([x[2] for x in parts]))
+        for batch in by_bytes(batches, "text", 2 << 20):
+            gc.disable()  # nothing here makes cycles, and collections would walk through all that is remembered
+            try:
+                n, ids, decoded = zip(*bpe.encode(texts_of(batch, "text")), strict=True)
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids", "decoded"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
