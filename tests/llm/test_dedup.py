@@ -156,3 +156,45 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in final.collect()) == kept[3]
     assert final.where("n_tokens > 0").count() == len(kept[3])
+
+
+def test_wide_masks_cover_every_pair_within_the_radius():
+    masks = [m % (1 << 64) for m in simhash.wide_masks()]
+    rng = random.Random(3)
+    for _ in range(3000):
+        bits = sum(1 << b for b in rng.sample(range(64), simhash.WIDE))
+        assert any(not m & bits for m in masks)
+
+
+def test_similar_texts_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(600)]
+    rows, distances = [], []
+    for _ in range(60):
+        text = rng.choices(words, k=90)
+        rows.append((len(rows), " ".join(text)))
+        for n in (1, 2, 3, 4, 6):
+            near = [*text]
+            for k in rng.sample(range(90), n):
+                near[k] = rng.choice(words)
+            rows.append((len(rows), " ".join(near)))
+    rows += [(2, "another text of the same id as one above"), (2, "another text of  the same ID as one above"), (None, "one"), (900, ""), (901, None), (902, "one")]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            root[find(a)] = find(b)
+            distances.append((fingerprint(rows[a][1]) ^ fingerprint(rows[b][1])).bit_count())
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    assert 6 < max(distances) <= simhash.WIDE
+    got = sorted(r.doc_id for r in simhash.keep_unlike(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is not None)
+    assert got == sorted(least.values())

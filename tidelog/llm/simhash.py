@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import by_bytes, checkpointing
 from .components import components
@@ -141,3 +142,158 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", te
     first = near_duplicates(docs, radius, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     known = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
     return known.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+#: Similar texts: words in a shingle, the least Jaccard similarity of the shingle sets, and the bits in which the prints of compared texts may differ.
+SHINGLE, ALIKE, WIDE = 5, 0.8, 14
+#: Parts into which a print is cut for the wide search. Some part of two prints within WIDE bits is within WIDE // PARTS.
+PARTS = 3
+#: Texts with candidates up to which their numbers are broadcast (8 bytes each).
+BROADCAST_NODES = 1_000_000
+
+
+def wide_masks(radius: int = WIDE, parts: int = PARTS) -> list[int]:
+    """The bits that each table keeps: for every part of the print, covering masks of radius // parts bits inside it."""
+    top = 2 ** (radius // parts + 1) - 1
+    out = []
+    for bits in np.array_split(np.arange(64), parts):
+        for v in range(1, top + 1):
+            mask = sum(1 << int(b) for i, b in enumerate(bits) if (v & (i % top + 1)).bit_count() & 1)
+            out.append(mask - (1 << 64) if mask >> 63 else mask)
+    return out
+
+
+def text_number(text: bytes) -> int:
+    """Equal for texts of the same words, without regard to ASCII case and white space."""
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED) - (1 << 63)
+
+
+def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the text's shingles in order; a shorter text is one shingle, one without words has none."""
+    parts = text.lower().split()
+    starts = range(max(1, len(parts) - words + 1)) if parts else range(0)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[k : k + words]), SEED) for k in starts), np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; 1 if both are empty."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
+
+
+def _numbered(docs: DataFrame, text_col: str, column: str) -> DataFrame:
+    """``docs`` with the number of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, text_col):
+            numbers = pa.array([text_number(x or b"") for x in batch.column(text_col).cast(pa.binary()).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, column])
+
+    schema = StructType([*docs.schema.fields, StructField(column, LongType())])
+    return docs.mapInArrow(run, schema)
+
+
+def _candidates(groups: DataFrame, radius: int) -> DataFrame:
+    """Distinct (fa, la, fb, lb): prints within the radius that have different labels. ``groups``: distinct (fp, label)."""
+    tables = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask))) for k, mask in enumerate(wide_masks(radius))))
+    keyed = groups.select(F.explode(tables).alias("key"), "fp", "label").repartition("key").sortWithinPartitions("key")
+
+    def pairs(fp: np.ndarray, label: np.ndarray) -> Iterator[list[np.ndarray]]:
+        step = max(1, (1 << 20) // len(fp))
+        for k in range(0, len(fp), step):
+            near = np.bitwise_count((fp[k : k + step, None] ^ fp[None, k:]).view(np.uint64)) <= radius
+            lower, upper = np.nonzero(near & (label[k : k + step, None] != label[None, k:]))
+            lower, upper = k + lower[lower < upper], k + upper[lower < upper]
+            swap = label[lower] > label[upper]
+            lower, upper = np.where(swap, upper, lower), np.where(swap, lower, upper)
+            if len(lower):
+                yield [fp[lower], label[lower], fp[upper], label[upper]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def emit(parts):
+            key, fp, label = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cuts = np.flatnonzero(np.diff(key) != 0) + 1
+            starts, ends = np.append(0, cuts), np.append(cuts, len(key))
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b - a > 1:
+                    for found in pairs(fp[a:b], label[a:b]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["fa", "la", "fb", "lb"])
+
+        for batch in batches:  # sorted, so a bucket that the batch's end may cut waits for the next batch
+            key, fp, label = (batch.column(k).to_numpy() for k in range(3))
+            if not len(key):
+                continue
+            last = len(key) - int(np.argmax(np.append(key[::-1] != key[-1], True)))
+            if last:
+                yield from emit([*held, (key[:last], fp[:last], label[:last])])
+                held = []
+            held.append((key[last:], fp[last:], label[last:]))
+        if held:
+            yield from emit(held)
+
+    return keyed.mapInArrow(run, "fa long, la long, fb long, lb long").distinct()
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (a, b) of numbers whose texts have ALIKE of their shingles in common."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().checkpoint()
+    few = used.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in by_bytes(batches, "text"):
+            new = [(n, t) for n, t in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True) if n not in seen and not seen.add(n)]
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in new], pa.int64()), pa.array([shingles(t or b"").tobytes() for _, t in new], pa.binary())], ["node", "grams"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(c) for c in ("ga", "gb"))
+            good = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= ALIKE for x, y in zip(left, right, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    texts = _numbered(docs.select(F.col(text_col).alias("text")), "text", "node")
+    texts = texts.join(F.broadcast(used) if few else used, "node", "left_semi").select("node", "text")
+    grams = texts.mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"]).checkpoint()
+    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    return both.select("a", "b", "ga", "gb").mapInArrow(check, "a long, b long")
+
+
+def keep_unlike(docs: DataFrame, radius: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without similar texts: of each component of texts that have ALIKE of their five-word shingles in common the row with the smallest id, once.
+
+    Prints choose which texts are compared, their shingles decide. First a spanning forest of what is within RADIUS bits is compared, so that groups of
+    near copies become one component without a list of their pairs; then every pair within ``radius`` bits that is in different components.
+    Rows without an id can't be told apart and stay; of rows with one id and different texts only similar ones go.
+    """
+    checkpointing(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([fingerprint(x) for x in texts], pa.int64()), pa.array([text_number(x) for x in texts], pa.int64())], ["id", "fp", "node"])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long, node long")
+    nodes = rows.groupBy("node", "fp").agg(F.min("id").alias("least")).checkpoint()
+    first_of = nodes.groupBy("fp").agg(F.min("node").alias("first")).checkpoint()
+    edges = links(first_of.select("fp")).distinct()
+    edges = edges.join(first_of.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a").join(first_of.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b")
+    pairs = edges.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(nodes.join(first_of, "fp").select(F.col("first").alias("a"), F.col("node").alias("b")))
+    sure = _alike(pairs, docs, text_col).checkpoint()
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        roots = components(edges).select(F.col("node").alias("of"), "root")
+        return nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "fp", "least", F.coalesce("root", "node").alias("label"))
+
+    now = labelled(sure).checkpoint()
+    wide = _candidates(now.select("fp", "label").distinct(), radius)
+    wide = wide.join(now.select(F.col("fp").alias("fa"), F.col("label").alias("la"), F.col("node").alias("a")), ["fa", "la"]).join(now.select(F.col("fp").alias("fb"), F.col("label").alias("lb"), F.col("node").alias("b")), ["fb", "lb"])
+    named = labelled(sure.unionByName(_alike(wide.select("a", "b"), docs, text_col)))
+    kept = named.where("least is not null").groupBy("label").agg(F.min(F.struct("least", "node")).alias("x")).select(F.col("x.least").alias("__id"), F.col("x.node").alias("__of"))
+    known = _numbered(docs.where(F.col(id_col).isNotNull()), text_col, "__node")
+    known = known.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__node") == F.col("__of")), "left_semi").dropDuplicates([id_col, "__node"])
+    return known.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
