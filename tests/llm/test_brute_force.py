@@ -106,3 +106,18 @@ def test_blobs_round_trip():
     arrays = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.empty(0, np.int64), np.array([1, 255], np.uint8)]
     back = exact_spans.open_blob(exact_spans.pack_blob(*arrays), np.uint64, np.int64, np.uint8)
     assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, back, strict=True))
+
+
+REPARAMETERISED = [
+    ("Anna buys 3 apples and 5 pears in the old market and pays 9 dollars for all of them.", "Boris buys 4 apples and 4 pears in the old market and pays 7 dollars for all of them.", "values become equal"),
+    ("The shop sells 2 red lamps before noon and then it sells 2 blue lamps in the afternoon, how many lamps did it sell?", "The shop sells 3 red lamps before noon and then it sells 5 blue lamps in the afternoon, how many lamps did it sell?", "equal values differ"),
+    ("Peter runs 6 km. Maria walks home. Anna rides far.", "Lena runs 8 km. Olga walks home. Boris rides far.", "names at starts"),
+]
+
+
+def test_reparameterised_items_are_found(spark):
+    bench = spark.createDataFrame([(k, item) for k, (item, _, _) in enumerate(REPARAMETERISED)], "item_id long, text string")
+    docs = [(k, "some words before it. " + text + " And some more words after it") for k, (_, text, _) in enumerate(REPARAMETERISED)]
+    docs += [(10, "The shop opens before noon and sells nothing in the afternoon"), (11, None), (12, "Lena runs"), (13, "a few words of small letters only")]
+    got = {r.doc_id: r["items"] for r in decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench, reworded=True).collect()}
+    assert got == {0: [0], 1: [1], 2: [2], 10: [], 11: [], 12: [], 13: []}
