@@ -172,3 +172,26 @@ def test_files_round_trip(spark, tmp_path):
     back = warc.read_files(spark, str(tmp_path / "w"))
     assert back.where("not whole").count() == 0
     assert sorted(map(tuple, back.select("id", "url", "html").collect())) == sorted(map(tuple, pages.collect()))
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy and modify it.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: source code must retain the above notice.",
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+}
+
+
+def test_wrapped_notices_are_confirmed(spark):
+    import textwrap
+
+    model = licenses.train(spark, [f"a plain line of the corpus number {k} with the words of a text" for k in range(200)])
+    rows = []
+    for family, notice in WRAPPED.items():
+        for width in (30, 60, 70, 80):
+            for sign in ("", "# ", " * "):
+                body = "\n".join(sign + x for x in textwrap.wrap(notice, width))
+                rows.append((family, f"A header line\n\nof the text before it\n{body}\nand a line after it\n\n{body}"))
+    rows.append(("", "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software\n\nand associated documentation files"))
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_paragraphs) for r in licenses.scan_licenses(docs, model=model).collect()}
+    assert got == {k: (f, 2 if f else 0) for k, (f, _) in enumerate(rows)}
