@@ -195,3 +195,13 @@ def test_wrapped_notices_are_confirmed(spark):
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: (r.families, r.n_paragraphs) for r in licenses.scan_licenses(docs, model=model).collect()}
     assert got == {k: (f, 2 if f else 0) for k, (f, _) in enumerate(rows)}
+
+
+def test_mined_rules_of_four_tokens_are_kept(spark):
+    rows = [(list("abcd"), True)] * 30
+    for gone in "abcd":
+        rows += [([t for t in "abcd" if t != gone], False)] * 30
+    rows += [(["x"], True)] * 30 + [(list("xyzuv"), True)] * 30 + [(["y"], False)] * 60
+    got = {tuple(sorted(r.tokens)) for r in url_filter.mine(spark.createDataFrame(rows, "items array<string>, block boolean")).collect()}
+    assert tuple("abcd") in got and ("x",) in got
+    assert not any("x" in r for r in got if len(r) > 3)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 #: Fixed values: (verdict, host, path).
 FIXED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 LABEL = "label=block"
-#: Share of the labelled URLs, and number of them, that must hold a rule's tokens and the label, share of those with the tokens that must have it, and tokens in a rule.
+#: Share of the labelled URLs, and number of them, that must hold a rule's tokens and the label, share of those with the tokens that must have it, and tokens in a rule that may make a longer one needless.
 SUPPORT, LEAST, CONFIDENCE, TOKENS = 0.005, 20, 0.6, 3
 #: Rules up to which the index is broadcast. Frequent sets number at most the mean count of token sets in a URL over SUPPORT, however many URLs there are.
 BROADCAST_RULES = 50_000
@@ -45,15 +45,26 @@ def parsed(pages: DataFrame, url_col: str) -> DataFrame:
     return pages.select(F.col(url_col).alias("url"), host.alias("host"), path.alias("path")).where("url is not null").distinct().select("url", tokens(F.col("host"), F.col("path"), F.col("url")).alias("items"))
 
 
+def without_implied(rules: DataFrame) -> DataFrame:
+    """The rules (rule, tokens) without those of more than TOKENS tokens that hold all tokens of a rule of up to TOKENS: they match nothing else."""
+    long = rules.where(F.size("tokens") > TOKENS).withColumn("tokens", F.array_sort("tokens"))
+    at = lambda i: F.get(F.col("tokens"), i)
+    after = lambda i: F.sequence(i, F.size("tokens") - 1)
+    sets = F.transform(after(F.lit(0)), lambda i: F.flatten(F.transform(after(i), lambda j: F.transform(after(j), lambda k: F.xxhash64(F.array_distinct(F.array(at(i), at(j), at(k))))))))
+    short = rules.where(F.size("tokens") <= TOKENS).select("rule")
+    implied = long.select(F.col("rule").alias("of"), F.explode(F.array_distinct(F.flatten(sets))).alias("rule")).join(short, "rule", "left_semi").select(F.col("of").alias("rule")).distinct()
+    return rules.join(implied, "rule", "left_anti")
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """rule (a number), tokens: sets of tokens that occur with the label often enough. ``labelled``: items, block (boolean)."""
+    """rule (a number), tokens: sets of tokens of any size that occur with the label often enough, without_implied(). ``labelled``: items, block (boolean)."""
     baskets = labelled.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items")).where(F.size("items") > 0)
     baskets = baskets.persist()
     least = min(1.0, max(support, LEAST / max(1, baskets.count())))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(baskets)
     baskets.unpersist()
-    rules = model.associationRules.where(F.array_contains("consequent", LABEL) & (F.size("antecedent") <= TOKENS) & (F.col("lift") > 1))
-    return rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), F.col("antecedent").alias("tokens"))
+    rules = model.associationRules.where(F.array_contains("consequent", LABEL) & (F.col("lift") > 1))
+    return without_implied(rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), F.col("antecedent").alias("tokens")))
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
