@@ -193,17 +193,44 @@ def _numbered(docs: DataFrame, text_col: str, column: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _candidates(groups: DataFrame, radius: int) -> DataFrame:
-    """Distinct (fa, la, fb, lb): prints within the radius that have different labels. ``groups``: distinct (fp, label)."""
-    tables = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask))) for k, mask in enumerate(wide_masks(radius))))
-    keyed = groups.select(F.explode(tables).alias("key"), "fp", "label").repartition("key").sortWithinPartitions("key")
-
-    def pairs(fp: np.ndarray, label: np.ndarray) -> Iterator[list[np.ndarray]]:
+def _candidates(groups: DataFrame, radius: int, every: bool) -> DataFrame:
+    """Distinct (fa, la, fb, lb): prints within the radius that have different labels; if not ``every``, of each bucket a spanning forest of them, in which
+    a label is linked already. ``groups``: distinct (fp, label). A pair is given by the first table on which it agrees, so once."""
+    masks = np.array(wide_masks(radius), np.int64)
+    tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(int(mask))).alias("key")) for k, mask in enumerate(masks)))
+    keyed = groups.select("fp", "label", F.explode(tables).alias("x")).select("x.t", "x.key", "fp", "label").repartition("t", "key").sortWithinPartitions("t", "key")
+
+    def tree(fp: np.ndarray, label: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """A search in which each group reached looks only at labels not reached yet, and reaches all groups of a label at once."""
+        rest, todo, out = np.arange(len(fp)), [], []
+        while len(rest):
+            if not todo:
+                todo = rest[label[rest] == label[rest[0]]].tolist()
+                rest = rest[label[rest] != label[todo[0]]]
+            x = todo.pop()
+            found = rest[np.bitwise_count((fp[rest] ^ fp[x]).view(np.uint64)) <= radius]
+            if len(found):
+                new, at = np.unique(label[found], return_index=True)
+                out += [(x, y) for y in found[at].tolist()]
+                inside = np.isin(label[rest], new)
+                todo += rest[inside].tolist()
+                rest = rest[~inside]
+        if out:
+            a, b = np.array(out).T
+            swap = label[a] > label[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            yield [fp[a], label[a], fp[b], label[b]]
+
+    def pairs(fp: np.ndarray, label: np.ndarray, table: int) -> Iterator[list[np.ndarray]]:
         step = max(1, (1 << 20) // len(fp))
         for k in range(0, len(fp), step):
             near = np.bitwise_count((fp[k : k + step, None] ^ fp[None, k:]).view(np.uint64)) <= radius
             lower, upper = np.nonzero(near & (label[k : k + step, None] != label[None, k:]))
             lower, upper = k + lower[lower < upper], k + upper[lower < upper]
+            differ = fp[lower] ^ fp[upper]
+            for mask in masks[:table]:
+                later = (differ & mask) != 0
+                lower, upper, differ = lower[later], upper[later], differ[later]
             swap = label[lower] > label[upper]
             lower, upper = np.where(swap, upper, lower), np.where(swap, lower, upper)
             if len(lower):
@@ -213,23 +240,24 @@ def _candidates(groups: DataFrame, radius: int) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def emit(parts):
-            key, fp, label = (np.concatenate(x) for x in zip(*parts, strict=True))
-            cuts = np.flatnonzero(np.diff(key) != 0) + 1
+            t, key, fp, label = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(t) != 0)) + 1
             starts, ends = np.append(0, cuts), np.append(cuts, len(key))
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 if b - a > 1:
-                    for found in pairs(fp[a:b], label[a:b]):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["fa", "la", "fb", "lb"])
+                    for found in pairs(fp[a:b], label[a:b], int(t[a])) if every else tree(fp[a:b], label[a:b]):
+                        if len(found[0]):
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["fa", "la", "fb", "lb"])
 
         for batch in batches:  # sorted, so a bucket that the batch's end may cut waits for the next batch
-            key, fp, label = (batch.column(k).to_numpy() for k in range(3))
+            t, key, fp, label = (batch.column(k).to_numpy() for k in range(4))
             if not len(key):
                 continue
-            last = len(key) - int(np.argmax(np.append(key[::-1] != key[-1], True)))
+            last = len(key) - int(np.argmax(np.append((key[::-1] != key[-1]) | (t[::-1] != t[-1]), True)))
             if last:
-                yield from emit([*held, (key[:last], fp[:last], label[:last])])
+                yield from emit([*held, (t[:last], key[:last], fp[:last], label[:last])])
                 held = []
-            held.append((key[last:], fp[last:], label[last:]))
+            held.append((t[last:], key[last:], fp[last:], label[last:]))
         if held:
             yield from emit(held)
 
@@ -266,7 +294,7 @@ def keep_unlike(docs: DataFrame, radius: int = WIDE, id_col: str = "doc_id", tex
     """The rows of ``docs`` without similar texts: of each component of texts that have ALIKE of their five-word shingles in common the row with the smallest id, once.
 
     Prints choose which texts are compared, their shingles decide. First a spanning forest of what is within RADIUS bits is compared, so that groups of
-    near copies become one component without a list of their pairs; then every pair within ``radius`` bits that is in different components.
+    near copies become one component without a list of their pairs, then one of what is within ``radius`` bits; then every pair within ``radius`` bits that is in different components.
     Rows without an id can't be told apart and stay; of rows with one id and different texts only similar ones go.
     """
     checkpointing(docs.sparkSession)
@@ -289,10 +317,15 @@ def keep_unlike(docs: DataFrame, radius: int = WIDE, id_col: str = "doc_id", tex
         roots = components(edges).select(F.col("node").alias("of"), "root")
         return nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "fp", "least", F.coalesce("root", "node").alias("label"))
 
-    now = labelled(sure).checkpoint()
-    wide = _candidates(now.select("fp", "label").distinct(), radius)
-    wide = wide.join(now.select(F.col("fp").alias("fa"), F.col("label").alias("la"), F.col("node").alias("a")), ["fa", "la"]).join(now.select(F.col("fp").alias("fb"), F.col("label").alias("lb"), F.col("node").alias("b")), ["fb", "lb"])
-    named = labelled(sure.unionByName(_alike(wide.select("a", "b"), docs, text_col)))
+    def wide(now: DataFrame, every: bool) -> DataFrame:
+        found = _candidates(now.select("fp", "label").distinct(), radius, every)
+        nodes_of = lambda x: now.select(F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col("node").alias(x))
+        return _alike(found.join(nodes_of("a"), ["fa", "la"]).join(nodes_of("b"), ["fb", "lb"]).select("a", "b"), docs, text_col)
+
+    for every in (False, True):
+        now = labelled(sure).checkpoint()
+        sure = sure.unionByName(wide(now, every)).checkpoint()
+    named = labelled(sure)
     kept = named.where("least is not null").groupBy("label").agg(F.min(F.struct("least", "node")).alias("x")).select(F.col("x.least").alias("__id"), F.col("x.node").alias("__of"))
     known = _numbered(docs.where(F.col(id_col).isNotNull()), text_col, "__node")
     known = known.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__node") == F.col("__of")), "left_semi").dropDuplicates([id_col, "__node"])
