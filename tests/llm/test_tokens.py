@@ -35,7 +35,7 @@ def test_counts_equal_the_library(spark, rows):
 
 
 def test_boundaries_do_not_depend_on_the_cut_into_chunks():
-    to, begins = token_counts.transducer()
+    to, begins = token_counts.splitter()
     rng = np.random.default_rng(1)
     for _ in range(50):
         text = rng.integers(0, 9, rng.integers(1, 300)).astype(np.uint8)
@@ -71,3 +71,45 @@ def test_merges_take_ranks_in_order():
     vocab = {t: i for i, t in enumerate(["a", "b", "c", "ab", "bc", "abc"])}
     merges = bpe.Merges(vocab, [["b", "c"], ["a", "b"], ["a", "bc"]])
     assert merges.merge_all([[0, 1, 2], [0, 1, 0, 1, 2], [], [1]]) == [[5], [3, 5], [], [1]]
+
+
+SHORT = ["a", "!", "\n", "7 7 7", "zq", "", None]
+
+
+def test_texts_without_a_ranked_pair(spark):
+    """Alone, and as the only new words of a late batch."""
+    byte, word = (tokenizers.Tokenizer.from_str(config(name)) for name in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    counter, encoder = token_counts.Counter(config("byte_bpe_50k.json")), bpe.WordBpe(config("word_bpe_49k.json"))
+    for text in ["a first batch of words", *SHORT]:
+        assert counter.count([text or ""]) == [len(byte.encode(text or "", add_special_tokens=False).ids)]
+        assert [ids for _, ids, _ in encoder.encode([text or ""])] == [" ".join(map(str, word.encode(text or "", add_special_tokens=False).ids))]
+    for text in SHORT:
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert token_counts.count_tokens(docs, config("byte_bpe_50k.json")).first().n_tokens == len(byte.encode(text or "", add_special_tokens=False).ids)
+        assert bpe.encode_documents(docs, config("word_bpe_49k.json")).first().n_tokens == len(word.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_every_code_point_is_classed_as_by_the_library():
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x14400 or 0x16000 <= c < 0x18E00 or 0x1C000 <= c < 0x20000 or c % 97 == 0)]
+    texts = [f"x{chr(c)}1{chr(c)} {chr(c)}'s" for c in codes]
+    lib = tokenizers.Tokenizer.from_str(config("byte_bpe_50k.json"))
+    got = token_counts.Counter(config("byte_bpe_50k.json")).count(texts)
+    assert [hex(c) for c, n, e in zip(codes, got, lib.encode_batch(texts, add_special_tokens=False), strict=True) if n != len(e.ids)] == []
+    lib = tokenizers.Tokenizer.from_str(config("word_bpe_49k.json"))
+    got = bpe.WordBpe(config("word_bpe_49k.json")).encode(texts)
+    assert [hex(c) for c, (_, ids, _), e in zip(codes, got, lib.encode_batch(texts, add_special_tokens=False), strict=True) if ids != " ".join(map(str, e.ids))] == []
+
+
+def test_counts_do_not_depend_on_what_is_compiled(monkeypatch):
+    """Steps one by one, and a start anew whenever more than a few states are known."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aAbz eé漢=-_\n\t1'") for _ in range(rng.randrange(1, 90))) for _ in range(600)] + ["=" * 700, " " * 300, "xyz" * 2000]
+    lib = tokenizers.Tokenizer.from_str(config("byte_bpe_50k.json"))
+    want = [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    counter = token_counts.Counter(config("byte_bpe_50k.json"))
+    assert counter.count(texts) == want and counter.count(texts) == want
+    for few, states in ((0, 10), (10**9, 10), (48, 200)):
+        monkeypatch.setattr(token_counts, "FEW", few)
+        monkeypatch.setattr(token_counts, "STATES", states)
+        counter.clear()
+        assert [n for k in range(0, len(texts), 50) for n in counter.count(texts[k : k + 50])] == want

@@ -7,20 +7,22 @@ the pairs that come to be into the lists of their ranks.
 
 from __future__ import annotations
 
+import functools
 import gc
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, texts_of
+from .letters import SMALL, WHITE, bracket, letters_and_numbers
 
 #: Words whose tokens a worker remembers in each of two generations.
 MEMO = 150_000
@@ -55,8 +57,12 @@ class Merges:
     def index(self, ids: np.ndarray) -> dict[int, list[int]]:
         """The positions of every pair that has a rank, by rank."""
         pairs = ids[:-1] << 20 | ids[1:]
+        if not len(self.pairs):
+            return {}
         at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
         places = np.flatnonzero(self.pairs[at] == pairs)
+        if not len(places):
+            return {}
         ranks = self.order[at[places]]
         places = places[by_rank := np.argsort(ranks, kind="stable")]
         ranks = ranks[by_rank]
@@ -138,11 +144,15 @@ class WordBpe:
         self.merges = Merges(vocab, spec["model"]["merges"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*vocab.items(), *self.added.items()]}
-        letters = byte_letters()
-        self.inner, self.last = [vocab[c] for c in letters], [vocab[c + self.suffix] for c in letters]
-        self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.stretches = regex.compile(r"\S+")
-        self.special = regex.compile("|".join(map(regex.escape, self.added)))
+        of_byte = byte_letters()
+        self.inner, self.last = [vocab[c] for c in of_byte], [vocab[c + self.suffix] for c in of_byte]
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        letters, digits = map(bracket, letters_and_numbers())
+        white = bracket(WHITE)
+        self.words = re.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", digits).replace(r"\s", white))
+        self.capitals = re.compile(f"[{bracket(SMALL)}]")
+        self.stretches = re.compile(f"[^{white}]+")
+        self.special = re.compile("|".join(map(re.escape, self.added)))
         self.memo, self.of_word = Memo(), Memo()  # count, ids and tokens of a stretch and of a word
 
     def merge(self, words: Iterable[str]) -> None:
@@ -178,6 +188,7 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
             if "\u03a3" in text:
                 text = "".join(map(str.lower, text))
+            text = text.translate(SMALL) if self.capitals.search(text) else text
         text = text.lower()
         return self.stretches.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
@@ -198,6 +209,12 @@ class WordBpe:
             yield sum(map(_COUNT, found)), " ".join(filter(None, map(_IDS, found))), " ".join(filter(None, map(_TOKENS, found)))
 
 
+@functools.lru_cache(1)
+def encoder(config: str) -> WordBpe:
+    """A worker's encoder: the words that it remembers serve the tasks that come later."""
+    return WordBpe(config)
+
+
 def encode_documents(docs: DataFrame, config: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: the id, ``n_tokens``, ``ids`` (decimal, joined by one blank) and ``decoded`` (the tokens, joined by one blank, as a library without a decoder gives them).
 
@@ -206,7 +223,7 @@ def encode_documents(docs: DataFrame, config: str, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(shared.value)
+        bpe = encoder(shared.value)
         for batch in by_bytes(batches, "text", 2 << 20):
             gc.disable()  # nothing here makes cycles, and collections would walk through all that is remembered
             try:
@@ -223,5 +240,3 @@ def encode_documents(docs: DataFrame, config: str, id_col: str = "doc_id", text_
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """SHA-256 of the ids and of the decoded text in place of both."""
     return encoded.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
