@@ -8,6 +8,7 @@ is matched against every text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from re import _constants as op  # type: ignore[attr-defined]
 from re import _parser as syntax  # type: ignore[attr-defined]
 from typing import NamedTuple
@@ -40,6 +41,10 @@ MORE = [
 ]
 
 
+#: Matches in a block whose lengths are added up together, and characters in a block of text.
+BLOCK, PIECE = 256, 512
+
+
 def _strings(parsed) -> list[set[str]]:
     """For a parsed pattern: runs in its order, each the set of strings of which one must occur, in lower case."""
     runs: list[set[str]] = [{""}]
@@ -81,19 +86,41 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, id) for each of the trigrams that a text holds, in either case."""
-    low = docs.select("id", F.lower("text").alias("low"))
-    return low.select("id", F.explode(F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))).alias("trigram"))
+    """(trigram, id, tag) for each of the trigrams that a text holds, in either case."""
+    low = docs.select("id", "tag", F.lower("text").alias("low"))
+    return low.select("id", "tag", F.explode(F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """id and kinds: the rules whose query holds for a text. Postings are joined with the queries' fixed table and counted."""
+    """id, tag and kinds: the rules whose query holds for a text. Postings are joined with the queries' fixed table and counted."""
     spark = docs.sparkSession
     clauses = [(rule.kind, k, t, len(way)) for rule in rules for k, way in enumerate(trigram_query(rule.pattern)) for t in sorted(way)]
     query = spark.createDataFrame(clauses, "kind string, clause int, trigram string, need long")
     found = postings(docs, sorted({t for _, _, t, _ in clauses})).join(F.broadcast(query), "trigram")  # the table is as large as the rules
-    whole = found.groupBy("id", "kind", "clause", "need").agg(F.countDistinct("trigram").alias("n")).where("n = need")
-    return whole.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+    whole = found.groupBy("id", "tag", "kind", "clause", "need").agg(F.countDistinct("trigram").alias("n")).where("n = need")
+    return whole.groupBy("id", "tag").agg(F.collect_set("kind").alias("kinds"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(values: Column, merge: Callable[[Column, Column], Column], levels: int = 1) -> Column:
+    """For each of the whole numbers in an array what ``merge`` makes of all those before it and 0. Values are merged by blocks, and the
+    blocks in turn, so the work follows their number."""
+
+    def prefix(block: Column, start: Column) -> Column:
+        return F.transform(block, lambda _, i: F.aggregate(F.slice(block, 1, i), start, merge))
+
+    def parts(values: Column) -> Column:
+        if not levels:
+            return prefix(values, F.lit(0))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+        ends = lambda blocks: before(F.transform(blocks, lambda v: F.aggregate(v, F.lit(0), merge)), merge, levels - 1)
+        return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, ends(blocks), prefix)))
+
+    return let(values, lambda x: F.when(F.size(x) > 0, parts(x)).otherwise(F.array().cast("array<int>")))
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
@@ -104,22 +131,24 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("hit"),
         F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("part"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["hit"], F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["part"] >= max(1, rule.least), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def spans(parts: Column) -> Column:
+        whole = F.transform(parts, lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0)))
+        starts = F.zip_with(parts, before(whole, lambda a, x: a + x), lambda x, at: F.when(x["part"] >= max(1, rule.least), F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["gap"] + x["hit"]).alias("end"))))
+        return F.array_compact(starts)
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.coalesce(let(parts, spans), none)
 
 
 def scan(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -> DataFrame:
-    """The text of each row, its other columns as struct ``row``, and ``found``: the spans of all rules by start, then by the order of rules. A null text has none."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row"))
-    likely = candidates(source, rules).select(F.col("id").alias("of"), "kinds")
-    joined = source.join(likely, F.col("id").eqNullSafe(F.col("of")), "left")
+    """The text of each row, its other columns as struct ``row``, and ``found``: the spans of all rules by start, then by the order of rules. A null text has none.
+
+    Rows are known by their id and their text's hash, so rows without an id, or with the same one, keep their own candidates and are dealt out.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row"))
+    likely = candidates(source, rules).select(F.col("id").alias("of"), F.col("tag").alias("of_tag"), "kinds")
+    joined = source.join(likely, F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     found = []
     for rank, rule in enumerate(rules):
@@ -148,15 +177,21 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each run of characters that spans cover replaced by ``mark``; null texts stay null. A column n_chars follows the text."""
     rows = scan(docs, [*BASE, *MORE], id_col, text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        """The characters from a on before b, out of the blocks that hold them: a search from the text's start would take longer the further it goes."""
+        first = F.floor(a / PIECE).cast("int")
+        held = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
+        return F.substring(held, a - first * PIECE + 1, b - a)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] > acc["at"], F.concat(acc["out"], gap, F.lit(mark))).when((acc["at"] == 0) & (acc["out"] == ""), F.lit(mark)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def pieces(blocks: Column) -> Column:
+        reached = before(F.transform("found", lambda s: s["end"]), lambda a, x: F.greatest(a, x))  # the end of all spans before each
+        parts = F.zip_with("found", reached, lambda s, at: F.when(s["start"] > at, F.concat(between(blocks, at, s["start"]), F.lit(mark))).when(at == 0, F.lit(mark)).otherwise(""))
+        end = F.array_max(F.transform("found", lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), F.when(end < F.length("text"), between(blocks, end, F.length("text"))).otherwise(""))
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     none = F.size("found") == 0
+    rows = rows.select("row", "text", "found", F.when(~none, let(blocks, pieces)).alias("clean"))
     values = {text_col: F.when(none, F.col("text")).otherwise(F.col("clean"))} | ({"n_chars": F.when(none, F.col("row.n_chars")).otherwise(F.length("clean"))} if "n_chars" in docs.columns else {})
-    rows = rows.select("row", "text", "found", F.when(~none, clean).alias("clean"))
     return rows.select(*(values.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
