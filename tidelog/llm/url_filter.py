@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointing
+
 #: Fixed values: (verdict, host, path).
 FIXED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 LABEL = "label=block"
-#: Share of the labelled URLs, and number of them, that must hold a rule's tokens and the label, share of those with the tokens that must have it, and tokens in a rule that may make a longer one needless.
+#: Share of the labelled URLs, and number of them, that must hold a rule's tokens and the label, share of those with the tokens that must have it, and items in a rule that may make a longer one needless.
 SUPPORT, LEAST, CONFIDENCE, TOKENS = 0.005, 20, 0.6, 3
 #: Rules up to which the index is broadcast. Frequent sets number at most the mean count of token sets in a URL over SUPPORT, however many URLs there are.
 BROADCAST_RULES = 50_000
@@ -45,39 +49,70 @@ def parsed(pages: DataFrame, url_col: str) -> DataFrame:
     return pages.select(F.col(url_col).alias("url"), host.alias("host"), path.alias("path")).where("url is not null").distinct().select("url", tokens(F.col("host"), F.col("path"), F.col("url")).alias("items"))
 
 
+def token_table(labelled: DataFrame, least: float, confidence: float) -> DataFrame:
+    """token, item and sure (the token is a rule on its own) of the tokens that rules can hold. ``labelled``: items, block.
+
+    What FP-growth need not see is left out, all of it without a loss: tokens that too few blocked URLs hold; those that every URL holds, which change
+    nothing in a rule; and those that are rules themselves, since longer rules with them match nothing else. Tokens that the same URLs hold become one
+    item, the least of them: a rule holds one of them as well as another, so deep paths don't multiply.
+    """
+    row = F.xxhash64("items")
+    tokens = labelled.select(F.explode("items").alias("token"), "block", row.alias("row")).groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if("block").alias("bad"), F.sum(F.col("row").cast("decimal(38,0)")).alias("sum"), F.bit_xor("row").alias("xor"))
+    total = labelled.agg(F.count("*").alias("all_n"), F.count_if("block").alias("all_bad"))
+    tokens = tokens.join(F.broadcast(total)).where((F.col("bad") >= least) & (F.col("n") < F.col("all_n")))
+    sure = (F.col("bad") >= confidence * F.col("n")) & (F.col("bad") * F.col("all_n") > F.col("all_bad") * F.col("n"))
+    items = tokens.groupBy("n", "bad", "sum", "xor").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"), F.first(sure).alias("sure"))
+    return items.select(F.explode("tokens").alias("token"), "item", "sure")
+
+
 def without_implied(rules: DataFrame) -> DataFrame:
-    """The rules (rule, tokens) without those of more than TOKENS tokens that hold all tokens of a rule of up to TOKENS: they match nothing else."""
-    long = rules.where(F.size("tokens") > TOKENS).withColumn("tokens", F.array_sort("tokens"))
-    at = lambda i: F.get(F.col("tokens"), i)
-    after = lambda i: F.sequence(i, F.size("tokens") - 1)
+    """The rules (rule, items) without those of more than TOKENS items that hold all items of a rule of up to TOKENS: they match nothing else."""
+    long = rules.where(F.size("items") > TOKENS).withColumn("items", F.array_sort("items"))
+    at = lambda i: F.get(F.col("items"), i)
+    after = lambda i: F.sequence(i, F.size("items") - 1)
     sets = F.transform(after(F.lit(0)), lambda i: F.flatten(F.transform(after(i), lambda j: F.transform(after(j), lambda k: F.xxhash64(F.array_distinct(F.array(at(i), at(j), at(k))))))))
-    short = rules.where(F.size("tokens") <= TOKENS).select("rule")
+    short = rules.where(F.size("items") <= TOKENS).select("rule")
     implied = long.select(F.col("rule").alias("of"), F.explode(F.array_distinct(F.flatten(sets))).alias("rule")).join(short, "rule", "left_semi").select(F.col("of").alias("rule")).distinct()
     return rules.join(implied, "rule", "left_anti")
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """rule (a number), tokens: sets of tokens of any size that occur with the label often enough, without_implied(). ``labelled``: items, block (boolean)."""
-    baskets = labelled.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items")).where(F.size("items") > 0)
-    baskets = baskets.persist()
-    least = min(1.0, max(support, LEAST / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(baskets)
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """The rules (rule, items), sets of items of any size that occur with the label often enough, without_implied(), and the items' tokens (token, item).
+    ``labelled``: items (tokens), block (boolean)."""
+    labelled = labelled.where((F.size("items") > 0) | F.col("block")).persist()
+    count = max(1, labelled.count())
+    least = max(support * count, LEAST)
+    checkpointing(labelled.sparkSession)
+    tokens = token_table(labelled, least, confidence).checkpoint()
+    few = tokens.count() <= BROADCAST_RULES
+    kept = tokens.where(~F.col("sure")).select("token", "item")
+    rows = labelled.select("block", "items", F.monotonically_increasing_id().alias("number"))
+    held = rows.select("number", "block", F.explode("items").alias("token")).join(F.broadcast(kept) if few else kept, "token").groupBy("number", "block").agg(F.collect_set("item").alias("items"))
+    baskets = held.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items")).persist()
+    # URLs of which no token is left count for the label's share, by which a rule must be better
+    share = labelled.agg(F.try_divide(F.count_if("block"), F.count("*")).alias("share"))
+    inside = baskets.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (math.ceil(least) - 0.5) / max(1, inside)), minConfidence=confidence).fit(baskets)
+    found = model.associationRules.where(F.array_contains("consequent", LABEL)).join(F.broadcast(share)).where("confidence > share")
+    rules = found.select(F.array_sort("antecedent").alias("items")).unionByName(tokens.where("sure").select(F.array("item").alias("items")).distinct())
+    out = without_implied(rules.select(F.xxhash64("items").alias("rule"), "items")).checkpoint()
     baskets.unpersist()
-    rules = model.associationRules.where(F.array_contains("consequent", LABEL) & (F.col("lift") > 1))
-    return without_implied(rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), F.col("antecedent").alias("tokens")))
+    labelled.unpersist()
+    return out, tokens.select("token", "item")
 
 
-def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The urls that hold all tokens of a rule. ``urls``: url, items. The rules' inverted index (token, rule) is joined with the tokens of the urls."""
-    index = rules.select("rule", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-    few = rules.count() <= BROADCAST_RULES
+def matches(urls: DataFrame, rules: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The urls that hold a token of each item of a rule. ``urls``: url, items. The rules' inverted index (token, rule, item) is joined with the tokens of the urls."""
+    index = rules.select("rule", F.size("items").alias("need"), F.explode("items").alias("item")).join(tokens, "item")
+    few = index.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     held = urls.select("url", F.explode("items").alias("token"))
     if few:
         pairs = held.join(F.broadcast(index), "token")
     else:  # common tokens are dealt out over 32 copies of the index
         salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
         pairs = held.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(32)).cast("int")).join(salted, ["token", "salt"])
-    return pairs.groupBy("url", "rule", "need").agg(F.count("*").alias("n")).where("n = need").select("url").distinct()
+    return pairs.groupBy("url", "rule", "need").agg(F.countDistinct("item").alias("n")).where("n = need").select("url").distinct()
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id") -> DataFrame:
@@ -91,8 +126,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", ur
     marks = marks.groupBy("of").agg(F.max("block").alias("block"))
     known = pages.select(F.col(id_col).alias("of"), F.col(url_col).alias("url")).join(marks, "of").groupBy("url").agg(F.max("block").alias("block"))
     urls = parsed(pages, url_col)
-    rules = mine(urls.join(known, "url"))
-    bad = matches(urls, rules).select(F.col("url").alias("bad"))
+    rules, table = mine(urls.join(known, "url").select("items", "block"))
+    bad = matches(urls, rules, table).select(F.col("url").alias("bad"))
     host, path = host_and_path(F.col("url"))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
