@@ -53,7 +53,7 @@ def warc_sql() -> str:
     return (
         f"WITH r AS (SELECT page_id AS id, {head} AS rec FROM pages, (SELECT chr(13) || chr(10) AS e)), "
         f"s AS (SELECT id, id // {warc.PER_FILE} AS file, rec, strlen(rec) AS size FROM r), "
-        "o AS (SELECT *, row_number() OVER w - 1 AS rank, CAST(sum(size) OVER w AS BIGINT) AS \"end\" FROM s WINDOW w AS (PARTITION BY file ORDER BY id)), "
+        f"o AS (SELECT *, id % {warc.PER_FILE} AS rank, CAST(sum(size) OVER w AS BIGINT) AS \"end\" FROM s WINDOW w AS (PARTITION BY file ORDER BY id)), "
         "h AS (SELECT *, rec[:299] || '#' || rec[301:] AS hurt FROM o WHERE id % 97 = 13) "
         "SELECT file, rank, \"end\" - size AS start, \"end\", id, sha256(rec) AS expected, sha256(hurt) AS found FROM h WHERE rec <> hurt"
     )

@@ -7,6 +7,8 @@ roots down; only below a node that differs are children looked at, so the rows c
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .common import checkpointing
 FANOUT = 16
 #: Records in a file: two levels of the tree.
 PER_FILE = FANOUT * FANOUT
+#: Files that take the records which no id places.
+HASHED_FILES = 1 << 20
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -42,26 +46,34 @@ def read_files(spark, path: str) -> DataFrame:
     return out.select(F.when(F.col("id") != "", F.col("id").cast("long")).alias("id"), "url", body.alias("html"), (F.octet_length(body) == F.expr("try_cast(size as int)")).alias("whole"))
 
 
-def leaves(recs: DataFrame) -> DataFrame:
-    """file, node, id, start, end, copies and hash of each record: a file holds PER_FILE successive ids, ``node`` is the place by id and hash.
+def hashed(recs: DataFrame) -> DataFrame:
+    """id, size, hash and copies of each distinct record."""
+    lean = recs.select("id", F.octet_length("record").cast("long").alias("size"), F.sha2("record", 256).alias("hash"))
+    return lean.groupBy("id", "size", "hash").agg(F.count("*").alias("copies"))
+
 
-    Equal records are one leaf with a number of copies. Records without an id are dealt out to files of their own by hash.
+def leaves(lean: DataFrame, full: DataFrame) -> DataFrame:
+    """file, node, id, start, end, copies and hash of each distinct record: a file holds PER_FILE successive ids, ``node`` is the id's place among them,
+    so that a lost or added record moves no other. ``start`` and ``end`` are the record's offsets in its own replica.
+
+    Records without an id, or with one of the ids in ``full`` (of more than PER_FILE different records), are dealt out by hash to files and nodes of their own.
     """
-    lean = recs.select("id", F.octet_length("record").cast("long").alias("size"), F.sha2("record", 256).alias("hash"))
-    lean = lean.groupBy("id", "size", "hash").agg(F.count("*").alias("copies"))
-    own = F.floor(F.col("id") / PER_FILE).cast("long")
-    lean = lean.withColumn("file", F.coalesce(own, -1 - (1 << 40) - F.pmod(F.xxhash64("hash"), F.lit(1 << 16))))
-    order = Window.partitionBy("file").orderBy("id", "hash")
-    end = F.sum(F.col("size") * F.col("copies")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return lean.select("file", (F.row_number().over(order) - 1).cast("long").alias("node"), "id", (end - F.col("size") * F.col("copies")).alias("start"), end.alias("end"), "copies", "hash")
+    apart = lean.join(full, "id", "left").select(*lean.columns, (F.col("id").isNull() | F.col("full").isNotNull()).alias("apart"))
+    spread = F.pmod(F.xxhash64("id", "hash"), F.lit(HASHED_FILES * PER_FILE))
+    place = F.when(F.col("apart"), spread).otherwise(F.col("id"))
+    file = F.floor(place / PER_FILE).cast("long")
+    placed = apart.select(F.when(F.col("apart"), -1 - (1 << 40) - file).otherwise(file).alias("file"), F.pmod(place, F.lit(PER_FILE)).cast("long").alias("node"), "id", "size", "hash", "copies")
+    end = F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy("file").orderBy("node", "id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.select("file", "node", "id", (end - F.col("size") * F.col("copies")).alias("start"), end.alias("end"), "copies", "hash")
 
 
 def _up(nodes: DataFrame, by: dict[str, Column]) -> DataFrame:
-    """The next level: a hash over the ordered children, with the range of offsets that they cover."""
-    keyed = nodes.select(*(c.alias(f"of_{k}") for k, c in by.items()), F.struct("node", "start", "end", "hash").alias("kid"))
-    up = keyed.groupBy(*(F.col(f"of_{k}").alias(k) for k in by)).agg(F.array_sort(F.collect_list("kid")).alias("kids"))
-    text = F.array_join(F.transform("kids", lambda k: F.concat_ws(":", k["node"].cast("string"), k["start"].cast("string"), k["end"].cast("string"), k["hash"])), ",")
-    return up.select(*by, F.get("kids", F.lit(0))["start"].alias("start"), F.element_at("kids", -1)["end"].alias("end"), F.sha2(text, 256).alias("hash"))
+    """The next level: a hash over the ordered children, with the range of offsets that they cover. Offsets are not hashed, as they move with every record before."""
+    copies = F.col("copies") if "copies" in nodes.columns else F.lit(1).cast("long").alias("copies")
+    keyed = nodes.select(*(c.alias(f"of_{k}") for k, c in by.items()), F.struct("node", "hash", copies).alias("kid"), "start", "end")
+    up = keyed.groupBy(*(F.col(f"of_{k}").alias(k) for k in by)).agg(F.array_sort(F.collect_list("kid")).alias("kids"), F.min("start").alias("start"), F.max("end").alias("end"))
+    text = F.array_join(F.transform("kids", lambda k: F.concat_ws(":", k["node"].cast("string"), k["copies"].cast("string"), k["hash"])), ",")
+    return up.select(*by, "start", "end", F.sha2(text, 256).alias("hash"))
 
 
 def parent(depth: int) -> dict[str, Column]:
@@ -74,7 +86,10 @@ def parent(depth: int) -> dict[str, Column]:
 def trees(*replicas: DataFrame) -> list[list[DataFrame]]:
     """The levels of each replica's tree from the records up, all equally high. The records' hashes are written once, so that levels read hashes only."""
     checkpointing(replicas[0].sparkSession)
-    out = [[leaves(recs).checkpoint()] for recs in replicas]
+    lean = [hashed(recs).checkpoint() for recs in replicas]
+    many = [x.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > PER_FILE).select("id") for x in lean]
+    full = functools.reduce(DataFrame.union, many).distinct().withColumn("full", F.lit(True)).checkpoint()
+    out = [[leaves(x, full).checkpoint()] for x in lean]
     for levels in out:
         levels.append(_up(levels[0], parent(0)))
         levels.append(_up(levels[1], parent(1)).checkpoint())
@@ -86,10 +101,12 @@ def trees(*replicas: DataFrame) -> list[list[DataFrame]]:
 
 
 def audit(recs: DataFrame, replica: DataFrame) -> DataFrame:
-    """file, rank, start, end, id, expected and found: the records of a replica that differ. ``rank`` is the place in the file; a record that one side
-    lacks has a null hash there. Equal roots give no rows: the comparison ends there.
+    """file, rank, start, end, id, expected and found: the records of a replica that differ. ``rank`` is the place in the file, ``start`` and ``end`` are
+    the offsets in the first replica, or in the second where the first lacks the record. Equal roots give no rows: the comparison ends there.
 
-    Both take (id, record). Where a record is lost or added, those behind it in its file move and count as different. Empty tables are equal.
+    Both take (id, record). A record that one side lacks has a null hash there and is one row, wherever it stood. Different records of one id are set
+    against each other in the order of their hashes, without those that both sides have. A record that one side has more often has the same hash twice.
+    Empty tables are equal.
     """
     ours, theirs = trees(recs, replica)
     bad: DataFrame | None = None
@@ -102,9 +119,16 @@ def audit(recs: DataFrame, replica: DataFrame) -> DataFrame:
                 last = depth + 2 == len(ours) and depth > 1  # all nodes below the root
                 above = {"node": F.lit(0).cast("long")} if last else parent(depth)
                 level = level.select("*", *(c.alias(f"up_{k}") for k, c in above.items())).join(bad, [f"up_{k}" for k in above], "left_semi")
-            sides.append(level.select(*keys, F.struct("hash", *(["copies", "id", "start", "end"] if depth == 0 else [])).alias(f"side{len(sides)}")))
-        differ = sides[0].join(sides[1], keys, "full").where(~(F.col("side0.hash").eqNullSafe(F.col("side1.hash")) & (F.col("side0.copies").eqNullSafe(F.col("side1.copies")) if depth == 0 else F.lit(True))))
+            sides.append(level)
         if depth:
-            bad = differ.select(*(F.col(k).alias(f"up_{k}") for k in keys))
-    first = lambda c: F.coalesce(F.col(f"side0.{c}"), F.col(f"side1.{c}")).alias(c)
-    return differ.select("file", F.col("node").alias("rank"), first("start"), first("end"), first("id"), F.col("side0.hash").alias("expected"), F.col("side1.hash").alias("found"))
+            names = [side.select(*keys, F.col("hash").alias(f"hash{k}")) for k, side in enumerate(sides)]
+            bad = names[0].join(names[1], keys, "full").where(~F.col("hash0").eqNullSafe(F.col("hash1"))).select(*(F.col(k).alias(f"up_{k}") for k in keys))
+    # below the ranges that differ are at most FANOUT nodes each, of at most PER_FILE different records
+    one = F.struct("hash", "copies", "id", "start", "end")
+    listed = [side.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias(f"side{k}")) for k, side in enumerate(sides)]
+    both = listed[0].join(listed[1], keys, "full")
+    lacks = lambda a, b: F.filter(F.coalesce(a, F.array()), lambda x: ~F.exists(F.coalesce(b, F.array()), lambda y: (x["hash"] == y["hash"]) & (x["copies"] == y["copies"]) & x["id"].eqNullSafe(y["id"])))
+    pairs = F.arrays_zip(lacks(F.col("side0"), F.col("side1")).alias("a"), lacks(F.col("side1"), F.col("side0")).alias("b"))
+    rows = both.select("file", "node", F.explode(pairs).alias("x"))
+    first = lambda c: F.coalesce(F.col(f"x.a.{c}"), F.col(f"x.b.{c}")).alias(c)
+    return rows.select("file", F.col("node").alias("rank"), first("start"), first("end"), first("id"), F.col("x.a.hash").alias("expected"), F.col("x.b.hash").alias("found"))
