@@ -137,17 +137,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return rows.join(named, F.col("fp") == F.col("of")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id, once. Rows without an id can't be told apart and stay."""
-    first = near_duplicates(docs, radius, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return known.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
-
-
 #: Similar texts: words in a shingle, the least Jaccard similarity of the shingle sets, and the bits in which the prints of compared texts may differ.
 SHINGLE, ALIKE, WIDE = 5, 0.8, 14
 #: Parts into which a print is cut for the wide search. Some part of two prints within WIDE bits is within WIDE // PARTS.
 PARTS = 3
+#: Bins of a text's sketch, and the share of equal bins below which two texts are not compared: with ALIKE in common it lies at .81, four standard deviations up.
+BINS, LIKELY = 64, 0.61
 #: Texts with candidates up to which their numbers are broadcast (8 bytes each).
 BROADCAST_NODES = 1_000_000
 
@@ -175,6 +170,26 @@ def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[k : k + words]), SEED) for k in starts), np.uint64))
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Four bits of the least hash in each of BINS ranges of hashes, 0 for a range without any: two bins a byte. ``grams``: distinct hashes in order."""
+    edges = (np.arange(BINS, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
+    at = np.searchsorted(grams, edges)
+    ends = np.append(at[1:], len(grams))
+    bins = np.zeros(BINS, np.uint8)
+    full = at < ends
+    bins[full] = ((grams[at[full]] >> np.uint64(17)) % np.uint64(15) + np.uint64(1)).astype(np.uint8)
+    return (bins[0::2] << 4 | bins[1::2]).tobytes()
+
+
+def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of sketches, which pairs may be similar. Few bins tell nothing, so those pairs stay."""
+    equal = used = 0
+    for x, y in ((a >> 4, b >> 4), (a & 15, b & 15)):
+        equal = equal + ((x == y) & (x > 0)).sum(axis=1)
+        used = used + ((x > 0) | (y > 0)).sum(axis=1)
+    return (used < BINS // 2) | (equal >= LIKELY * used)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two shingle sets; 1 if both are empty."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -195,12 +210,13 @@ def _numbered(docs: DataFrame, text_col: str, column: str) -> DataFrame:
 
 def _candidates(groups: DataFrame, radius: int, every: bool) -> DataFrame:
     """Distinct (fa, la, fb, lb): prints within the radius that have different labels; if not ``every``, of each bucket a spanning forest of them, in which
-    a label is linked already. ``groups``: distinct (fp, label). A pair is given by the first table on which it agrees, so once."""
+    a label is linked already. ``groups``: distinct (fp, label) with the least and most shingles of their texts, lo and hi: similar sets are similar in
+    size. A pair is given by the first table on which it agrees, so once."""
     masks = np.array(wide_masks(radius), np.int64)
     tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(int(mask))).alias("key")) for k, mask in enumerate(masks)))
-    keyed = groups.select("fp", "label", F.explode(tables).alias("x")).select("x.t", "x.key", "fp", "label").repartition("t", "key").sortWithinPartitions("t", "key")
+    keyed = groups.select("fp", "label", "lo", "hi", F.explode(tables).alias("x")).select("x.t", "x.key", "fp", "label", "lo", "hi").repartition("t", "key").sortWithinPartitions("t", "key")
 
-    def tree(fp: np.ndarray, label: np.ndarray) -> Iterator[list[np.ndarray]]:
+    def tree(fp: np.ndarray, label: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[list[np.ndarray]]:
         """A search in which each group reached looks only at labels not reached yet, and reaches all groups of a label at once."""
         rest, todo, out = np.arange(len(fp)), [], []
         while len(rest):
@@ -209,6 +225,7 @@ def _candidates(groups: DataFrame, radius: int, every: bool) -> DataFrame:
                 rest = rest[label[rest] != label[todo[0]]]
             x = todo.pop()
             found = rest[np.bitwise_count((fp[rest] ^ fp[x]).view(np.uint64)) <= radius]
+            found = found[(hi[found] >= ALIKE * lo[x]) & (hi[x] >= ALIKE * lo[found])]
             if len(found):
                 new, at = np.unique(label[found], return_index=True)
                 out += [(x, y) for y in found[at].tolist()]
@@ -221,12 +238,14 @@ def _candidates(groups: DataFrame, radius: int, every: bool) -> DataFrame:
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             yield [fp[a], label[a], fp[b], label[b]]
 
-    def pairs(fp: np.ndarray, label: np.ndarray, table: int) -> Iterator[list[np.ndarray]]:
+    def pairs(fp: np.ndarray, label: np.ndarray, lo: np.ndarray, hi: np.ndarray, table: int) -> Iterator[list[np.ndarray]]:
         step = max(1, (1 << 20) // len(fp))
         for k in range(0, len(fp), step):
             near = np.bitwise_count((fp[k : k + step, None] ^ fp[None, k:]).view(np.uint64)) <= radius
             lower, upper = np.nonzero(near & (label[k : k + step, None] != label[None, k:]))
             lower, upper = k + lower[lower < upper], k + upper[lower < upper]
+            sized = (hi[lower] >= ALIKE * lo[upper]) & (hi[upper] >= ALIKE * lo[lower])
+            lower, upper = lower[sized], upper[sized]
             differ = fp[lower] ^ fp[upper]
             for mask in masks[:table]:
                 later = (differ & mask) != 0
@@ -240,33 +259,43 @@ def _candidates(groups: DataFrame, radius: int, every: bool) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def emit(parts):
-            t, key, fp, label = (np.concatenate(x) for x in zip(*parts, strict=True))
+            t, key, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(t) != 0)) + 1
             starts, ends = np.append(0, cuts), np.append(cuts, len(key))
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 if b - a > 1:
-                    for found in pairs(fp[a:b], label[a:b], int(t[a])) if every else tree(fp[a:b], label[a:b]):
+                    own = [x[a:b] for x in rest]
+                    for found in pairs(*own, int(t[a])) if every else tree(*own):
                         if len(found[0]):
                             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["fa", "la", "fb", "lb"])
 
         for batch in batches:  # sorted, so a bucket that the batch's end may cut waits for the next batch
-            t, key, fp, label = (batch.column(k).to_numpy() for k in range(4))
+            t, key, *_ = columns = [batch.column(k).to_numpy() for k in range(6)]
             if not len(key):
                 continue
             last = len(key) - int(np.argmax(np.append((key[::-1] != key[-1]) | (t[::-1] != t[-1]), True)))
             if last:
-                yield from emit([*held, (t[:last], key[:last], fp[:last], label[:last])])
+                yield from emit([*held, tuple(x[:last] for x in columns)])
                 held = []
-            held.append((t[last:], key[last:], fp[last:], label[last:]))
+            held.append(tuple(x[last:] for x in columns))
         if held:
             yield from emit(held)
 
     return keyed.mapInArrow(run, "fa long, la long, fb long, lb long").distinct()
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) of numbers whose texts have ALIKE of their shingles in common."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (a, b) of numbers whose texts have ALIKE of their shingles in common. Sketches tell most of the others before any text is read."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS // 2) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array(likely(left, right)))
+
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(look, "a long, b long").checkpoint()
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().checkpoint()
     few = used.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
 
@@ -302,25 +331,28 @@ def keep_unlike(docs: DataFrame, radius: int = WIDE, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([fingerprint(x) for x in texts], pa.int64()), pa.array([text_number(x) for x in texts], pa.int64())], ["id", "fp", "node"])
+            grams = [shingles(x) for x in texts]
+            columns = [pa.array([fingerprint(x) for x in texts], pa.int64()), pa.array([text_number(x) for x in texts], pa.int64()), pa.array(map(len, grams), pa.int64()), pa.array(map(sketch, grams), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "fp", "node", "size", "sketch"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long, node long")
-    nodes = rows.groupBy("node", "fp").agg(F.min("id").alias("least")).checkpoint()
+    rows = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long, node long, size long, sketch binary")
+    nodes = rows.groupBy("node", "fp", "size", "sketch").agg(F.min("id").alias("least")).checkpoint()
+    sketches = nodes.select("node", "sketch").dropDuplicates(["node"])
     first_of = nodes.groupBy("fp").agg(F.min("node").alias("first")).checkpoint()
     edges = links(first_of.select("fp")).distinct()
     edges = edges.join(first_of.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a").join(first_of.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b")
     pairs = edges.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(nodes.join(first_of, "fp").select(F.col("first").alias("a"), F.col("node").alias("b")))
-    sure = _alike(pairs, docs, text_col).checkpoint()
+    sure = _alike(pairs, docs, sketches, text_col).checkpoint()
 
     def labelled(edges: DataFrame) -> DataFrame:
         roots = components(edges).select(F.col("node").alias("of"), "root")
-        return nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "fp", "least", F.coalesce("root", "node").alias("label"))
+        return nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "fp", "size", "least", F.coalesce("root", "node").alias("label"))
 
     def wide(now: DataFrame, every: bool) -> DataFrame:
-        found = _candidates(now.select("fp", "label").distinct(), radius, every)
+        found = _candidates(now.groupBy("fp", "label").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), radius, every)
         nodes_of = lambda x: now.select(F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col("node").alias(x))
-        return _alike(found.join(nodes_of("a"), ["fa", "la"]).join(nodes_of("b"), ["fb", "lb"]).select("a", "b"), docs, text_col)
+        return _alike(found.join(nodes_of("a"), ["fa", "la"]).join(nodes_of("b"), ["fb", "lb"]).select("a", "b"), docs, sketches, text_col)
 
     for every in (False, True):
         now = labelled(sure).checkpoint()
