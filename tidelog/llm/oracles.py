@@ -43,7 +43,7 @@ def quality_sql() -> str:
         r"c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM t), "
         "j AS (SELECT c.*, coalesce(l.n, 0) AS n_dup_lines, coalesce(three.n, 0) AS n_repeat_words, coalesce(long.n, 0) AS covered, m.doc_id IS NOT NULL AS much FROM c LEFT JOIN l USING (doc_id) LEFT JOIN three USING (doc_id) LEFT JOIN long USING (doc_id) LEFT JOIN m USING (doc_id)), "
         "k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j) "
-        f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered <= {share} * n_words AND NOT much AS kept FROM k"
+        f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered AS n_covered, base_failed, NOT base_failed AND covered <= {share} * n_words AND NOT much AS kept FROM k"
     )
 
 

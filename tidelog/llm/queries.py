@@ -44,7 +44,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents")).drop("n_covered", "longest_repeat")
+    return quality.quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
