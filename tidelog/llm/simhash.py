@@ -138,9 +138,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 #: Similar texts: words in a shingle, the least Jaccard similarity of the shingle sets, and the bits in which the prints of compared texts may differ.
-SHINGLE, ALIKE, WIDE = 5, 0.8, 14
+SHINGLE, ALIKE, WIDE = 5, 0.8, 9
 #: Parts into which a print is cut for the wide search. Some part of two prints within WIDE bits is within WIDE // PARTS.
-PARTS = 3
+PARTS = 2
 #: Bins of a text's sketch, and the share of equal bins below which two texts are not compared: with ALIKE in common it lies at .81, four standard deviations up.
 BINS, LIKELY = 64, 0.61
 #: Texts with candidates up to which their numbers are broadcast (8 bytes each).
@@ -158,11 +158,6 @@ def wide_masks(radius: int = WIDE, parts: int = PARTS) -> list[int]:
     return out
 
 
-def text_number(text: bytes) -> int:
-    """Equal for texts of the same words, without regard to ASCII case and white space."""
-    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED) - (1 << 63)
-
-
 def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of the text's shingles in order; a shorter text is one shingle, one without words has none."""
     parts = text.lower().split()
@@ -196,47 +191,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
 
 
-def _numbered(docs: DataFrame, text_col: str, column: str) -> DataFrame:
-    """``docs`` with the number of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text_col):
-            numbers = pa.array([text_number(x or b"") for x in batch.column(text_col).cast(pa.binary()).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, column])
-
-    schema = StructType([*docs.schema.fields, StructField(column, LongType())])
-    return docs.mapInArrow(run, schema)
-
-
-def _candidates(groups: DataFrame, radius: int, every: bool) -> DataFrame:
-    """Distinct (fa, la, fb, lb): prints within the radius that have different labels; if not ``every``, of each bucket a spanning forest of them, in which
-    a label is linked already. ``groups``: distinct (fp, label) with the least and most shingles of their texts, lo and hi: similar sets are similar in
-    size. A pair is given by the first table on which it agrees, so once."""
+def _candidates(groups: DataFrame, radius: int) -> DataFrame:
+    """Distinct (fa, la, fb, lb): prints within the radius that have different labels. ``groups``: distinct (fp, label) with the least and most shingles
+    of their texts, lo and hi: similar sets are similar in size. A pair is given by the first table on which it agrees, so once."""
     masks = np.array(wide_masks(radius), np.int64)
-    tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(int(mask))).alias("key")) for k, mask in enumerate(masks)))
-    keyed = groups.select("fp", "label", "lo", "hi", F.explode(tables).alias("x")).select("x.t", "x.key", "fp", "label", "lo", "hi").repartition("t", "key").sortWithinPartitions("t", "key")
-
-    def tree(fp: np.ndarray, label: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[list[np.ndarray]]:
-        """A search in which each group reached looks only at labels not reached yet, and reaches all groups of a label at once."""
-        rest, todo, out = np.arange(len(fp)), [], []
-        while len(rest):
-            if not todo:
-                todo = rest[label[rest] == label[rest[0]]].tolist()
-                rest = rest[label[rest] != label[todo[0]]]
-            x = todo.pop()
-            found = rest[np.bitwise_count((fp[rest] ^ fp[x]).view(np.uint64)) <= radius]
-            found = found[(hi[found] >= ALIKE * lo[x]) & (hi[x] >= ALIKE * lo[found])]
-            if len(found):
-                new, at = np.unique(label[found], return_index=True)
-                out += [(x, y) for y in found[at].tolist()]
-                inside = np.isin(label[rest], new)
-                todo += rest[inside].tolist()
-                rest = rest[~inside]
-        if out:
-            a, b = np.array(out).T
-            swap = label[a] > label[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield [fp[a], label[a], fp[b], label[b]]
+    keys = F.array(*(F.shiftleft(F.xxhash64(F.col("fp").bitwiseAND(F.lit(int(mask)))), 8).bitwiseOR(F.lit(k)) for k, mask in enumerate(masks)))
+    keyed = groups.select(F.explode(keys).alias("key"), "fp", "label", F.col("lo").cast("int"), F.col("hi").cast("int"))
 
     def pairs(fp: np.ndarray, label: np.ndarray, lo: np.ndarray, hi: np.ndarray, table: int) -> Iterator[list[np.ndarray]]:
         step = max(1, (1 << 20) // len(fp))
@@ -259,21 +219,20 @@ def _candidates(groups: DataFrame, radius: int, every: bool) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def emit(parts):
-            t, key, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(t) != 0)) + 1
+            key, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cuts = np.flatnonzero(np.diff(key) != 0) + 1
             starts, ends = np.append(0, cuts), np.append(cuts, len(key))
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if b - a > 1:
-                    own = [x[a:b] for x in rest]
-                    for found in pairs(*own, int(t[a])) if every else tree(*own):
-                        if len(found[0]):
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["fa", "la", "fb", "lb"])
+            many = ends - starts > 1
+            for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+                for found in pairs(*(x[a:b] for x in rest), int(key[a] & 255)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["fa", "la", "fb", "lb"])
 
         for batch in batches:  # sorted, so a bucket that the batch's end may cut waits for the next batch
-            t, key, *_ = columns = [batch.column(k).to_numpy() for k in range(6)]
+            columns = [batch.column(k).to_numpy() for k in range(5)]
+            key = columns[0]
             if not len(key):
                 continue
-            last = len(key) - int(np.argmax(np.append((key[::-1] != key[-1]) | (t[::-1] != t[-1]), True)))
+            last = len(key) - int(np.argmax(np.append(key[::-1] != key[-1], True)))
             if last:
                 yield from emit([*held, tuple(x[:last] for x in columns)])
                 held = []
@@ -281,7 +240,7 @@ def _candidates(groups: DataFrame, radius: int, every: bool) -> DataFrame:
         if held:
             yield from emit(held)
 
-    return keyed.mapInArrow(run, "fa long, la long, fb long, lb long").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "fa long, la long, fb long, lb long").distinct()
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
@@ -312,7 +271,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, text_col: str
             good = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= ALIKE for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    texts = _numbered(docs.select(F.col(text_col).alias("text")), "text", "node")
+    texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(used) if few else used, "node", "left_semi").select("node", "text")
     grams = texts.mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"]).checkpoint()
     both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
@@ -323,8 +282,8 @@ def keep_unlike(docs: DataFrame, radius: int = WIDE, id_col: str = "doc_id", tex
     """The rows of ``docs`` without similar texts: of each component of texts that have ALIKE of their five-word shingles in common the row with the smallest id, once.
 
     Prints choose which texts are compared, their shingles decide. First a spanning forest of what is within RADIUS bits is compared, so that groups of
-    near copies become one component without a list of their pairs, then one of what is within ``radius`` bits; then every pair within ``radius`` bits that is in different components.
-    Rows without an id can't be told apart and stay; of rows with one id and different texts only similar ones go.
+    near copies become one component without a list of their pairs; then every pair within ``radius`` bits that is in different components.
+    Equal texts are one node. Rows without an id can't be told apart and stay; of rows with one id and different texts only similar ones go.
     """
     checkpointing(docs.sparkSession)
 
@@ -332,11 +291,11 @@ def keep_unlike(docs: DataFrame, radius: int = WIDE, id_col: str = "doc_id", tex
         for batch in by_bytes(batches, "text"):
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             grams = [shingles(x) for x in texts]
-            columns = [pa.array([fingerprint(x) for x in texts], pa.int64()), pa.array([text_number(x) for x in texts], pa.int64()), pa.array(map(len, grams), pa.int64()), pa.array(map(sketch, grams), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "fp", "node", "size", "sketch"])
+            columns = [pa.array([fingerprint(x) for x in texts], pa.int64()), pa.array(map(len, grams), pa.int64()), pa.array(map(sketch, grams), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), *columns], ["id", "node", "fp", "size", "sketch"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long, node long, size long, sketch binary")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    rows = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, node long, fp long, size long, sketch binary")
     nodes = rows.groupBy("node", "fp", "size", "sketch").agg(F.min("id").alias("least")).checkpoint()
     sketches = nodes.select("node", "sketch").dropDuplicates(["node"])
     first_of = nodes.groupBy("fp").agg(F.min("node").alias("first")).checkpoint()
@@ -349,16 +308,12 @@ def keep_unlike(docs: DataFrame, radius: int = WIDE, id_col: str = "doc_id", tex
         roots = components(edges).select(F.col("node").alias("of"), "root")
         return nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "fp", "size", "least", F.coalesce("root", "node").alias("label"))
 
-    def wide(now: DataFrame, every: bool) -> DataFrame:
-        found = _candidates(now.groupBy("fp", "label").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), radius, every)
-        nodes_of = lambda x: now.select(F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col("node").alias(x))
-        return _alike(found.join(nodes_of("a"), ["fa", "la"]).join(nodes_of("b"), ["fb", "lb"]).select("a", "b"), docs, sketches, text_col)
-
-    for every in (False, True):
-        now = labelled(sure).checkpoint()
-        sure = sure.unionByName(wide(now, every)).checkpoint()
-    named = labelled(sure)
+    now = labelled(sure).checkpoint()
+    found = _candidates(now.groupBy("fp", "label").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), radius)
+    nodes_of = lambda x: now.select(F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col("node").alias(x))
+    pairs = found.join(nodes_of("a"), ["fa", "la"]).join(nodes_of("b"), ["fb", "lb"]).select("a", "b")
+    named = labelled(sure.unionByName(_alike(pairs, docs, sketches, text_col)).checkpoint())
     kept = named.where("least is not null").groupBy("label").agg(F.min(F.struct("least", "node")).alias("x")).select(F.col("x.least").alias("__id"), F.col("x.node").alias("__of"))
-    known = _numbered(docs.where(F.col(id_col).isNotNull()), text_col, "__node")
+    known = docs.where(F.col(id_col).isNotNull()).withColumn("__node", F.xxhash64(text_col))
     known = known.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__node") == F.col("__of")), "left_semi").dropDuplicates([id_col, "__node"])
     return known.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
