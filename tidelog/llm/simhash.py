@@ -14,7 +14,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import by_bytes, checkpointing
 from .components import components
@@ -89,9 +88,9 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray
     return edges
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect what is within the radius: of each bucket of each table a spanning forest. ``prints``: distinct fp."""
-    tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")) for k, mask in enumerate(masks(radius))))
+def links(prints: DataFrame, radius: int = RADIUS, tables: list[int] | None = None) -> DataFrame:
+    """Edges (a, b) that connect what is within the radius: of each bucket of each table a spanning forest. ``prints``: distinct fp. ``tables``: masks that cover the radius."""
+    tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")) for k, mask in enumerate(tables or masks(radius))))
     keyed = prints.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +140,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 SHINGLE, ALIKE, WIDE = 5, 0.8, 9
 #: Parts into which a print is cut for the wide search. Some part of two prints within WIDE bits is within WIDE // PARTS.
 PARTS = 2
-#: Bins of a text's sketch, and the share of equal bins below which two texts are not compared: with ALIKE in common it lies at .81, four standard deviations up.
-BINS, LIKELY = 64, 0.61
-#: Texts with candidates up to which their numbers are broadcast (8 bytes each).
+#: Texts of a cluster that are compared in one task with as many others of it, about.
+BLOCK = 256
+#: Texts in clusters up to which their numbers are broadcast (8 bytes each).
 BROADCAST_NODES = 1_000_000
 
 
@@ -165,98 +164,56 @@ def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[k : k + words]), SEED) for k in starts), np.uint64))
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """Four bits of the least hash in each of BINS ranges of hashes, 0 for a range without any: two bins a byte. ``grams``: distinct hashes in order."""
-    edges = (np.arange(BINS, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
-    at = np.searchsorted(grams, edges)
-    ends = np.append(at[1:], len(grams))
-    bins = np.zeros(BINS, np.uint8)
-    full = at < ends
-    bins[full] = ((grams[at[full]] >> np.uint64(17)) % np.uint64(15) + np.uint64(1)).astype(np.uint8)
-    return (bins[0::2] << 4 | bins[1::2]).tobytes()
-
-
-def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows of sketches, which pairs may be similar. Few bins tell nothing, so those pairs stay."""
-    equal = used = 0
-    for x, y in ((a >> 4, b >> 4), (a & 15, b & 15)):
-        equal = equal + ((x == y) & (x > 0)).sum(axis=1)
-        used = used + ((x > 0) | (y > 0)).sum(axis=1)
-    return (used < BINS // 2) | (equal >= LIKELY * used)
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two shingle sets; 1 if both are empty."""
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
 
 
-def _candidates(groups: DataFrame, radius: int) -> DataFrame:
-    """Distinct (fa, la, fb, lb): prints within the radius that have different labels. ``groups``: distinct (fp, label) with the least and most shingles
-    of their texts, lo and hi: similar sets are similar in size. A pair is given by the first table on which it agrees, so once."""
-    masks = np.array(wide_masks(radius), np.int64)
-    keys = F.array(*(F.shiftleft(F.xxhash64(F.col("fp").bitwiseAND(F.lit(int(mask)))), 8).bitwiseOR(F.lit(k)) for k, mask in enumerate(masks)))
-    keyed = groups.select(F.explode(keys).alias("key"), "fp", "label", F.col("lo").cast("int"), F.col("hi").cast("int"))
-
-    def pairs(fp: np.ndarray, label: np.ndarray, lo: np.ndarray, hi: np.ndarray, table: int) -> Iterator[list[np.ndarray]]:
-        step = max(1, (1 << 20) // len(fp))
-        for k in range(0, len(fp), step):
-            near = np.bitwise_count((fp[k : k + step, None] ^ fp[None, k:]).view(np.uint64)) <= radius
-            lower, upper = np.nonzero(near & (label[k : k + step, None] != label[None, k:]))
-            lower, upper = k + lower[lower < upper], k + upper[lower < upper]
-            sized = (hi[lower] >= ALIKE * lo[upper]) & (hi[upper] >= ALIKE * lo[lower])
-            lower, upper = lower[sized], upper[sized]
-            differ = fp[lower] ^ fp[upper]
-            for mask in masks[:table]:
-                later = (differ & mask) != 0
-                lower, upper, differ = lower[later], upper[later], differ[later]
-            swap = label[lower] > label[upper]
-            lower, upper = np.where(swap, upper, lower), np.where(swap, lower, upper)
-            if len(lower):
-                yield [fp[lower], label[lower], fp[upper], label[upper]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def emit(parts):
-            key, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-            cuts = np.flatnonzero(np.diff(key) != 0) + 1
-            starts, ends = np.append(0, cuts), np.append(cuts, len(key))
-            many = ends - starts > 1
-            for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                for found in pairs(*(x[a:b] for x in rest), int(key[a] & 255)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["fa", "la", "fb", "lb"])
-
-        for batch in batches:  # sorted, so a bucket that the batch's end may cut waits for the next batch
-            columns = [batch.column(k).to_numpy() for k in range(5)]
-            key = columns[0]
-            if not len(key):
-                continue
-            last = len(key) - int(np.argmax(np.append(key[::-1] != key[-1], True)))
-            if last:
-                yield from emit([*held, tuple(x[:last] for x in columns)])
-                held = []
-            held.append(tuple(x[last:] for x in columns))
-        if held:
-            yield from emit(held)
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "fa long, la long, fb long, lb long").distinct()
+def alike(group: pa.Table, radius: int = WIDE) -> pa.Table:
+    """Edges (a, b) between texts of a block and texts of another, or of the same one, that have ALIKE of their shingles in common: a spanning forest, in
+    which texts that are connected already are not compared. ``group``: node, fp, grams, block, first and second (the blocks)."""
+    node, fp, block = (group.column(c).to_numpy() for c in ("node", "fp", "block"))
+    grams = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
+    size = np.array([len(g) for g in grams])
+    first, second = group.column("first")[0].as_py(), group.column("second")[0].as_py()
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    apart = np.bitwise_count((fp[left, None] ^ fp[None, right]).view(np.uint64))
+    near = (apart <= radius) & (np.minimum(size[left, None], size[None, right]) >= ALIKE * np.maximum(size[left, None], size[None, right]))
+    x, y = np.nonzero(near)
+    order = np.argsort(apart[x, y], kind="stable")  # the likeliest first
+    x, y = left[x[order]], right[y[order]]
+    root = list(range(len(node)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    edges = []
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        if a != b and (p := find(a)) != (q := find(b)) and similarity(grams[a], grams[b]) >= ALIKE:
+            root[p] = q
+            edges.append((a, b))
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
+    return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) of numbers whose texts have ALIKE of their shingles in common. Sketches tell most of the others before any text is read."""
+def keep_unlike(docs: DataFrame, radius: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without similar texts: of each component of texts that have ALIKE of their five-word shingles in common the row with the smallest id, once.
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS // 2) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array(likely(left, right)))
+    Prints choose which texts are compared, their shingles decide. Prints within ``radius`` bits are linked to clusters by a spanning forest of each bucket;
+    a cluster's texts are dealt out to blocks, and every two blocks are compared by a task of their own, so no list of pairs is made and no task holds
+    more than about 2 * BLOCK texts. Equal texts are one node. A null text counts as empty. Rows without an id can't be told apart and stay; of rows
+    with one id and different texts only similar ones go.
+    """
+    checkpointing(docs.sparkSession)
 
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(look, "a long, b long").checkpoint()
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().checkpoint()
-    few = used.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array([fingerprint(x or b"") for x in texts], pa.int64())], ["id", "node", "fp"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -265,55 +222,25 @@ def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, text_col: str
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in new], pa.int64()), pa.array([shingles(t or b"").tobytes() for _, t in new], pa.binary())], ["node", "grams"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (batch.column(c) for c in ("ga", "gb"))
-            good = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= ALIKE for x, y in zip(left, right, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(used) if few else used, "node", "left_semi").select("node", "text")
-    grams = texts.mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"]).checkpoint()
-    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return both.select("a", "b", "ga", "gb").mapInArrow(check, "a long, b long")
-
-
-def keep_unlike(docs: DataFrame, radius: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without similar texts: of each component of texts that have ALIKE of their five-word shingles in common the row with the smallest id, once.
-
-    Prints choose which texts are compared, their shingles decide. First a spanning forest of what is within RADIUS bits is compared, so that groups of
-    near copies become one component without a list of their pairs; then every pair within ``radius`` bits that is in different components.
-    Equal texts are one node. Rows without an id can't be told apart and stay; of rows with one id and different texts only similar ones go.
-    """
-    checkpointing(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            grams = [shingles(x) for x in texts]
-            columns = [pa.array([fingerprint(x) for x in texts], pa.int64()), pa.array(map(len, grams), pa.int64()), pa.array(map(sketch, grams), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), *columns], ["id", "node", "fp", "size", "sketch"])
-
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, node long, fp long, size long, sketch binary")
-    nodes = rows.groupBy("node", "fp", "size", "sketch").agg(F.min("id").alias("least")).checkpoint()
-    sketches = nodes.select("node", "sketch").dropDuplicates(["node"])
-    first_of = nodes.groupBy("fp").agg(F.min("node").alias("first")).checkpoint()
-    edges = links(first_of.select("fp")).distinct()
-    edges = edges.join(first_of.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a").join(first_of.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b")
-    pairs = edges.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(nodes.join(first_of, "fp").select(F.col("first").alias("a"), F.col("node").alias("b")))
-    sure = _alike(pairs, docs, sketches, text_col).checkpoint()
-
-    def labelled(edges: DataFrame) -> DataFrame:
-        roots = components(edges).select(F.col("node").alias("of"), "root")
-        return nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "fp", "size", "least", F.coalesce("root", "node").alias("label"))
-
-    now = labelled(sure).checkpoint()
-    found = _candidates(now.groupBy("fp", "label").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), radius)
-    nodes_of = lambda x: now.select(F.col("fp").alias(f"f{x}"), F.col("label").alias(f"l{x}"), F.col("node").alias(x))
-    pairs = found.join(nodes_of("a"), ["fa", "la"]).join(nodes_of("b"), ["fb", "lb"]).select("a", "b")
-    named = labelled(sure.unionByName(_alike(pairs, docs, sketches, text_col)).checkpoint())
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.col(text_col).alias("text"))
+    rows = texts.mapInArrow(prints, f"id {texts.schema['id'].dataType.simpleString()}, node long, fp long")
+    nodes = rows.groupBy("node", "fp").agg(F.min("id").alias("least")).checkpoint()
+    of_print = nodes.groupBy("fp").agg(F.count("*").alias("n")).checkpoint()
+    roots = components(links(of_print.select("fp"), radius, wide_masks(radius))).select(F.col("node").alias("of"), "root")
+    clusters = of_print.join(roots, F.col("fp") == F.col("of"), "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("cluster"), "n")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    used = nodes.join(clusters.drop("n"), "fp").join(blocks, "cluster").select("node", "fp", "cluster", "blocks").checkpoint()
+    few = used.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    numbers = used.select("node")
+    grams = texts.select("node", "text").join(F.broadcast(numbers) if few else numbers, "node", "left_semi").mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"])
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = used.select("node", "fp", "cluster", "blocks", block.alias("block")).join(grams, "node")
+    dealt = dealt.select("node", "fp", "grams", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("node", "fp", "grams", "cluster", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    edges = dealt.groupBy("cluster", "first", "second").applyInArrow(lambda group: alike(group, radius), "a long, b long")
+    labels = components(edges).select(F.col("node").alias("of"), "root")
+    named = nodes.join(labels, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("label"))
     kept = named.where("least is not null").groupBy("label").agg(F.min(F.struct("least", "node")).alias("x")).select(F.col("x.least").alias("__id"), F.col("x.node").alias("__of"))
-    known = docs.where(F.col(id_col).isNotNull()).withColumn("__node", F.xxhash64(text_col))
+    known = docs.where(F.col(id_col).isNotNull()).withColumn("__node", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     known = known.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__node") == F.col("__of")), "left_semi").dropDuplicates([id_col, "__node"])
     return known.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
