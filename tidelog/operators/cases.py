@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..logframe import LogFrame
+from ..sources.json_logs import numbered
 
 PRIORITY = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 IDENTITY = ["file", "line", "timestamp"]
@@ -16,12 +17,11 @@ IDENTITY = ["file", "line", "timestamp"]
 def add_evidence(store: DataFrame, new: DataFrame) -> DataFrame:
     """The store with those rows of ``new`` whose file, line and timestamp it lacks, numbered on as EV-######. Of equal new rows the first by priority stays.
 
-    Numbers follow the order of identities. Only the new rows are ordered, and they are few beside the log.
+    Numbers follow the order of identities: new rows are dealt into ranges, numbered in each, and the ranges' sizes are added.
     """
     fresh = new.join(store.select(*IDENTITY), IDENTITY, "left_anti").dropDuplicates(IDENTITY)
     last = store.agg(F.coalesce(F.max(F.substring("evidence_id", 4, 12).cast("long")), F.lit(0))).scalar()
-    number = F.row_number().over(Window.orderBy(*IDENTITY)) + last
-    named = fresh.withColumn("evidence_id", F.format_string("EV-%06d", number))
+    named = numbered(fresh.drop("evidence_id"), IDENTITY).withColumn("evidence_id", F.format_string("EV-%06d", F.col("pos") + 1 + last))
     return store.unionByName(named.select(store.columns))
 
 

@@ -28,14 +28,22 @@ def near(left: DataFrame, right: DataFrame, seconds: int, left_keys: list[str],
     return a.join(b, on).where(F.abs(F.col(us) - F.col(f"r_{us}")) <= width).drop("__b", "__c")
 
 
-def related(frame: LogFrame, seeds: DataFrame, fields: list[str], seconds: int = WINDOW_S, horizon: int = 3600) -> DataFrame:
-    """For seed rows (pos): seed, pos, reasons, score. Rows that share a field's value within ``horizon`` seconds, or are within ``seconds``; score is the number of reasons."""
+def related(frame: LogFrame, seeds: DataFrame, fields: list[str], seconds: int = WINDOW_S) -> DataFrame:
+    """For seed rows (pos): seed, pos, reasons, score. Rows within ``seconds``, with the fields in which they are equal; score is the number of reasons.
+    Rows that share a value at any distance in time are in related_classes()."""
     rows = frame.df.where("ts is not null").select("pos", F.unix_micros("ts").alias("us"), *(frame.value(f).alias(f) for f in fields))
     chosen = rows.join(seeds.select("pos").distinct(), "pos", "left_semi")
-    parts = [near(chosen.where(F.col(f) != "").select("pos", "us", f), rows.select("pos", "us", f), horizon, [f], [f]).select("pos", "r_pos", F.lit(f"same {f}").alias("reason")) for f in fields]
-    parts.append(near(chosen.select("pos", "us"), rows.select("pos", "us"), seconds, [], []).select("pos", "r_pos", F.lit("near in time").alias("reason")))
-    pairs = reduce(DataFrame.unionByName, parts).where("pos <> r_pos").groupBy(F.col("pos").alias("seed"), F.col("r_pos").alias("pos")).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
-    return pairs.select("seed", "pos", F.array_join("reasons", ", ").alias("reasons"), F.size("reasons").alias("score"))
+    pairs = near(chosen, rows, seconds, [], []).where("pos <> r_pos")
+    same = [F.when((F.col(f) != "") & (F.col(f) == F.col(f"r_{f}")), F.lit(f"same {f}")) for f in fields]
+    reasons = F.array_sort(F.array_compact(F.array(F.lit("near in time"), *same)))
+    return pairs.select(F.col("pos").alias("seed"), F.col("r_pos").alias("pos"), F.array_join(reasons, ", ").alias("reasons"), F.size(reasons).alias("score"))
+
+
+def related_classes(frame: LogFrame, seeds: DataFrame, fields: list[str]) -> DataFrame:
+    """For seed rows (pos): seed, field, value and n_linked, the number of other rows that share the value. A class stands for all its links, which are not listed."""
+    sizes = frame.long(fields).groupBy("field", "value").agg(F.count("*").alias("n"))
+    own = frame.on(frame.df.join(seeds.select("pos").distinct(), "pos", "left_semi")).long(fields)
+    return own.join(sizes, ["field", "value"]).select(F.col("pos").alias("seed"), "field", "value", (F.col("n") - 1).alias("n_linked"))
 
 
 def temporal_edges(rows: DataFrame, seconds: int = WINDOW_S, keys: list[str] | None = None) -> DataFrame:

@@ -104,7 +104,7 @@ on_log("attackers", incident.attackers, "f AS (SELECT username, source_ip, count
 on_log("incident_profile", incident.profile, "f AS (SELECT username, source_ip, max(pos) AS last_failure FROM log WHERE action = 'failed_login' GROUP BY 1, 2 HAVING count(*) >= 3), a AS (SELECT username, source_ip FROM f WHERE EXISTS (SELECT 1 FROM log s WHERE s.username = f.username AND s.action = 'successful_login' AND s.pos > last_failure)), r AS (SELECT * FROM log WHERE username IN (SELECT username FROM a) OR source_ip IN (SELECT source_ip FROM a)) SELECT 'download' AS stage, count(*) AS n_rows, min(pos) AS first, max(pos) AS last, 'curl' AS tools FROM r WHERE event_type = 'click' HAVING count(*) > 0")
 on_log("platform", incident.platform, "SELECT 0::BIGINT AS windows, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS linux, 'linux' AS platform FROM log")
 on_log("log_profile", incident.classify, "SELECT 'endpoint' AS profile, 7 AS score FROM log LIMIT 1")
-on_log("first_after_stage", lambda log: incident.first_after(log.on(log.df.where("pos % 50 <> 0 or event_type <> 'click'")), "download"), "d AS (SELECT max(pos) AS p FROM log WHERE event_type = 'click' AND pos % 50 <> 0) SELECT pos, command FROM log, d WHERE command <> '' AND pos > p AND (pos % 50 <> 0 OR event_type <> 'click') ORDER BY pos LIMIT 1")
+on_log("first_after_stage", lambda log: incident.first_after(log, "download"), "d AS (SELECT max(pos) AS p FROM log WHERE event_type = 'click') SELECT pos, command FROM log, d WHERE command <> '' AND pos > p ORDER BY pos LIMIT 1")
 
 # Indicators
 REGEX_HITS = {
@@ -114,24 +114,25 @@ REGEX_HITS = {
 }
 for _name, (_kind, _pattern, _group) in REGEX_HITS.items():
     _add(_name, lambda spark, d, kind=_kind: indicators.extract(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", [kind]), f"SELECT DISTINCT doc_id AS id, '{_kind}' AS kind, {'lower(v)' if _kind != 'ipv4' else 'v'} AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_pattern}', {_group})) AS v FROM documents)")
-_add("ioc_url", lambda spark, d: indicators.extract(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "url", ["url"]), r"SELECT DISTINCT page_id AS id, 'url' AS kind, regexp_replace(v, '[.,;:)\]}]+$', '') AS value FROM (SELECT page_id, unnest(regexp_extract_all(url, 'https?://[^\s<>''""`]+')) AS v FROM pages)".replace('""', '"'))
+_add("ioc_url", lambda spark, d: indicators.extract(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "url", ["url"]), r"SELECT DISTINCT page_id AS id, 'url' AS kind, regexp_replace(v, '[.,;:)\]}]+$', '') AS value FROM (SELECT page_id, unnest(regexp_extract_all(url, '(?i)https?://[a-z0-9._~:/?#\[\]@!$&()*+,;=%-]+')) AS v FROM pages)".replace('""', '"'))
 _add("ioc_domain", lambda spark, d: indicators.extract(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "url", ["domain"]), r"SELECT DISTINCT page_id AS id, 'domain' AS kind, lower(v) AS value FROM (SELECT page_id, unnest(regexp_extract_all(url, '(?:^|[^@\w])((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63})(?:$|[^\w])', 1)) AS v FROM pages) WHERE regexp_extract(lower(v), '[a-z]+$') NOT IN ('so', 'dll', 'exe', 'bin', 'service', 'socket', 'target', 'conf', 'cfg', 'ini', 'json', 'log', 'txt', 'xml', 'yaml', 'yml')")
 on_log("ioc_counts", lambda log: indicators.counts(indicators.from_log(LogFrame(log.df, ("source_ip", "username", "process_name", "command")))), "SELECT 'ipv4' AS kind, count(DISTINCT source_ip) AS n_values, count(*) AS n_rows FROM log UNION ALL SELECT 'username', count(DISTINCT username), count(*) FROM log UNION ALL SELECT 'process', count(DISTINCT process_name), count(*) FROM log WHERE process_name <> '' UNION ALL SELECT 'url', count(DISTINCT code), count(*) FROM log WHERE event_type = 'click' UNION ALL SELECT 'domain', count(DISTINCT code), count(*) FROM log WHERE event_type = 'click'")
 on_log("ioc_summary", lambda log: indicators.summarize(indicators.extract(log.df, "pos", "destination_ip", ["ipv4"])), "SELECT 'ipv4' AS kind, destination_ip AS value, count(*) AS n_rows, min(pos) AS first, max(pos) AS last, true AS private, NULL::VARCHAR AS algorithm FROM log GROUP BY destination_ip")
 
 # Correlation
 SEEDS = "event_type = 'error' AND value >= 150"
-on_log("related_pairs", lambda log: correlation.related(log, log.df.where(SEEDS), ["username", "source_ip"]), f"s AS (SELECT * FROM log WHERE {SEEDS}), p AS (SELECT s.pos AS seed, l.pos AS pos, abs(s.us - l.us) AS gap, s.username = l.username AS u, s.source_ip = l.source_ip AS i FROM s JOIN log l ON s.pos <> l.pos AND abs(s.us - l.us) <= 3600000000), q AS (SELECT seed, pos, gap <= 300000000 AS n, u, i FROM p WHERE gap <= 300000000 OR u OR i) SELECT seed, pos, concat_ws(', ', CASE WHEN n THEN 'near in time' END, CASE WHEN i THEN 'same source_ip' END, CASE WHEN u THEN 'same username' END) AS reasons, CAST(n AS INTEGER) + CAST(u AS INTEGER) + CAST(i AS INTEGER) AS score FROM q")
+on_log("related_pairs", lambda log: correlation.related(log, log.df.where(SEEDS), ["username", "source_ip"]), f"s AS (SELECT * FROM log WHERE {SEEDS}), p AS (SELECT s.pos AS seed, l.pos AS pos, abs(s.us - l.us) AS gap, s.username = l.username AS u, s.source_ip = l.source_ip AS i FROM s JOIN log l ON s.pos <> l.pos AND abs(s.us - l.us) <= 300000000), q AS (SELECT seed, pos, gap <= 300000000 AS n, u, i FROM p WHERE gap <= 300000000) SELECT seed, pos, concat_ws(', ', CASE WHEN n THEN 'near in time' END, CASE WHEN i THEN 'same source_ip' END, CASE WHEN u THEN 'same username' END) AS reasons, CAST(n AS INTEGER) + CAST(u AS INTEGER) + CAST(i AS INTEGER) AS score FROM q")
+on_log("related_classes", lambda log: correlation.related_classes(log, log.df.where(SEEDS), ["username", "source_ip"]), f"s AS (SELECT * FROM log WHERE {SEEDS}), u AS (SELECT username AS v, count(*) AS n FROM log GROUP BY 1), i AS (SELECT source_ip AS v, count(*) AS n FROM log GROUP BY 1) SELECT pos AS seed, 'username' AS field, v AS value, n - 1 AS n_linked FROM s JOIN u ON username = v UNION ALL SELECT pos, 'source_ip', v, n - 1 FROM s JOIN i ON source_ip = v")
 on_log("temporal_edges", lambda log: correlation.temporal_edges(log.df.select("pos", "us", "username"), 300, ["username"]), "SELECT a.pos AS source, b.pos AS target, b.us - a.us AS micros FROM log a JOIN log b ON a.username = b.username AND b.us - a.us BETWEEN 0 AND 300000000 AND (a.us < b.us OR a.pos < b.pos) AND a.pos <> b.pos")
 on_log("shared_attr_pairs", lambda log: correlation.shared_attributes(log, log.df.where(SEEDS), ["username", "code"]), f"s AS (SELECT * FROM log WHERE {SEEDS}) SELECT a.pos AS source, b.pos AS target, concat_ws(', ', CASE WHEN a.code = b.code THEN 'code' END, CASE WHEN a.username = b.username THEN 'username' END) AS shared, CAST(a.code = b.code AS INTEGER) + CAST(a.username = b.username AS INTEGER) AS n FROM s a JOIN s b ON a.pos < b.pos AND (a.code = b.code OR a.username = b.username)")
 on_log("attacker_scope", lambda log: correlation.scope(log, log.df.where("value >= 200").select("username", "source_ip")).select("pos"), "SELECT pos FROM log WHERE username IN (SELECT username FROM log WHERE value >= 200) OR source_ip IN (SELECT source_ip FROM log WHERE value >= 200)")
 on_log("nearest_row", lambda log: correlation.nearest(log.df.where(SEEDS).select("pos", "us", "source_ip"), log.df.select("pos", "us", "source_ip"), ["source_ip"], 3600), f"SELECT s.pos AS anchor, arg_min(l.pos, struct_pack(g := abs(s.us - l.us), p := l.pos)) AS pos, min(abs(s.us - l.us)) AS micros FROM log s JOIN log l ON s.source_ip = l.source_ip AND s.pos <> l.pos AND abs(s.us - l.us) <= 3600000000 WHERE s.event_type = 'error' AND s.value >= 150 GROUP BY s.pos")
-on_log("two_hop_bridge", lambda log: correlation.bridges(log.on(log.df.where("value >= 100")).long(["username", "code"]), log.df.where("value >= 200")), "i AS (SELECT * FROM log WHERE value >= 100) SELECT DISTINCT a.pos AS start, b.pos AS via, 'code' AS field, c.pos AS \"end\" FROM i a JOIN i b ON a.username = b.username AND a.pos <> b.pos JOIN i c ON b.code = c.code AND c.pos <> b.pos AND c.pos <> a.pos WHERE a.value >= 200 UNION SELECT DISTINCT a.pos, b.pos, 'username', c.pos FROM i a JOIN i b ON a.code = b.code AND a.pos <> b.pos JOIN i c ON b.username = c.username AND c.pos <> b.pos AND c.pos <> a.pos WHERE a.value >= 200")
+on_log("two_hop_bridge", lambda log: correlation.bridges(log.long(["username", "code"]), log.df.where(F.col("value") == log.df.agg(F.max("value")).scalar())), "s AS (SELECT * FROM log WHERE value = (SELECT max(value) FROM log)) SELECT DISTINCT a.pos AS start, b.pos AS via, 'code' AS field, c.pos AS \"end\" FROM s a JOIN log b ON a.username = b.username AND a.pos <> b.pos JOIN log c ON b.code = c.code AND c.pos <> b.pos AND c.pos <> a.pos UNION SELECT DISTINCT a.pos, b.pos, 'username', c.pos FROM s a JOIN log b ON a.code = b.code AND a.pos <> b.pos JOIN log c ON b.username = c.username AND c.pos <> b.pos AND c.pos <> a.pos")
 on_log("anti_linked", lambda log: correlation.not_linked(log.df.where("event_type = 'error'").select("pos"), sequences.auth_chains(log).select(F.col("failed").alias("pos"))), f"{CHAINS} SELECT pos FROM log WHERE event_type = 'error' AND pos NOT IN (SELECT failed FROM c)")
 CUSTOMER_SETS = lambda spark, d: spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id AS group", "'day' AS field", "cast(date(ts) AS string) AS value").unionByName(spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id AS group", "'props' AS field", "props AS value"))
 _add("case_similarity", lambda spark, d: correlation.set_overlap(CUSTOMER_SETS(spark, d), {"day": 1, "props": 4}), "WITH s AS (SELECT DISTINCT user_id AS g, 'day' AS field, CAST(CAST(ts AS DATE) AS VARCHAR) AS value, 1 AS w FROM events UNION SELECT DISTINCT user_id, 'props', props, 4 FROM events) SELECT a.g AS a, b.g AS b, count(*) AS n_shared, CAST(sum(a.w) AS BIGINT) AS score FROM s a JOIN s b ON a.field = b.field AND a.value = b.value AND a.g < b.g GROUP BY 1, 2")
 _add("shared_indicators", lambda spark, d: correlation.shared_indicators(CUSTOMER_SETS(spark, d)), "WITH s AS (SELECT user_id AS g, 'day' AS field, CAST(CAST(ts AS DATE) AS VARCHAR) AS value FROM events UNION ALL SELECT user_id, 'props', props FROM events), p AS (SELECT g, field, value, count(*) AS n FROM s GROUP BY ALL) SELECT field, value, count(*) AS n_groups, CAST(sum(least(n, 3)) AS BIGINT) AS score FROM p GROUP BY ALL HAVING count(*) > 1")
-on_log("common_values", lambda log: correlation.common_values(log.on(log.df.where("event_type = 'error' and value > 100")), log.on(log.df.where("event_type = 'purchase' and value > 100")), ["username", "code"]), "e AS (SELECT * FROM log WHERE event_type = 'error' AND value > 100), p AS (SELECT * FROM log WHERE event_type = 'purchase' AND value > 100) SELECT 'username' AS field, username AS value FROM e WHERE username IN (SELECT username FROM p) UNION SELECT 'code', code FROM e WHERE code IN (SELECT code FROM p)")
+on_log("common_values", lambda log: correlation.common_values(log.on(log.df.where("event_type = 'error'")), log.on(log.df.where("event_type = 'purchase'")), ["username", "code"]), "e AS (SELECT * FROM log WHERE event_type = 'error'), p AS (SELECT * FROM log WHERE event_type = 'purchase') SELECT 'username' AS field, username AS value FROM e WHERE username IN (SELECT username FROM p) UNION SELECT 'code', code FROM e WHERE code IN (SELECT code FROM p)")
 
 # Retrieval
 _add("tfidf", lambda spark, d: retrieval.tfidf(spark.read.parquet(f"{d}/documents.parquet"), "license version apache", "doc_id", "text").select("id", F.round("score", 6).alias("score")), """WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM documents), g AS (SELECT id, unnest(w) AS t FROM w UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), tf AS (SELECT id, t, 1 + ln(count(*)) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents), idf AS (SELECT t, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY t), q AS (SELECT t, idf AS q FROM idf WHERE t IN ('license', 'version', 'apache', 'license version', 'version apache')), x AS (SELECT tf.id, tf.tf * idf.idf AS w, q.q FROM tf JOIN idf USING (t) LEFT JOIN q USING (t)), l AS (SELECT sqrt(sum(q * q)) AS l FROM q) SELECT id, round(sum(w * q) / (sqrt(sum(w * w)) * any_value(l)), 6) AS score FROM x, l GROUP BY id HAVING sum(w * q) IS NOT NULL""")
@@ -146,13 +147,13 @@ on_log("qa_top", lambda log: answer("Which users have the most critical failures
 on_log("qa_last_hours", lambda log: answer("How many successful logins happened in the last 36 hours?", log), "SELECT count(*) AS count FROM log WHERE event_type = 'purchase' AND us >= (SELECT max(us) FROM log) - 36 * 3600000000")
 on_log("qa_first", lambda log: answer("What was the first critical failure?", log), "SELECT arg_min(pos, us) AS pos FROM log WHERE event_type = 'error' AND severity = 'critical'")
 on_log("claim_counts", lambda log: grounding.counts(log.df.groupBy("username").agg((F.count("*") + F.expr("any_value(cast(username as bigint)) % 2")).alias("stated")).select(F.col("username").alias("claim"), F.col("username").alias("value"), "stated"), log.df, "username"), "SELECT username AS claim, username AS value, count(*) + CAST(username AS BIGINT) % 2 AS stated, count(*) AS actual, CASE WHEN CAST(username AS BIGINT) % 2 = 0 THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS verdict FROM log GROUP BY username")
-_claims = lambda log: log.df.where("pos % 10 = 0").select(F.col("pos").alias("claim"), F.expr("concat('It may be [EV-', pos, '] or [EV-', pos + 5, '] because of ', value, ' events')").alias("text"))
-on_log("claim_citations", lambda log: grounding.citations(_claims(log), log.df.where("pos % 3 = 0").select(F.expr("concat('EV-', pos)").alias("evidence_id"))), "c AS (SELECT pos AS claim, unnest([pos, pos + 5]) AS e FROM log WHERE pos % 10 = 0) SELECT claim, 'EV-' || e AS cited, e % 3 = 0 AND e <= (SELECT max(pos) FROM log) AS known FROM c")
+_claims = lambda log: log.df.select(F.col("pos").alias("claim"), F.expr("concat('It may be [EV-', pos, '] or [EV-', pos + 5, '] because of ', value, ' events')").alias("text"))
+on_log("claim_citations", lambda log: grounding.citations(_claims(log), log.df.where("event_type = 'error'").select(F.expr("concat('EV-', pos)").alias("evidence_id"))), "c AS (SELECT pos AS claim, unnest([pos, pos + 5]) AS e FROM log) SELECT claim, 'EV-' || e AS cited, e IN (SELECT pos FROM log WHERE event_type = 'error') AS known FROM c")
 on_log("claim_kinds", lambda log: grounding.classify(log.df.select(F.col("pos").alias("claim"), F.expr("CASE event_type WHEN 'error' THEN concat(code, ' failures were seen') WHEN 'click' THEN 'It was caused by a user' WHEN 'view' THEN 'This suggests nothing' ELSE message END").alias("text"))), "SELECT pos AS claim, CASE event_type WHEN 'error' THEN 'COUNT' WHEN 'click' THEN 'CAUSAL' WHEN 'view' THEN 'HEDGED' ELSE 'OBSERVATION' END AS kind FROM log")
 
 # Evidence and cases
 _store = lambda log, rule: log.df.where(rule).selectExpr("concat('EV-', lpad(pos + 1, 6, '0')) AS evidence_id", "event_type AS file", "pos AS line", "us AS timestamp", "'NEW' AS status", "severity AS priority")
-on_log("evidence_upsert", lambda log: cases.add_evidence(_store(log, "pos < 40"), _store(log, "pos between 20 and 79 and event_type = 'error'")).select("evidence_id", "line"), "o AS (SELECT pos, event_type, us FROM log WHERE pos < 40), n AS (SELECT pos, row_number() OVER (ORDER BY event_type, pos, us) + 40 AS k FROM log WHERE pos BETWEEN 40 AND 79 AND event_type = 'error') SELECT 'EV-' || lpad(CAST(pos + 1 AS VARCHAR), 6, '0') AS evidence_id, pos AS line FROM o UNION ALL SELECT 'EV-' || lpad(CAST(k AS VARCHAR), 6, '0'), pos FROM n")
+on_log("evidence_upsert", lambda log: cases.add_evidence(_store(log, "event_type = 'view'"), _store(log, "event_type in ('view', 'error')")).select("evidence_id", "line"), "o AS (SELECT pos, event_type, us FROM log WHERE event_type = 'view'), n AS (SELECT pos, row_number() OVER (ORDER BY event_type, pos, us) + (SELECT max(pos) + 1 FROM o) AS k FROM log WHERE event_type = 'error') SELECT 'EV-' || lpad(CAST(pos + 1 AS VARCHAR), 6, '0') AS evidence_id, pos AS line FROM o UNION ALL SELECT 'EV-' || lpad(CAST(k AS VARCHAR), 6, '0'), pos FROM n")
 _cases = lambda log: log.df.where("severity = 'critical'").groupBy(F.col("username").alias("case_id")).agg(F.array_sort(F.collect_set(F.expr("concat('EV-', lpad(pos + 1, 6, '0'))"))).alias("evidence_ids"))
 on_log("case_evidence", lambda log: cases.evidence_of(_cases(log), _store(log, "event_type = 'error'")).select("case_id", "line"), "SELECT username AS case_id, pos AS line FROM log WHERE severity = 'critical' AND event_type = 'error'")
 on_log("case_lineage", lambda log: cases.lineage(_cases(log), _store(log, "event_type = 'error'")), "SELECT username AS case_id, CAST(row_number() OVER (PARTITION BY username ORDER BY lpad(CAST(pos + 1 AS VARCHAR), 6, '0')) - 1 AS INTEGER) AS place, 'EV-' || lpad(CAST(pos + 1 AS VARCHAR), 6, '0') AS evidence_id, event_type = 'error' AS known FROM log WHERE severity = 'critical'")
@@ -170,7 +171,7 @@ on_log("syslog_parse", lambda log: parse_syslog(LINES(log), 2024).select("line",
 AUDIT_LINES = lambda log: log.df.selectExpr("pos AS line", "CASE WHEN pos % 2 = 0 THEN concat('type=SYSCALL msg=audit(', us div 1000000, '.123:', pos div 4, '): pid=', 100 + pos, ' auid=', username, ' comm=\"', event_type, '\" a0=zz') ELSE concat('type=EXECVE msg=audit(', us div 1000000, '.123:', pos div 4, '): argc=2 a1=\"-o\" a0=\"', event_type, '\" a10=last a2=', hex(concat('file name ', code))) END AS value")
 on_log("audit_merge", lambda log: merge_audit(parse_syslog(AUDIT_LINES(log), 2024)).where("audit_type = 'EXECVE'").selectExpr("line", "command", "process_name", "attrs['auid'] AS auid", "attrs['a0'] AS a0"), "SELECT e.pos AS line, e.event_type || ' -o file name ' || e.code || ' last' AS command, s.event_type AS process_name, s.username AS auid, e.event_type AS a0 FROM log e LEFT JOIN log s ON s.pos = least(e.pos // 4 * 4 + 2, (SELECT max(pos) // 2 * 2 FROM log)) WHERE e.pos % 2 = 1")
 _add("json_field", lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select(F.get_json_object("props", "$.k").cast("int").alias("k")).groupBy("k").agg(F.count("*").alias("count")), "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS count FROM events GROUP BY 1")
-on_log("evidence_reattach", lambda log: cases.reattach(log.df.where("pos < 60").selectExpr("event_type AS file", "pos AS line", "us AS timestamp"), _store(log, "pos % 2 = 0")).select("line", "evidence_id"), "SELECT pos AS line, CASE WHEN pos % 2 = 0 THEN 'EV-' || lpad(CAST(pos + 1 AS VARCHAR), 6, '0') END AS evidence_id FROM log WHERE pos < 60")
+on_log("evidence_reattach", lambda log: cases.reattach(log.df.selectExpr("event_type AS file", "pos AS line", "us AS timestamp"), _store(log, "event_type = 'error'")).select("line", "evidence_id"), "SELECT pos AS line, CASE WHEN event_type = 'error' THEN 'EV-' || lpad(CAST(pos + 1 AS VARCHAR), 6, '0') END AS evidence_id FROM log")
 on_log("evidence_context", lambda log: retrieval.context(log, "purchase of user", ["10.0.2.1 "], {"severity": "critical"}), "SELECT pos, score FROM (SELECT pos, CAST(contains(t, 'purchase') AS INTEGER) + CAST(contains(t, 'user') AS INTEGER) + 4 * CAST(contains(t, '10.0.2.1 ') AS INTEGER) + 6 * CAST(severity = 'critical' AS INTEGER) AS score FROM (SELECT *, concat_ws(' ', event_type, username, source_ip, destination_ip, action, severity, code, process_name, command, message) AS t FROM log)) WHERE score > 0 ORDER BY score DESC, pos LIMIT 40")
 on_log("chunk_expansion", lambda log: retrieval.with_chunks(log.df.where("value >= 200").select("pos"), retrieval.chunks(log.df, None, 3600)), "SELECT pos FROM log WHERE us // 3600000000 IN (SELECT us // 3600000000 FROM log WHERE value >= 200)")
 on_log("related_terms", lambda log: retrieval.related_terms(log, log.df.where("value >= 150"), ["username", "event_type"], 3), "h AS (SELECT * FROM log WHERE value >= 150), c AS (SELECT 'username' AS field, username AS value, count(*) AS n FROM h GROUP BY 2 UNION ALL SELECT 'event_type', event_type, count(*) FROM h GROUP BY 2) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY field ORDER BY n DESC, value) <= 3")

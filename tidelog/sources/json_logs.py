@@ -56,6 +56,10 @@ def flatten(record: dict) -> dict[str, str]:
     return out
 
 
+#: Names that a record has and a wrapper has not.
+_NAMES = {n.lower() for names in ALIASES.values() for n in names}
+
+
 def _records(text: str) -> Iterator[dict]:
     """The objects of a text that is an array, a wrapper, one object or several, one after another. What is not JSON ends it."""
     decoder, at = json.JSONDecoder(), 0
@@ -68,7 +72,7 @@ def _records(text: str) -> Iterator[dict]:
             return
         if isinstance(value, dict):
             wrapped = next((value[k] for k in WRAPPERS if isinstance(value.get(k), list)), None)
-            wrapped = wrapped or max((v for v in value.values() if isinstance(v, list) and v and all(isinstance(x, dict) for x in v)), key=len, default=None) if len(value) <= 4 else wrapped
+            wrapped = wrapped or max((v for v in value.values() if isinstance(v, list) and v and all(isinstance(x, dict) for x in v)), key=len, default=None) if not _NAMES & {k.lower() for k in value} else wrapped
             value = wrapped if wrapped is not None else [value]
         yield from (v for v in value if isinstance(v, dict)) if isinstance(value, list) else ()
 
@@ -122,6 +126,8 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    if rows.sparkSession.sparkContext.getCheckpointDir():
+        ranged = ranged.checkpoint()  # ranges are drawn once: a second run could cut them elsewhere
     ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = ranged.groupBy("__part").agg(F.max("__n").alias("__size"))
     before = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
