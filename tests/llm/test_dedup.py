@@ -48,6 +48,21 @@ def test_removed_bytes_equal_brute_force(spark, seed):
     assert sorted((str(r.doc_id), *r[1:]) for r in got.collect()) == brute(rows)
 
 
+def test_long_documents_come_in_parts(spark, monkeypatch):
+    """As texts do that are too long for 28-bit positions; worked out in the test's own process."""
+    rng = np.random.default_rng(1)
+    pool = [bytes(rng.integers(97, 100, 300, dtype=np.uint8)) for _ in range(3)]
+    texts = [b"".join(pool[int(k)] for k in rng.integers(0, 3, n)) for n in (4, 9, 2)]
+    text, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    starts_of = lambda found: {(int(s), int(h)) for h, a, z in zip(*found, strict=True) for s in range(a, z + 1)}
+    want = starts_of(exact_spans.segments(text, ends))
+    assert len(want) == sum(len(t) - 49 for t in texts)
+    monkeypatch.setattr(exact_spans, "_SLICE", 64)
+    for longest in (50, 97, 500):
+        monkeypatch.setattr(exact_spans, "_LONGEST", longest)
+        assert starts_of(exact_spans.segments(text, ends)) == want
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_spans.remove_repeats(docs).collect() == []

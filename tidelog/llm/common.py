@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -19,10 +18,18 @@ def checkpointing(spark: SparkSession) -> SparkSession:
     """Makes sure that checkpoint() has a folder: the session's ``spark.checkpoint.dir``, or one of our own where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-", dir=os.environ.get("TMPDIR")))
+        sc.setCheckpointDir(shared_folder(spark))
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where none is set, one of this machine, if all tasks run here too."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="tidelog-")
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that the column's values take about ``limit`` bytes in each; a longer value comes alone."""
     for batch in batches:

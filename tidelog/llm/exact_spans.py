@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 LENGTH, GRAM = 50, 16
 #: Packs and buckets for each shuffle partition. A pack writes to every bucket, so messages number their product, or that of the anchors if there are fewer.
 PACKS, BUCKETS = 2, 1
-_SLICE = 1 << 19
+_SLICE, _LONGEST = 1 << 19, 1 << 27
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 over the golden ratio, made odd
 _WORDS = -(-LENGTH // 8)
 
@@ -47,13 +47,23 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     return h
 
 
-def segments(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash of the anchor, and first and last start of the passages that have it, by position. ``ends``: of the documents in the text."""
-    out: list[tuple[np.ndarray, ...]] = []
+def slices(text: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """start, bytes and ends of documents of parts of the text: documents together up to about _SLICE bytes. A longer document than _LONGEST comes in
+    parts that overlap, so that every passage begins in one of them: positions in a part have 28 bits."""
     k, base = 0, 0
     while k < len(ends):
         to = max(k + 1, int(np.searchsorted(ends, base + _SLICE, "right")))
-        part, stops = text[base : ends[to - 1]], ends[k:to] - base
+        end = int(ends[to - 1])
+        for start in range(base, max(end, base + 1), _LONGEST):
+            upto = min(start + _LONGEST + LENGTH - 1, end)
+            yield start, text[start:upto], ends[k:to] - base if upto - start == end - base else np.array([upto - start])
+        base, k = end, to
+
+
+def segments(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash of the anchor, and first and last start of the passages that have it, by position. ``ends``: of the documents in the text."""
+    out: list[tuple[np.ndarray, ...]] = []
+    for base, part, stops in slices(text, ends):
         if len(part) >= LENGTH:
             h = gram_hashes(part)
             n = len(part) - LENGTH + 1
@@ -75,7 +85,6 @@ def segments(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
                 last = np.append(first[1:], len(starts)) - 1
                 out.append((h[anchor[first]], starts[first] + base, starts[last] + base))
-        base, k = int(ends[to - 1]), to
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
