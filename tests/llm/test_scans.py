@@ -214,6 +214,8 @@ def test_the_sample_is_bounded_and_does_not_depend_on_the_order_of_rows(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('a first paragraph of words ', id, '\n\n', 'a second paragraph of words ', id) AS text")
     one, other = licenses.sample_of(docs, size=100), licenses.sample_of(docs.repartition(5), size=100)
     assert one == other and 60 < len(one) <= 100 and {p[:4] for p in one} == {"a fi", "a se"}
+    assert len(licenses.sample_of(docs.limit(30), size=100)) == 30 and licenses.sample_of(docs.limit(0), size=100) == []
+    assert len(licenses.sample_of(docs.limit(140), size=100)) == 100
 
 
 def pages_of(spark, n=700):
