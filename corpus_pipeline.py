@@ -6,12 +6,11 @@ All stages but the last return the columns of documents; the last returns the id
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import bpe, decontamination, quality, secrets, simhash
-from tidelog.llm.common import table
+from tidelog.llm.common import shared_folder, table
 from tidelog.llm.queries import vocabulary
 
 
@@ -43,9 +42,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents. Each result is written as Parquet to the session's shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidelog-")
     docs = table(spark, sf_dir, "documents")
-    home = f"{shared.rstrip('/')}/pipeline-{os.urandom(8).hex()}"
+    home = f"{shared_folder(spark).rstrip('/')}/pipeline-{os.urandom(8).hex()}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}")
         docs = spark.read.parquet(f"{home}/{k}")
