@@ -191,3 +191,26 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.table("hist").agg(F.sum("count")).first()[0] == 40
     want = {(a, b) for a, t1, u1, e1 in rows for b, t2, u2, e2 in rows if e1 == "error" and e2 == "purchase" and u1 == u2 and 0 <= (t2 - t1).total_seconds() <= 900}
     assert {(r.failed, r.success) for r in spark.table("chains").collect()} == want
+
+
+def test_spans_and_blocks_change_nothing(spark):
+    """A hot entity is cut into spans: the borders must not show, whatever the span."""
+    rows = [(p, t, "a" if p % 3 else "b") for p, t in enumerate([0, 0, 5, 5, 6, 30, 31, 31, 90, 100, 4000, 4001, 9000, None])]
+    df = spark.createDataFrame(rows, "pos bigint, s bigint, username string").selectExpr("pos", "timestamp_seconds(s) AS ts", "username")
+    log = LogFrame(df, ("username",))
+    want = []
+    for u in "ab":
+        own = sorted((t * 1_000_000, p) for p, t, name in rows if name == u and t is not None)
+        want += [(p, q, b - a) for (a, p), (b, q) in zip(own, own[1:])]
+    for span in (1, 7, 100_000):
+        assert sorted(map(tuple, sequences.steps(log, span=span).collect())) == sorted(want)
+    for gap in (1, 4, 60):
+        got = sequences.sessions(log, gap).collect()
+        assert sum(r.n_events for r in got) == 13
+        for u in "ab":
+            times = sorted(t for _, t, name in rows if name == u and t is not None)
+            assert sum(r.entity == u for r in got) == 1 + sum(b - a > gap for a, b in zip(times, times[1:]))
+    ids = spark.createDataFrame([("g", n) for n in (0, 1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 20, 21, 23, 23)] + [("h", 2), ("h", 3), ("h", None)], "g string, n bigint")
+    for block in (1, 2, 3, 100):
+        got = {(r.g, r.first, r.last, r.n) for r in sequences.consecutive_runs(ids, "g", "n", block).collect()}
+        assert got == {("g", 0, 3, 4), ("g", 5, 11, 7), ("g", 20, 21, 2), ("g", 23, 23, 1), ("h", 2, 3, 2)}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..logframe import LogFrame
 from ..sources.json_logs import numbered
+from .sequences import steps
 
 PRIORITY = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 IDENTITY = ["file", "line", "timestamp"]
@@ -96,9 +97,7 @@ def graph(frame: LogFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     event = F.concat(F.lit("event:"), F.col("pos").cast("string"))
     named = long.select(event.alias("source"), F.concat(kind, F.lit(":"), F.col("value")).alias("target"), kind.alias("type"), "value")
     nodes = inside.df.select(event.alias("id"), F.lit("event").alias("type"), F.col("message").alias("label")).unionByName(named.select(F.col("target").alias("id"), "type", F.col("value").alias("label")).distinct())
-    order = Window.partitionBy("username").orderBy("ts", "pos")
-    follow = inside.df.withColumn("__next", F.lead("pos").over(order)).where("__next is not null")
-    follow = follow.select(event.alias("source"), F.concat(F.lit("event:"), F.col("__next").cast("string")).alias("target"), F.lit("next").alias("type"))
+    follow = steps(inside).select(event.alias("source"), F.concat(F.lit("event:"), F.col("next_pos").cast("string")).alias("target"), F.lit("next").alias("type"))
     return nodes, named.select("source", "target", "type").unionByName(follow)
 
 

@@ -53,18 +53,34 @@ def representatives(scored: DataFrame, keys: list[str], order: list) -> DataFram
     return scored.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def consecutive_runs(ids: DataFrame, group: str, number: str) -> DataFrame:
-    """group, first, last, n: runs of successive numbers, by the difference of a number and its rank."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(number))
-    runs = ids.select(group, number).distinct().withColumn("__island", F.col(number) - rank)
-    return runs.groupBy(group, "__island").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n")).drop("__island")
+def consecutive_runs(ids: DataFrame, group: str, number: str, block: int = 100_000) -> DataFrame:
+    """group, first, last, n: runs of successive numbers, by the difference of a number and its rank. Nulls are passed over.
 
+    Numbers are cut into blocks, so a group with very many of them is dealt out; only runs that touch a block's border are put together over the group.
+    """
+    numbers = ids.select(group, number).where(F.col(number).isNotNull()).distinct().withColumn("__block", F.floor(F.col(number) / block))
+    rank = F.row_number().over(Window.partitionBy(group, "__block").orderBy(number))
+    parts = numbers.withColumn("__island", F.col(number) - rank).groupBy(group, "__block", "__island").agg(F.min(number).alias("first"), F.max(number).alias("last"))
+    border = (F.col("first") % block == 0) | (F.col("last") % block == block - 1)
+    by_first = Window.partitionBy(group).orderBy("first")
+    edges = parts.where(border).withColumn("__new", (F.col("first") != F.coalesce(F.lag("last").over(by_first), F.col("first")) + 1).cast("int"))
+    edges = edges.withColumn("__run", F.sum("__new").over(by_first)).groupBy(group, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return parts.where(~border).select(group, "first", "last").unionByName(edges.select(group, "first", "last")).withColumn("n", F.col("last") - F.col("first") + 1)
+
+
+def steps(frame: LogFrame, field: str = "username", span: int = 3600) -> DataFrame:
+    """Each row's next of the same entity: pos, next_pos, micros between.
 
-def steps(frame: LogFrame, field: str = "username") -> DataFrame:
-    """Each row's next of the same entity: pos, next_pos, micros between."""
-    w = Window.partitionBy(frame.require(field)).orderBy("ts", "pos")
-    rows = frame.df.where("ts is not null").select("pos", F.lead("pos").over(w).alias("next_pos"), (F.lead(F.unix_micros("ts")).over(w) - F.unix_micros("ts")).alias("micros"))
-    return rows.where("next_pos is not null")
+    Entities are cut into spans of ``span`` seconds; the last row of a span meets the first one of the entity's next span that has rows.
+    """
+    entity = F.col(frame.require(field)).alias("entity")
+    rows = frame.df.where("ts is not null").select(entity, "pos", F.unix_micros("ts").alias("us")).withColumn("span", F.floor(F.col("us") / (span * 1_000_000)))
+    w = Window.partitionBy("entity", "span").orderBy("us", "pos")
+    inner = rows.select("pos", "us", F.lead(F.struct("us", "pos")).over(w).alias("next"))
+    at = F.struct("us", "pos")
+    ends = rows.groupBy("entity", "span").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    outer = ends.select("last.pos", "last.us", F.lead("first").over(Window.partitionBy("entity").orderBy("span")).alias("next"))
+    return inner.unionByName(outer).where("next is not null").select("pos", F.col("next.pos").alias("next_pos"), (F.col("next.us") - F.col("us")).alias("micros"))
 
 
 def timeline(frame: LogFrame, condition: Column, limit: int = 100) -> DataFrame:
@@ -79,9 +95,16 @@ def first_and_last(frame: LogFrame, condition: Column) -> DataFrame:
 
 
 def sessions(frame: LogFrame, gap: int = 1800, field: str = "username") -> DataFrame:
-    """Sessions of an entity, cut where nothing happens for longer than ``gap`` seconds: entity, session (counted from 0), n_events, first, last (micros)."""
-    w = Window.partitionBy("entity").orderBy("us", "pos")
-    rows = frame.df.where("ts is not null").select(frame.value(field).alias("entity"), "pos", F.unix_micros("ts").alias("us"))
-    cut = F.coalesce((F.col("us") - F.lag("us").over(w) > gap * 1_000_000).cast("long"), F.lit(0))
-    rows = rows.withColumn("cut", cut).withColumn("session", F.sum("cut").over(w))
-    return rows.groupBy("entity", "session").agg(F.count("*").alias("n_events"), F.min("us").alias("first"), F.max("us").alias("last"))
+    """Sessions of an entity, cut where nothing happens for longer than ``gap`` seconds: entity, session (counted from 0), n_events, first, last (micros).
+
+    Rows are cut into spans of 24 gaps and sessions are made in each; what is put together over an entity are these pieces, of which a gap of time holds two at most.
+    """
+    micros = gap * 1_000_000
+    rows = frame.df.where("ts is not null").select(frame.value(field).alias("entity"), F.unix_micros("ts").alias("us")).groupBy("entity", "us").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("span", F.floor(F.col("us") / (24 * micros)))
+    w = Window.partitionBy("entity", "span").orderBy("us")
+    rows = rows.withColumn("cut", F.coalesce((F.col("us") - F.lag("us").over(w) > micros).cast("int"), F.lit(0))).withColumn("piece", F.sum("cut").over(w))
+    pieces = rows.groupBy("entity", "span", "piece").agg(F.sum("n").alias("n"), F.min("us").alias("first"), F.max("us").alias("last"))
+    every = Window.partitionBy("entity").orderBy("first")
+    pieces = pieces.withColumn("cut", F.coalesce((F.col("first") - F.lag("last").over(every) > micros).cast("long"), F.lit(0))).withColumn("session", F.sum("cut").over(every))
+    return pieces.groupBy("entity", "session").agg(F.sum("n").alias("n_events"), F.min("first").alias("first"), F.max("last").alias("last"))
