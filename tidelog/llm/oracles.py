@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, warc
+from . import manifest, mixing, quality, warc
 from .secrets import BASE, MORE
 
 
@@ -59,5 +59,71 @@ def warc_sql() -> str:
     )
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit."""
+    bit = "xor(c >> 1, 3988292384 * (c & 1))"
+    byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {bit})"
+    return f"xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: {byte}))"
+
+
+def manifest_sql(levels: int = 7) -> str:
+    """Levels one by one, with each row's place and hash on them; a level beyond a tree's root changes nothing."""
+    n = manifest.FANOUT
+    field = lambda x: f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+    rest = " || ".join(field(c) for c in manifest.FIELDS[:-1])
+    hurt = f"CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN translate(text, '{manifest.UPPER}', '{manifest.LOWER}') ELSE text END"
+    ctes = [
+        f"leaf AS (SELECT doc_id, lang, sha256({rest} || {field('text')}) AS h, sha256({rest} || {field(hurt)}) AS hurt FROM documents)",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS own, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, h) AS key, count(*) OVER (PARTITION BY lang) AS n FROM leaf)",
+        "p0 AS (SELECT key, own, h AS node, hurt AS folded, '' AS proof FROM a0)",
+        "n0 AS (SELECT lang AS tree, own AS pos, h AS node, n FROM a0)",
+    ]
+
+    def up(a: str, b: str) -> list[str]:
+        """nodes b of nodes a, and the rows' paths over them"""
+        run = f"SELECT tree, pos // {n} AS pos, list(node ORDER BY pos) AS kids, (n + {n - 1}) // {n} AS n, n AS was FROM n{a} GROUP BY tree, pos // {n}, n"
+        return [
+            f"n{b} AS (SELECT tree, pos, CASE WHEN was > 1 THEN sha256(array_to_string(kids, '')) ELSE kids[1] END AS node, n, CASE WHEN was > 1 THEN kids END AS kids FROM ({run}))",
+            f"p{b} AS (SELECT p.key, p.own // {n} AS own, CASE WHEN kids IS NULL THEN p.folded ELSE sha256(array_to_string(kids[1:p.own % {n}], '') || p.folded || array_to_string(kids[p.own % {n} + 2:], '')) END AS folded, "
+            f"CASE WHEN kids IS NULL THEN p.proof ELSE p.proof || array_to_string(kids[1:p.own % {n}], '') || array_to_string(kids[p.own % {n} + 2:], '') END AS proof, k.node AS top FROM p{a} p JOIN t{a} USING (key) JOIN n{b} k ON k.tree IS NOT DISTINCT FROM t{a}.tree AND k.pos = p.own // {n})",
+            f"t{b} AS (SELECT * FROM t{a})",
+        ]
+
+    ctes.append("t0 AS (SELECT key, lang AS tree FROM a0)")
+    for k in range(levels):
+        ctes += up(str(k), str(k + 1))
+    ctes += [
+        f"subs AS (SELECT tree AS lang, node, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM n{levels})",
+        "nu0 AS (SELECT 0 AS tree, pos, node, n FROM subs)",
+        "tu0 AS (SELECT key, 0 AS tree FROM a0)",
+        f"pu0 AS (SELECT p.key, s.pos AS own, p.folded, p.proof FROM p{levels} p JOIN t0 USING (key) JOIN subs s ON s.lang IS NOT DISTINCT FROM t0.tree)",
+    ]
+    for k in range(2):
+        ctes += up(f"u{k}", f"u{k + 1}")
+    return (
+        f"WITH {', '.join(ctes)} SELECT a.doc_id, a.h AS leaf, l.top AS subroot, u.top AS root, sha256(u.proof) AS proof_sha256, u.folded AS folded_root, u.folded = u.top AS verified "
+        f"FROM a0 a JOIN p{levels} l USING (key) JOIN pu2 u USING (key)"
+    )
+
+
+def mixing_sql() -> str:
+    """Windows over whole sources."""
+    m, quote = mixing, lambda x: "'" + x.replace("'", "''") + "'"
+    weight = f"[{', '.join(map(str, m.WEIGHTS))}][rank % {len(m.WEIGHTS)} + 1]"
+    before = "coalesce(sum({}) OVER (ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    filling = "most / weight, source NULLS LAST"
+    return (
+        f"WITH w AS (SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, {quote(m.WORD)})), 0) AS BIGINT) AS size FROM documents), "
+        f"k AS (SELECT doc_id, source, size, -ln((CAST('0x' || sha256('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, ''))[1:13] AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE) "
+        f"/ coalesce(greatest({m.LEAST}::DOUBLE, length(translate(text, {quote(m.SIGNS)}, '')) / nullif(length(text), 0) * (size / (size + {m.SHORT}))), {m.LEAST}::DOUBLE) AS key FROM w), "
+        "s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM k GROUP BY source), "
+        f"t AS (SELECT *, {weight} AS weight, source_size * {m.EPOCHS} AS most FROM s), "
+        f"f AS (SELECT max(({m.TOTAL}::DOUBLE * total - full_) / (shares - gone)) AS level FROM (SELECT {before.format('most', filling)}::DOUBLE AS full_, {before.format('weight', filling)}::DOUBLE AS gone, sum(source_size) OVER ()::DOUBLE AS total, sum(weight) OVER ()::DOUBLE AS shares FROM t)), "
+        "b AS (SELECT source, source_size, least(most::DOUBLE, level * weight) AS target FROM t, f), "
+        "r AS (SELECT k.*, b.source_size, b.target, CASE WHEN b.source_size > 0 THEN floor(target / b.source_size) ELSE 0 END AS rounds, coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source) "
+        "SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(0, least(size, floor(target - rounds * source_size + 0.5) - before)) AS BIGINT) AS taken FROM r"
+    )
+
+
 def all_sql() -> dict[str, str]:
-    return {"op5_secrets": secrets_sql(), "op7_quality": quality_sql(), "op9_warc_audit": warc_sql()}
+    return {"op5_secrets": secrets_sql(), "op7_quality": quality_sql(), "op9_warc_audit": warc_sql(), "op12_mix_sources": mixing_sql(), "op13_merkle_manifest": manifest_sql()}
