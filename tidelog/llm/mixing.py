@@ -25,7 +25,7 @@ LEAST, SHORT = 0.05, 50
 
 def quality_weight(text: Column, size: Column) -> Column:
     """A document's weight, 0.05 to 1: the share of its characters that are neither digits nor signs, less for short texts."""
-    plain = F.length(F.translate(text, SIGNS, "")) / F.length(text)
+    plain = F.try_divide(F.length(F.translate(text, SIGNS, "")), F.length(text))
     return F.coalesce(F.greatest(F.lit(LEAST), plain * (size / (size + SHORT))), F.lit(LEAST))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import manifest, mixing, quality, warc
+from . import manifest, mixing, quality, repair, warc
 from .secrets import BASE, MORE
 
 
@@ -125,5 +125,37 @@ def mixing_sql() -> str:
     )
 
 
+def repair_sql() -> str:
+    """Row by row, the cheapest edits that end in each state, as costs of nine digits with the audit behind them, so that the least text is the one to keep."""
+    r = repair
+    space = r"regexp_replace(text, '[\x20\x09-\x0D]+$', '')"
+    more = lambda x, cost, letter: f"lpad(CAST(CAST({x}[:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {x}[10:] || '{letter}'"
+    put = lambda x: more(x, r.INSERT, "I")
+    either = lambda x: more(x, r.DELETE, "D")
+    kept = lambda initial, x: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {x} END"
+    made = lambda x: f"CASE WHEN NOT gone THEN {x} END"
+    to_u = ", ".join(f"{kept('u', more(x, 'cut', 'K'))}, {made(more(x, f'({r.REROLE} + cut)', 'R'))}" for x in ("q0", "q1", "a"))
+    to_a = f"{kept('a', more('u', 'cut', 'K'))}, {made(more('u', f'({r.REROLE} + cut)', 'R'))}"
+    opened = f"SELECT conv_id, i, q0, q1, u, least(q3, {put('u')}) AS a FROM (SELECT *, least(q2, {put('q0')}, {put('q1')}, {put('q3')}) AS u FROM "
+    null = "coalesce({}, ' ')"
+    return (
+        f"WITH RECURSIVE b AS (SELECT conv_id, turn, {null.format('role')} AS role, {null.format('text')} AS text, {crc32_sql(null.format('CAST(conv_id AS VARCHAR)') + " || ':' || " + null.format('CAST(turn AS VARCHAR)'))} % 20 AS kind FROM conversations), "
+        "d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM b, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c(copy)), "
+        "o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d), "
+        f"f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, role[:1] AS initial, {space} = '' AS blank, {space}[-1] NOT IN ('.', '!', '?') AS ends FROM o), "
+        "g AS (SELECT *, blank OR seen AS gone, CASE WHEN ends AND NOT blank AND NOT seen THEN 3 ELSE 0 END AS cut, CASE WHEN lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS bad FROM f), "
+        "s AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS q0, CAST(NULL AS VARCHAR) AS q1, CAST(NULL AS VARCHAR) AS q2, CAST(NULL AS VARCHAR) AS q3 FROM g "
+        f"UNION ALL SELECT x.conv_id, g.i, {either('q0')}, least({either('q1')}, {kept('s', more('q0', 'cut', 'K'))}), least({either('u')}, {to_u}), least({either('a')}, {to_a}) FROM ({opened}s)) x JOIN g ON g.conv_id IS NOT DISTINCT FROM x.conv_id AND g.i = x.i + 1), "
+        f"e AS (SELECT conv_id, least(q0, a) AS best FROM ({opened}s)) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1), "
+        "l AS (SELECT conv_id, unnest(string_split(best[10:], '')) AS letter, generate_subscripts(string_split(best[10:], ''), 1) AS j FROM e WHERE length(best) > 9), "
+        "m AS (SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER w AS k FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY j)), "
+        "t AS (SELECT m.conv_id, k, letter, g.role, g.text, bool_or(k = 1 AND letter = 'K' AND g.initial = 's') OVER (PARTITION BY m.conv_id) AS shift FROM m LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM m.conv_id AND g.i = m.i WHERE letter <> 'D'), "
+        "h AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role ELSE CASE WHEN (k % 2 = 1) <> shift THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole FROM t GROUP BY conv_id), "
+        "c AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, CAST(count(*) FILTER (blank) AS BIGINT) AS blank, CAST(count(*) FILTER (seen AND NOT blank) AS BIGINT) AS duplicate, CAST(count(*) FILTER (cut > 0) AS BIGINT) AS truncated, CAST(sum(bad) AS BIGINT) AS illegal FROM g GROUP BY conv_id) "
+        "SELECT n.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(best[:9] AS BIGINT), 0) AS cost, coalesce(best[10:], '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256 "
+        "FROM (SELECT DISTINCT conv_id FROM conversations) n LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM n.conv_id"
+    )
+
+
 def all_sql() -> dict[str, str]:
-    return {"op5_secrets": secrets_sql(), "op7_quality": quality_sql(), "op9_warc_audit": warc_sql(), "op12_mix_sources": mixing_sql(), "op13_merkle_manifest": manifest_sql()}
+    return {"op5_secrets": secrets_sql(), "op7_quality": quality_sql(), "op9_warc_audit": warc_sql(), "op11_conversation_repair": repair_sql(), "op12_mix_sources": mixing_sql(), "op13_merkle_manifest": manifest_sql()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_spans, licenses, manifest, mixing, oracles, quality, secrets, simhash, token_counts, url_filter, warc
+from . import bpe, decontamination, exact_spans, licenses, manifest, mixing, oracles, quality, repair, secrets, simhash, token_counts, url_filter, warc
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), reworded=True)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
 
@@ -72,7 +76,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_suffix_dedup, op2_token_counts, op3_simhash, op4_licenses, op5_secrets, op6_url_filter, op7_quality, op8_bpe, op9_warc_audit, op10_decontamination, op12_mix_sources, op13_merkle_manifest)
+    ops = (op1_suffix_dedup, op2_token_counts, op3_simhash, op4_licenses, op5_secrets, op6_url_filter, op7_quality, op8_bpe, op9_warc_audit, op10_decontamination, op11_conversation_repair, op12_mix_sources, op13_merkle_manifest)
     return {f.__name__: f for f in ops}
 
 
