@@ -289,3 +289,12 @@ def test_mined_rules_of_four_tokens_are_kept(spark):
     got = {tuple(sorted(r["items"])) for r in rules.collect()}
     assert tuple("abcd") in got and ("x",) in got
     assert not any("x" in r for r in got if len(r) > 1)
+
+
+def test_audit_of_sparse_negative_and_huge_ids(spark):
+    ids = [*range(-40, 5), *(2**63 - 1 - k for k in range(40)), *(-(2**63) + k for k in range(40)), 2**53 + 1, 2**53 + 2, *(k * 0x9E3779B97F4A7C15 % 2**63 for k in range(1, 40))]
+    kind = "page_id long, url string, html string"
+    hurt, lost = {-3, 2**63 - 2, -(2**63), 2**53 + 1, ids[-1]}, -(2**63) + 7
+    recs = warc.records(spark.createDataFrame([(i, "u", f"page {i}") for i in ids], kind))
+    replica = warc.records(spark.createDataFrame([(i, "u", f"page {i}" + "!" * (i in hurt)) for i in ids if i != lost], kind))
+    assert sorted(r.id for r in warc.audit(recs, replica).collect()) == sorted(hurt | {lost})

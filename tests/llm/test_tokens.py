@@ -1,9 +1,10 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
 
-from tidelog.llm import bpe, token_counts
+from tidelog.llm import bpe, letters, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -113,3 +114,21 @@ def test_counts_do_not_depend_on_what_is_compiled(monkeypatch):
         monkeypatch.setattr(token_counts, "STATES", states)
         counter.clear()
         assert [n for k in range(0, len(texts), 50) for n in counter.count(texts[k : k + 50])] == want
+
+
+def test_sequences_of_marks_are_composed_as_by_the_library():
+    """Every combining mark with every seventh and with all that are newer than the library's tables, then longer sequences."""
+    from tokenizers.normalizers import NFC
+
+    rng, plain = random.Random(6), NFC()
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    newer = [m for m in marks if letters.NEWER.match(m)]
+    bases = ["a", "q", "\u05d0", "\u1100", "\uac00", "\u09c7", "\U00011099", "\U00011935", "\U00011938", "\U00011930", ""]
+    texts = [rng.choice(bases) + a + b for a in marks for b in marks[::7] + newer]
+    texts += ["".join(rng.choice(marks + bases * 20) for _ in range(rng.randrange(2, 9))) for _ in range(100_000)]
+    assert len(newer) > 100
+    assert [t for t in texts if bpe.composed(t) != plain.normalize_str(t)][:3] == []
+    lib = tokenizers.Tokenizer.from_str(config("word_bpe_49k.json"))
+    some = texts[::50]
+    got = [ids for _, ids, _ in bpe.WordBpe(config("word_bpe_49k.json")).encode(some)]
+    assert got == [" ".join(map(str, e.ids)) for e in lib.encode_batch(some, add_special_tokens=False)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, texts_of
-from .letters import SMALL, WHITE, bracket, letters_and_numbers
+from .letters import NEWER, SMALL, WHITE, bracket, letters_and_numbers
 
 #: Words whose tokens a worker remembers in each of two generations.
 MEMO = 150_000
@@ -185,7 +185,7 @@ class WordBpe:
         Python's own split takes four control characters for white space, which the pattern does not, and its lower case looks at what follows a sigma.
         """
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = composed(text)
             if "\u03a3" in text:
                 text = "".join(map(str.lower, text))
             text = text.translate(SMALL) if self.capitals.search(text) else text
@@ -209,6 +209,13 @@ class WordBpe:
             yield sum(map(_COUNT, found)), " ".join(filter(None, map(_IDS, found))), " ".join(filter(None, map(_TOKENS, found)))
 
 
+def composed(text: str) -> str:
+    """NFC by the library's tables: what is newer than they are stands apart, and only what is between is normalised."""
+    if NEWER.search(text) is None:
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", part) for part in NEWER.split(text))
+
+
 @functools.lru_cache(1)
 def encoder(config: str) -> WordBpe:
     """A worker's encoder: the words that it remembers serve the tasks that come later."""

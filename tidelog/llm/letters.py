@@ -7,6 +7,7 @@ small letters is stated here.
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 from collections.abc import Iterable
@@ -37,3 +38,12 @@ def bracket(codes: Iterable[int]) -> str:
         else:
             out.append([c, c])
     return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in out)
+
+#: Combining marks (and one letter with its second half) that came after Unicode 9, whose tables the tokenizers library composes by.
+NEWER_MARKS = (
+    "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839-\U0001183a"
+    "\U00011930\U00011938\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42"
+    "\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
+NEWER = re.compile(f"([{NEWER_MARKS}])")

@@ -61,7 +61,7 @@ def leaves(lean: DataFrame, full: DataFrame) -> DataFrame:
     apart = lean.join(full, "id", "left").select(*lean.columns, (F.col("id").isNull() | F.col("full").isNotNull()).alias("apart"))
     spread = F.pmod(F.xxhash64("id", "hash"), F.lit(HASHED_FILES * PER_FILE))
     place = F.when(F.col("apart"), spread).otherwise(F.col("id"))
-    file = F.floor(place / PER_FILE).cast("long")
+    file = whole(place, PER_FILE)
     placed = apart.select(F.when(F.col("apart"), -1 - (1 << 40) - file).otherwise(file).alias("file"), F.pmod(place, F.lit(PER_FILE)).cast("long").alias("node"), "id", "size", "hash", "copies")
     end = F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy("file").orderBy("node", "id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return placed.select("file", "node", "id", (end - F.col("size") * F.col("copies")).alias("start"), end.alias("end"), "copies", "hash")
@@ -76,11 +76,16 @@ def _up(nodes: DataFrame, by: dict[str, Column]) -> DataFrame:
     return up.select(*by, "start", "end", F.sha2(text, 256).alias("hash"))
 
 
+def whole(a: Column, n: int) -> Column:
+    """The whole part of a / n, rounded down, without doubles: ids of 64 bits keep all of theirs."""
+    return F.call_function("div", a - F.pmod(a, F.lit(n)), F.lit(n).cast("long"))
+
+
 def parent(depth: int) -> dict[str, Column]:
     """The key of the node above one of a level: 0 are records and 1 ranges of a file, keyed by file and node, 2 are files and above them ranges of files, keyed by node."""
     if depth == 0:
-        return {"file": F.col("file"), "node": F.floor(F.col("node") / FANOUT)}
-    return {"node": F.col("file") if depth == 1 else F.floor(F.col("node") / FANOUT)}
+        return {"file": F.col("file"), "node": whole(F.col("node"), FANOUT)}
+    return {"node": F.col("file") if depth == 1 else whole(F.col("node"), FANOUT)}
 
 
 def trees(*replicas: DataFrame) -> list[list[DataFrame]]:
@@ -122,7 +127,10 @@ def audit(recs: DataFrame, replica: DataFrame) -> DataFrame:
             sides.append(level)
         if depth:
             names = [side.select(*keys, F.col("hash").alias(f"hash{k}")) for k, side in enumerate(sides)]
-            bad = names[0].join(names[1], keys, "full").where(~F.col("hash0").eqNullSafe(F.col("hash1"))).select(*(F.col(k).alias(f"up_{k}") for k in keys))
+            bad = names[0].join(names[1], keys, "full").where(~F.col("hash0").eqNullSafe(F.col("hash1"))).select(*(F.col(k).alias(f"up_{k}") for k in keys)).checkpoint()
+            if bad.isEmpty():  # nothing below differs
+                keys, sides = ["file", "node"], [levels[0].limit(0) for levels in (ours, theirs)]
+                break
     # below the ranges that differ are at most FANOUT nodes each, of at most PER_FILE different records
     one = F.struct("hash", "copies", "id", "start", "end")
     listed = [side.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias(f"side{k}")) for k, side in enumerate(sides)]
