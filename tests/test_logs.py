@@ -113,6 +113,10 @@ def test_indicators(spark):
     row = spark.createDataFrame([(text,)], "t string").select(*(f(F.col("t")).alias(k) for k, f in INDICATORS.items())).first()
     assert row.ipv4 == ["10.0.0.1"] and row.url == ["http://evil.example.com/x"] and row.hash == ["d41d8cd98f00b204e9800998ecf8427e"]
     assert "evil.example.com" in row.domain and "lib.so" not in row.domain and row.email == ["a@b.org"] and row.cve == ["CVE-2021-4034"]
+    texts = {"from 10.0.0.9:51234 to [8.8.8.8]:53": ["10.0.0.9", "8.8.8.8"], "http://10.1.1.1:8080/x host:1.2.3.4.": ["10.1.1.1", "1.2.3.4"], "1.2.3.4.5 256.1.1.1 1.1.1.256 v1.2.3.4 1.2.3.4_": [], "0.0.0.0,255.255.255.255": ["0.0.0.0", "255.255.255.255"]}
+    assert [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(INDICATORS["ipv4"](F.col("t")).alias("v")).collect()] == list(texts.values())
+    hosts = {"org.freedesktop libc.so.6.bar a.b.example.com": ["a.b.example.com"], "-x.example.org, y-.example.org": ["x.example.org", "example.org"], "x" * 64 + ".com": []}
+    assert [r.v for r in spark.createDataFrame([(t,) for t in hosts], "t string").select(INDICATORS["domain"](F.col("t")).alias("v")).collect()] == list(hosts.values())
     ips = spark.createDataFrame([(x,) for x in ("10.1.1.1", "172.32.0.1", "192.168.0.1", "8.8.8.8", "x", "127.0.0.1")], "ip string")
     assert [r[0] for r in ips.select(F.coalesce(valid_ipv4(F.col("ip")) & private_ipv4(F.col("ip")), F.lit(False))).collect()] == [True, False, True, False, False, True]
     assert spark.range(1).select(norm(F.lit(0)), tokens(F.lit("A-b c d_e a-b"))).first()[:] == ("0", ["a-b", "d_e"])

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A decimal octet, a host label (RFC 1035) and what a URL may hold (RFC 3986) but the apostrophe.
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)"
-_LABEL = r"[A-Za-z\d](?:[A-Za-z\d-]*[A-Za-z\d])?"
-IPV4 = rf"(?<![\w:]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w:])"
+#: A number up to 255 without leading zeros, and an address of four. It is no part of a word or of a longer row of numbers; a port, a bracket or a stop may follow.
+_BYTE = r"(?:\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])"
+IPV4 = rf"\b(?<!\d\.){_BYTE}(?:\.{_BYTE}){{3}}\b(?!\.\d)"
+#: A host name (RFC 1123): labels of 63 letters, digits and inner hyphens at most, the last of letters. Not the host of an e-mail address.
+_LABEL = r"(?!-)[A-Za-z\d-]{1,63}(?<!-)"
+DOMAIN = rf"(?<!@)\b(?:{_LABEL}\.)+[A-Za-z]{{2,63}}\b"
+#: What a URL may hold (RFC 3986) but the apostrophe.
 URL = r"(?i)https?://[a-z\d._~:/?#\[\]@!$&()*+,;=%-]+"
 HEX_RUN = r"(?<![A-Fa-f\d])[A-Fa-f\d]{32,64}(?![A-Fa-f\d])"
 #: Hexadecimal digits of MD5, SHA-1 and SHA-256.
 HASH_LENGTHS = [32, 40, 64]
-DOMAIN = rf"(?<![@\w]){_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,63}}(?!\w)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 CVE = r"(?i)\bCVE-\d{4}-\d{4,7}\b"
 #: Endings of names that are files or units, not domains.
@@ -44,9 +46,25 @@ def private_ipv4(c: Column) -> Column:
     )
 
 
+#: Labels that end an organisation's name and so begin no host of two labels, and those of libraries and programs.
+TOP, PROGRAMS = ["org", "com", "net", "edu"], ["so", "dll", "exe"]
+
+
 def plausible_domain(c: Column) -> Column:
+    """A host name of 253 characters at most that is no file, library version (``libc.so.6.x``) or package (``org.name``)."""
     parts = F.split(F.lower(c), r"\.")
-    return (F.size(parts) >= 2) & ~F.element_at(parts, -1).isin(NOT_DOMAINS) & F.exists(parts, lambda p: p.rlike("[a-z]")) & F.forall(parts, lambda p: F.length(p) <= 63) & (F.length(c) <= 253)
+    package = (F.size(parts) == 2) & F.element_at(parts, 1).isin(TOP)
+    return (F.size(parts) >= 2) & (F.length(c) <= 253) & ~F.element_at(parts, -1).isin(NOT_DOMAINS) & ~F.arrays_overlap(parts, F.array(*map(F.lit, PROGRAMS))) & ~package
+
+
+#: What a command holds that starts another one, or hands it a script.
+STARTERS = [" -e ", " --exec", " /bin/sh", " /bin/bash", " /bin/zsh", "powershell", "cmd.exe", "nc -", "ncat ", "socat ", "python -c", "perl -e", "ruby -e", "bash -c", "sh -c", "| /bin/", "&& /bin/", "; /bin/"]
+
+
+def starts_others(context: Column) -> Column:
+    """Whether a row's texts show that its process ran something else: only then is a process an indicator and not just a name."""
+    text = F.concat(F.lit(" "), F.lower(context), F.lit(" "))
+    return F.exists(F.array(*map(F.lit, STARTERS)), lambda s: text.contains(s))
 
 
 def _all(pattern: str):

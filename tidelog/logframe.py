@@ -92,3 +92,26 @@ log AS (SELECT *, CASE event_type WHEN 'click' THEN 'curl' WHEN 'view' THEN 'sud
     CASE event_type WHEN 'click' THEN 'curl -o /tmp/f' || code || ' http://h' || code || '.example.com/x' WHEN 'view' THEN 'cat /etc/f' || code || '.conf' ELSE '' END AS command,
     event_type || ' by user ' || username || ' from ' || source_ip || ' code ' || code AS message FROM base)
 """
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> LogFrame:
+    """The events' log with what audit records tell of who acted: user numbers, login numbers (half of the users have none), processes and sessions."""
+    log = events_log(spark, sf_dir)
+    df = log.df.selectExpr(
+        "*",
+        "cast(1000 + cast(username AS bigint) div 3 AS string) AS uid",
+        "CASE WHEN event_type = 'view' THEN '0' ELSE cast(1000 + cast(username AS bigint) div 3 AS string) END AS euid",
+        "CASE WHEN cast(username AS bigint) % 10 < 5 THEN cast(1000000 + cast(username AS bigint) div 5 AS string) ELSE '4294967295' END AS auid",
+        "cast(pos % 4001 AS string) AS pid",
+        "cast(pos % 211 AS string) AS ppid",
+        "cast(pos div 3 AS string) AS audit_serial",
+        "concat('s', cast(username AS bigint) % 61, '-', pos % 7) AS audit_session",
+    )
+    return LogFrame(df, (*log.fields, "uid", "euid", "auid", "pid", "ppid", "audit_serial", "audit_session"))
+
+
+AUDIT_LOG = """
+audit AS (SELECT *, CAST(1000 + CAST(username AS BIGINT) // 3 AS VARCHAR) AS uid, CASE WHEN event_type = 'view' THEN '0' ELSE CAST(1000 + CAST(username AS BIGINT) // 3 AS VARCHAR) END AS euid,
+    CASE WHEN CAST(username AS BIGINT) % 10 < 5 THEN CAST(1000000 + CAST(username AS BIGINT) // 5 AS VARCHAR) ELSE '4294967295' END AS auid,
+    CAST(pos % 4001 AS VARCHAR) AS pid, CAST(pos % 211 AS VARCHAR) AS ppid, CAST(pos // 3 AS VARCHAR) AS audit_serial, 's' || CAST(username AS BIGINT) % 61 || '-' || pos % 7 AS audit_session FROM log)
+"""

@@ -2,24 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import basename, first_token
 from ..logframe import LogFrame
 from .correlation import failures_then_success, scope
 
-#: What a command shows, as patterns; first name the stage.
-STAGES = [
-    ("download", r"(?i)\b(curl|wget)\b.*https?://|certutil\b.*-urlcache|bitsadmin\b.*/transfer"),
-    ("sensitive_read", r"(?i)/etc/(shadow|gshadow|sudoers|passwd)\b|\.ssh\b|id_rsa\b|authorized_keys\b|\.kube/config\b"),
-    ("exploit", r"(?i)^\s*(\S*/)?(pkexec|dirtypipe|dirty_pipe)\b|^\s*(\S*/)?sudoedit\b.*-s\b"),
-    ("credential_dump", r"(?i)mimikatz|sekurlsa::|lsadump::|procdump\b.*lsass|comsvcs\.dll[, ]+minidump"),
-    ("persistence", r"(?i)schtasks\b.*/create|currentversion\\?run\b|\bcrontab\b|new-service\b"),
-    ("remote_execution", r"(?i)\bpsexec\b|\bwmic\b.*process\s+call\s+create|\bwinrs\b|\bsmbexec\b"),
-    ("anti_forensics", r"(?i)vssadmin\b.*delete\s+shadows|wevtutil\b.*cl\b|history\s+-c"),
-    ("encoded_command", r"(?i)powershell\b.*(-enc|frombase64string|downloadstring|iex\b)"),
+
+
+@dataclass(frozen=True)
+class Technique:
+    """A command shows a stage if it names one of the programs (any, if none is given; ``invoked``: as what is run), holds all of one group of texts and any of another."""
+
+    stage: str
+    programs: tuple[str, ...] = ()
+    every: tuple[str, ...] = ()
+    some: tuple[str, ...] = ()
+    invoked: bool = False
+
+
+#: Public techniques of attackers (ATT&CK number behind), by the programs that carry them out and their arguments.
+TECHNIQUES = [
+    Technique("download", ("curl", "wget"), ("://",)),  # T1105
+    Technique("download", ("certutil",), ("urlcache",)),  # T1105
+    Technique("download", ("bitsadmin",), ("transfer",)),  # T1197
+    Technique("sensitive_read", some=("/etc/passwd", "/etc/shadow", "/etc/gshadow", "/etc/sudoers", "/etc/ssh/sshd_config")),  # T1003.008
+    Technique("sensitive_read", some=(".ssh", "id_rsa", "id_ed25519", "authorized_keys", ".git-credentials", ".kube/config", "/var/lib/mysql")),  # T1552.001, T1552.004
+    Technique("payload", ("gcc", "cc", "g++", "clang", "make", "go", "rustc"), some=("/tmp/", "/dev/shm/", "/var/tmp/", "exploit", "payload")),  # T1587.001
+    Technique("payload", ("chmod",), ("+x",)),  # T1222.002
+    Technique("exploit", ("pkexec", "dirtypipe", "dirty_pipe", "dirtypipe-exploit"), invoked=True),  # T1068
+    Technique("exploit", ("sudoedit",), ("-s",), invoked=True),  # T1068
+    Technique("credential_dump", ("mimikatz", "nanodump", "secretsdump.py", "secretsdump")),  # T1003
+    Technique("credential_dump", some=("sekurlsa::", "lsadump::")),  # T1003
+    Technique("credential_dump", ("procdump", "procdump64"), ("lsass",)),  # T1003.001
+    Technique("credential_dump", ("rundll32",), ("comsvcs", "minidump")),  # T1003.001
+    Technique("persistence", ("schtasks",), ("/create",)),  # T1053.005
+    Technique("persistence", ("crontab", "new-service")),  # T1053.003, T1543.003
+    Technique("persistence", ("sc",), ("create", "binpath")),  # T1543.003
+    Technique("persistence", every=("currentversion", "run"), some=("reg add", "set-itemproperty", "new-itemproperty")),  # T1547.001
+    Technique("remote_execution", ("psexec", "psexec64", "winrs", "smbexec", "smbexec.py", "wmiexec.py")),  # T1569.002, T1021
+    Technique("remote_execution", ("wmic",), ("process", "call", "create")),  # T1047
+    Technique("anti_forensics", ("vssadmin",), ("delete", "shadows")),  # T1490
+    Technique("anti_forensics", ("wevtutil",), some=(" cl ", "clear-log")),  # T1070.001
+    Technique("anti_forensics", ("history",), ("-c",)),  # T1070.003
+    Technique("encoded_command", ("powershell", "pwsh"), some=(" -e ", " -enc", "frombase64string", "downloadstring", "iex")),  # T1059.001
 ]
+
+
+def programs(command: Column) -> Column:
+    """The last path parts of a command's words, without ``.exe``."""
+    words = F.filter(F.split(F.lower(command), r"[\s\"'`;|&()]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.regexp_replace(basename(w), r"\.exe$", ""))
+
+
+def invoked(command: Column) -> Column:
+    """The program that a command runs; what sudo is given, unless that is an option."""
+    names = programs(command)
+    first, second = F.get(names, F.lit(0)), F.get(names, F.lit(1))
+    return F.when((first == "sudo") & second.isNotNull() & ~second.startswith("-"), second).otherwise(first)
+
+
+def shows(command: Column, t: Technique) -> Column:
+    text = F.concat(F.lit(" "), F.lower(command), F.lit(" "))
+    out = F.lit(True)
+    if t.programs:
+        names = F.array(*map(F.lit, t.programs))
+        out = F.array_contains(names, invoked(command)) if t.invoked else F.arrays_overlap(programs(command), names)
+    for held in t.every:
+        out = out & text.contains(held)
+    if t.some:
+        out = out & functools.reduce(lambda a, b: a | b, (text.contains(held) for held in t.some))
+    return out
+
+
 #: Executables of known exploits.
 CVES = {"sudoedit": "CVE-2021-3156", "pkexec": "CVE-2021-4034", "dirtypipe": "CVE-2022-0847", "dirty_pipe": "CVE-2022-0847"}
 
@@ -32,7 +91,7 @@ def attackers(frame: LogFrame, least: int = 3) -> DataFrame:
 def stages(frame: LogFrame) -> DataFrame:
     """pos, stage, tool for every stage that a command shows."""
     command = F.col("command")
-    found = F.array_compact(F.array(*(F.when(command.rlike(p), F.lit(name)) for name, p in STAGES)))
+    found = F.array_distinct(F.array_compact(F.array(*(F.when(shows(command, t), F.lit(t.stage)) for t in TECHNIQUES))))
     return frame.df.where(frame.value("command") != "").select("pos", F.explode(found).alias("stage"), F.lower(basename(first_token(command))).alias("tool"))
 
 

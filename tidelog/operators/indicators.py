@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import INDICATORS, private_ipv4
+from ..functions.iocs import starts_others
 from ..logframe import LogFrame
 
 
@@ -38,7 +39,14 @@ def lookup(found: DataFrame, text: str, kind: str | None = None) -> DataFrame:
 
 
 def from_log(frame: LogFrame) -> DataFrame:
-    """id (pos), kind, value from all fields of a log; users and processes are indicators too."""
+    """id (pos), kind, value from all fields of a log; users are indicators too, and processes whose row shows that they started something else."""
     text = frame.df.select("pos", F.concat_ws(" ", *frame.fields).alias("__text"))
-    named = frame.df.select(F.col("pos").alias("id"), F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), frame.value(f).alias("value")) for kind, f in (("username", "username"), ("process", "process_name")) if f in frame.fields))).alias("i"))
-    return extract(text, "pos", "__text").unionByName(named.select("id", "i.kind", "i.value").where("value <> ''"))
+    context = F.concat_ws(" ", *(frame.value(f) for f in ("command", "message", "raw_log") if f in frame.fields))
+    named = [F.struct(F.lit("username").alias("kind"), frame.value("username").alias("value"))] if "username" in frame.fields else []
+    if "process_name" in frame.fields:
+        named.append(F.struct(F.lit("process").alias("kind"), F.when(starts_others(context), frame.value("process_name")).otherwise("").alias("value")))
+    found = extract(text, "pos", "__text")
+    if not named:
+        return found
+    rows = frame.df.select(F.col("pos").alias("id"), F.explode(F.array(*named)).alias("i"))
+    return found.unionByName(rows.select("id", "i.kind", "i.value").where("value <> ''"))

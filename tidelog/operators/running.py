@@ -44,3 +44,20 @@ def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, str])
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{name}") for name, c in of.items()))
     return summed.join(_carried(totals, list(sums)), "_part").select(*df.columns, *((F.col(f"_before_{name}") + F.col(f"_in_{name}")).alias(name) for name in sums))
+
+
+def neighbours(df: DataFrame, order: list[str | Column], value: str) -> DataFrame:
+    """The rows with ``before`` and ``after``: the nearest value that is not null at or before, and at or after, the row in the order.
+
+    An as-of join in both directions without a key: however many rows stand at one time, they are dealt out like any others.
+    """
+    rows = _in_order(df, order)
+    inside = Window.partitionBy("_part").orderBy("_at")
+    to_here, from_here = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    ends = rows.where(F.col(value).isNotNull()).groupBy("_part").agg(F.min_by(value, "_at").alias("first"), F.max_by(value, "_at").alias("last"))
+    # every part with what the parts before and after it end and begin with: one row for each part
+    parts = rows.select("_part").distinct().join(ends, "_part", "left")
+    earlier, later = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    carried = F.broadcast(parts.select("_part", F.last("last", True).over(earlier).alias("_last"), F.first("first", True).over(later).alias("_first")))
+    near = rows.select("*", F.last(value, True).over(to_here).alias("_before"), F.first(value, True).over(from_here).alias("_after"))
+    return near.join(carried, "_part").select(*df.columns, F.coalesce("_before", "_last").alias("before"), F.coalesce("_after", "_first").alias("after"))

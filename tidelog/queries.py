@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .logframe import EVENTS_LOG, LogFrame, events_log
-from .operators import aggregates, cases, correlation, detections, grounding, incident, indicators, retrieval, search, sequences
+from .functions.iocs import NOT_DOMAINS, STARTERS
+from .logframe import AUDIT_LOG, EVENTS_LOG, LogFrame, audit_log, events_log
+from .operators import aggregates, cases, correlation, detections, gaps, grounding, identity, incident, indicators, retrieval, search, sequences
 from .plans import run
 from .plans.questions import answer, extract_values, suggest, verified_zero
 from .sources import merge_audit, parse_syslog
@@ -107,16 +108,22 @@ on_log("log_profile", incident.classify, "SELECT 'endpoint' AS profile, 7 AS sco
 on_log("first_after_stage", lambda log: incident.first_after(log, "download"), "d AS (SELECT max(pos) AS p FROM log WHERE event_type = 'click') SELECT pos, command FROM log, d WHERE command <> '' AND pos > p ORDER BY pos LIMIT 1")
 
 # Indicators
-REGEX_HITS = {
-    "ioc_ip": ("ipv4", r"(?:^|[^\w:])((?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?:$|[^\w:])", 1),
-    "ioc_hash": ("hash", r"(?:^|[^A-Fa-f0-9])([A-Fa-f0-9]{64}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{32})(?:$|[^A-Fa-f0-9])", 1),
-    "ioc_email": ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0),
+OCTETS = r"list_bool_and(list_transform(p[i:i + 3], lambda x: regexp_full_match(x, '[0-9]{1,3}') AND (x = '0' OR x[1] <> '0') AND coalesce(TRY_CAST(x AS INTEGER), 256) < 256))"
+TEXT_IOCS = {
+    # words and dots fall into parts; four of them that are numbers, with no further number beside them
+    "ipv4": f"SELECT DISTINCT doc_id AS id, 'ipv4' AS kind, array_to_string(p[i:i + 3], '.') AS value FROM (SELECT doc_id, string_split(unnest(regexp_extract_all(text, '[0-9A-Za-z_.]+')), '.') AS p FROM documents), unnest(range(1, len(p) - 2)) AS u(i) WHERE {OCTETS} AND NOT regexp_matches(coalesce(p[i - 1], ''), '[0-9]$') AND NOT regexp_matches(coalesce(p[i + 4], ''), '^[0-9]')",
+    "hash": "SELECT DISTINCT doc_id AS id, 'hash' AS kind, lower(v) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Fa-f0-9]+')) AS v FROM documents) WHERE length(v) IN (32, 40, 64)",
+    "email": r"SELECT DISTINCT doc_id AS id, 'email' AS kind, lower(v) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS v FROM documents)",
 }
-for _name, (_kind, _pattern, _group) in REGEX_HITS.items():
-    _add(_name, lambda spark, d, kind=_kind: indicators.extract(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", [kind]), f"SELECT DISTINCT doc_id AS id, '{_kind}' AS kind, {'lower(v)' if _kind != 'ipv4' else 'v'} AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_pattern}', {_group})) AS v FROM documents)")
+for _name, _kind in {"ioc_ip": "ipv4", "ioc_hash": "hash", "ioc_email": "email"}.items():
+    _add(_name, lambda spark, d, kind=_kind: indicators.extract(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", [kind]), TEXT_IOCS[_kind])
 _add("ioc_url", lambda spark, d: indicators.extract(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "url", ["url"]), r"SELECT DISTINCT page_id AS id, 'url' AS kind, regexp_replace(v, '[.,;:)\]}]+$', '') AS value FROM (SELECT page_id, unnest(regexp_extract_all(url, '(?i)https?://[a-z0-9._~:/?#\[\]@!$&()*+,;=%-]+')) AS v FROM pages)".replace('""', '"'))
-_add("ioc_domain", lambda spark, d: indicators.extract(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "url", ["domain"]), r"SELECT DISTINCT page_id AS id, 'domain' AS kind, lower(v) AS value FROM (SELECT page_id, unnest(regexp_extract_all(url, '(?:^|[^@\w])((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63})(?:$|[^\w])', 1)) AS v FROM pages) WHERE regexp_extract(lower(v), '[a-z]+$') NOT IN ('so', 'dll', 'exe', 'bin', 'service', 'socket', 'target', 'conf', 'cfg', 'ini', 'json', 'log', 'txt', 'xml', 'yaml', 'yml')")
-on_log("ioc_counts", lambda log: indicators.counts(indicators.from_log(LogFrame(log.df, ("source_ip", "username", "process_name", "command")))), "SELECT 'ipv4' AS kind, count(DISTINCT source_ip) AS n_values, count(*) AS n_rows FROM log UNION ALL SELECT 'username', count(DISTINCT username), count(*) FROM log UNION ALL SELECT 'process', count(DISTINCT process_name), count(*) FROM log WHERE process_name <> '' UNION ALL SELECT 'url', count(DISTINCT code), count(*) FROM log WHERE event_type = 'click' UNION ALL SELECT 'domain', count(DISTINCT code), count(*) FROM log WHERE event_type = 'click'")
+HOSTS = f"""SELECT DISTINCT page_id AS id, 'domain' AS kind, lower(run) AS value FROM (SELECT page_id, unnest(string_split_regex(url, '[^A-Za-z0-9.-]+')) AS run FROM pages) WHERE len(string_split(run, '.')) > 1
+    AND list_bool_and(list_transform(string_split(run, '.'), lambda x: length(x) BETWEEN 1 AND 63 AND x[1] <> '-' AND x[-1] <> '-')) AND regexp_full_match(string_split(run, '.')[-1], '[A-Za-z]{{2,}}')
+    AND lower(string_split(run, '.')[-1]) NOT IN ({', '.join(f"'{x}'" for x in NOT_DOMAINS)})"""
+_add("ioc_domain", lambda spark, d: indicators.extract(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "url", ["domain"]), HOSTS)
+STARTED = " OR ".join(f"contains(' ' || lower(command || ' ' || message) || ' ', '{x}')" for x in STARTERS)
+on_log("ioc_counts", lambda log: indicators.counts(indicators.from_log(log)), f"SELECT 'ipv4' AS kind, count(DISTINCT ip) AS n_values, count(*) AS n_rows FROM (SELECT unnest(list_distinct([source_ip, destination_ip])) AS ip FROM log) UNION ALL SELECT 'username', count(DISTINCT username), count(*) FROM log UNION ALL SELECT 'process', count(DISTINCT process_name), count(*) FROM log WHERE process_name <> '' AND ({STARTED}) HAVING count(*) > 0 UNION ALL SELECT 'url', count(DISTINCT code), count(*) FROM log WHERE event_type = 'click' UNION ALL SELECT 'domain', count(DISTINCT code), count(*) FROM log WHERE event_type = 'click'")
 on_log("ioc_summary", lambda log: indicators.summarize(indicators.extract(log.df, "pos", "destination_ip", ["ipv4"])), "SELECT 'ipv4' AS kind, destination_ip AS value, count(*) AS n_rows, min(pos) AS first, max(pos) AS last, true AS private, NULL::VARCHAR AS algorithm FROM log GROUP BY destination_ip")
 
 # Correlation
@@ -178,3 +185,49 @@ on_log("related_terms", lambda log: retrieval.related_terms(log, log.df.where("v
 on_log("qa_values", lambda log: extract_values("List the destinations of critical failures", log, "username"), "SELECT username AS value, count(*) AS count FROM log WHERE event_type = 'error' AND severity = 'critical' GROUP BY 1")
 on_log("qa_verified_zero", lambda log: verified_zero("How many critical failed logins of user 9999 were there?", log), "SELECT 'action' AS field, 'failed_login' AS value, count(*) FILTER (WHERE event_type = 'error') AS n_rows FROM log UNION ALL SELECT 'severity', 'critical', count(*) FILTER (WHERE severity = 'critical') FROM log UNION ALL SELECT 'username', '9999', count(*) FILTER (WHERE username = '9999') FROM log")
 on_log("qa_suggestions", suggest, "c AS (SELECT 'How many failed logins of user ' || username || ' were there?' AS question, username AS v, 'u' AS f, count(*) AS n FROM log GROUP BY username UNION ALL SELECT 'Show the timeline of ' || source_ip, source_ip, 'i', count(*) FROM log GROUP BY source_ip UNION ALL SELECT 'Which users have the most events of ' || action || '?', action, 'a', count(*) FROM log GROUP BY action) SELECT question FROM c QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, v) <= 3")
+
+# Audit identities
+ACTOR = "fails AS (SELECT username, source_ip, count(*) AS n FROM log WHERE action = 'failed_login' GROUP BY 1, 2 HAVING count(*) >= 3), actor AS (SELECT username, source_ip FROM fails ORDER BY n DESC, username, source_ip LIMIT 1)"
+LEARNT = f"WITH RECURSIVE {EVENTS_LOG}, {AUDIT_LOG}, {ACTOR}, facts AS (SELECT DISTINCT username, source_ip, uid, euid, auid FROM audit), ids AS (SELECT unnest([f.uid, f.auid]) AS identity FROM facts f, actor a WHERE f.username = a.username OR f.source_ip = a.source_ip UNION SELECT unnest([f.uid, f.auid]) FROM facts f JOIN ids i ON i.identity IN (f.uid, f.euid, f.auid) AND i.identity NOT IN ('0', '-1', '4294967295')), identities AS (SELECT identity FROM ids WHERE identity NOT IN ('0', '-1', '4294967295'))"
+
+
+def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = audit_log(spark, sf_dir)
+    actor = identity.main_actor(log)
+    return identity.scope(log, actor, identity.learn(log, actor))
+
+
+_add("attacker_identities", lambda spark, d: identity.learn(log := audit_log(spark, d), identity.main_actor(log)), f"{LEARNT} SELECT identity FROM identities")
+_add("attacker_scope", _scope, f"{LEARNT}, r AS (SELECT pos, CASE WHEN auid IN (SELECT identity FROM identities) THEN 'auid' END AS a, CASE WHEN euid IN (SELECT identity FROM identities) THEN 'euid' END AS e, CASE WHEN source_ip IN (SELECT source_ip FROM actor) THEN 'source_ip' END AS s, CASE WHEN uid IN (SELECT identity FROM identities) THEN 'uid' END AS u, CASE WHEN username IN (SELECT username FROM actor) THEN 'username' END AS n FROM audit) SELECT pos, concat_ws(',', a, e, s, u, n) AS reasons FROM r WHERE coalesce(a, e, s, u, n) IS NOT NULL")
+
+# Gaps beside the evidence of great errors
+GAP_FIELDS = ["username", "source_ip", "process_name", "pid", "ppid", "auid", "uid", "audit_serial", "audit_session"]
+
+
+def _gap_sql(candidate: str, direct: str, fills: int, bridge: bool) -> str:
+    shares = lambda t, f: f"{t}.{f} <> '' AND {t}.{f} IN (SELECT {f} FROM anchors)"
+    points = " + ".join(f"CASE WHEN {f} THEN {gaps.POINTS[f]} ELSE 0 END" for f in GAP_FIELDS)
+    names = ", ".join(f"CASE WHEN {f} THEN '{f}' END" for f in sorted(GAP_FIELDS))
+    strong = " OR ".join(shares("n", f) for f in gaps.STRONG)
+    over = " OR ".join(f"c.{f} IN (SELECT {f} FROM bridges)" for f in gaps.STRONG) if bridge else "false"
+    return (
+        f"WITH {EVENTS_LOG}, {AUDIT_LOG}, anchors AS (SELECT * FROM audit WHERE {SEEDS}), others AS (SELECT * FROM audit WHERE NOT ({SEEDS})), "
+        "lo AS (SELECT o.pos, o.us - a.us AS d FROM others o ASOF LEFT JOIN anchors a ON o.us >= a.us), hi AS (SELECT o.pos, a.us - o.us AS d FROM others o ASOF LEFT JOIN anchors a ON o.us <= a.us), "
+        f"n AS (SELECT o.*, least(lo.d, hi.d) AS micros FROM others o JOIN lo USING (pos) JOIN hi USING (pos) WHERE least(lo.d, hi.d) <= {gaps.WINDOW_S} * 1000000), "
+        f"bridges AS (SELECT * FROM n WHERE {strong}), "
+        f"c AS (SELECT c.pos, c.micros, {', '.join(f'({shares("c", f)}) AS {f}' for f in GAP_FIELDS)}, ({over}) AS over FROM n c WHERE {candidate}), "
+        f"d AS (SELECT *, ({direct}) AS direct FROM c) "
+        f"SELECT pos, CAST({gaps.BASE + gaps.NEAR + fills} + {points} + CASE WHEN NOT direct AND over THEN {gaps.BRIDGE} ELSE 0 END AS BIGINT) AS score, concat_ws(',', {names}) AS shared, NOT direct AND over AS bridged, micros FROM d WHERE direct OR over"
+    )
+
+
+def _gap(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: gaps.search(log := audit_log(spark, d), log.df.where(SEEDS).select("pos"), name)
+
+
+LOGIN_ROWS = "action IN ('failed_login', 'successful_login')"
+GAP_SOURCE = _gap_sql(LOGIN_ROWS, "username", gaps.FILLS, False)
+_add("gap_login", _gap("login"), _gap_sql("action = 'successful_login'", "true", 0, False))
+_add("gap_source", _gap("source"), GAP_SOURCE)
+_add("gap_process", _gap("process"), _gap_sql(f"({LOGIN_ROWS} OR process_name = 'sudo')", "process_name OR source_ip OR " + " OR ".join(gaps.STRONG), gaps.FILLS, True))
+_add("gap_representatives", lambda spark, d: gaps.representatives(log := audit_log(spark, d), gaps.search(log, log.df.where(SEEDS).select("pos"), "source"), ["source_ip", "username", "action"]), f"SELECT pos, score, micros, n AS n_alike FROM (SELECT f.*, count(*) OVER w AS n, row_number() OVER (w ORDER BY score DESC, micros, f.pos) AS r FROM ({GAP_SOURCE}) f JOIN (WITH {EVENTS_LOG} SELECT pos, source_ip, username, action FROM log) l ON l.pos = f.pos WINDOW w AS (PARTITION BY source_ip, username, action)) WHERE r = 1 ORDER BY score DESC, micros, pos LIMIT {gaps.MOST}")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parse_time
 from ..logframe import LogFrame
+from ..operators.running import positions
+from .json_split import split_json
 
 #: Keys that wrap a list of records, and the names under which fields come.
 WRAPPERS = ["events", "records", "logs", "items", "data", "results", "entries", "hits", "rows", "alerts", "Events", "Records"]
@@ -31,6 +33,15 @@ ALIASES = {
     "file_path": ["file_path", "TargetFilename", "path", "file"],
     "hash": ["hash", "Hashes", "sha256", "md5"],
     "url": ["url", "uri", "request_url"],
+    "source_port": ["source_port", "src_port", "SourcePort", "IpPort"],
+    "pid": ["pid", "ProcessId", "process_id", "NewProcessId"],
+    "ppid": ["ppid", "ParentProcessId", "parent_pid"],
+    "uid": ["uid", "user_id"],
+    "euid": ["euid", "effective_uid"],
+    "auid": ["auid", "loginuid", "audit_uid"],
+    "audit_serial": ["audit_serial", "serial"],
+    "audit_session": ["audit_session", "ses", "session", "LogonId", "TargetLogonId"],
+    "rule_name": ["rule_name", "RuleName", "rule", "signature"],
 }
 #: Windows event ids of logins.
 FAILED_IDS, GOOD_IDS = ["4625", "529", "4771"], ["4624", "4648", "4776"]
@@ -80,20 +91,31 @@ def _records(text: str) -> Iterator[dict]:
 def read_json(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """file, line and attrs (a map of flattened names) of each record.
 
-    By default files hold a record on each line: they are split like any text, and lines that are no object are passed over. With ``whole`` each file is
-    read by one task, as arrays, wrappers and objects without line ends can't be split; ``line`` is then the record's number. Order is that of the files.
+    By default files hold a record on each line, and lines that are no object are passed over. With ``whole`` they hold arrays, wrappers and objects one after
+    another, whatever the line ends; ``line`` is then the record's place in the file. Files are split among tasks either way. Order is that of the files.
     """
 
-    def of_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for file, line, text in zip(batch["file"], batch["line"], batch["value"], strict=True):
-                for n, record in enumerate(_records(text), 1):
-                    rows.append((file, n if whole else line, flatten(record)))
+            for file, line, item, text in zip(batch["file"], batch["line"], batch["item"], batch["value"], strict=True):
+                for n, record in enumerate(_items(text) if item else _records(text)):
+                    rows.append((file, line + n if whole else line, flatten(record)))
             yield pd.DataFrame(rows, columns=["file", "line", "attrs"])
 
-    texts = spark.read.text(path, wholetext=whole).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), "value")
-    return texts.mapInPandas(of_lines, "file string, line long, attrs map<string,string>")
+    if whole:
+        texts = split_json(spark, path, WRAPPERS).select("file", "line", (F.col("kind") == "item").alias("item"), F.col("text").alias("value"))
+    else:
+        texts = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.lit(False).alias("item"), "value")
+    return texts.mapInPandas(parse, "file string, line long, attrs map<string,string>")
+
+
+def _items(text: str) -> list[dict]:
+    """The object of a text that is an element of a list; none if it is not JSON."""
+    try:
+        return [json.loads(text)]
+    except ValueError:
+        return []
 
 
 def _first(names: list[str]) -> Column:
@@ -108,7 +130,6 @@ def normalize(raw: DataFrame, year: int | None = None) -> LogFrame:
     """A log of records with ``attrs``: normalised fields, ``ts``, ``timestamp_parse_failed`` and ``pos``, numbered in the order of file and line.
 
     Actions come from the stated one, else from Windows event ids, else from the text. Normalised values win over raw names; attrs keeps the raw ones.
-    Numbering sorts by range, counts rows per range and adds the counts of the ranges before.
     """
     rows = raw.select("file", "line", "attrs", *(_first(names).alias(f) for f, names in ALIASES.items()))
     text = F.lower(F.concat_ws(" ", "message", "event_type"))
@@ -122,16 +143,5 @@ def normalize(raw: DataFrame, year: int | None = None) -> LogFrame:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """With ``pos``, counted from 0 in an order. Rows are dealt into ranges and numbered in each; the ranges' sizes are as few as partitions."""
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    if rows.sparkSession.sparkContext.getCheckpointDir():
-        ranged = ranged.checkpoint()  # ranges are drawn once: a second run could cut them elsewhere
-    ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = ranged.groupBy("__part").agg(F.max("__n").alias("__size"))
-    before = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    out = ranged.join(F.broadcast(before), F.col("__part") == F.col("__p"))  # a row for each partition
-    return out.withColumn("pos", (F.col("__before") + F.col("__n") - 1).cast("long")).drop("__part", "__p", "__n", "__size", "__before")
-
-
+    """With ``pos``, counted from 0 in an order. The ranges are written once, so a lost executor can't move a row from one to another."""
+    return positions(rows, order, "pos")
