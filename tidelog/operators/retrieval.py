@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..stored import written
+from .running import running_sums
+
 K1, B = 1.5, 0.75
 #: Endings that are cut from words, longest first.
 ENDINGS = ["ing", "ed", "es", "s"]
@@ -71,29 +74,6 @@ def tfidf(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     return dots.select("id", (F.col("dot") / (F.col("norm") * length)).alias("score"))
 
 
-def scaled(scores: DataFrame) -> DataFrame:
-    """Scores moved to 0 up to 1; equal ones become 1."""
-    ends = scores.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi"))).scalar()
-    low, high = F.col("e.lo"), F.col("e.hi")
-    return scores.withColumn("e", ends).select("id", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0).alias("score"))
-
-
-def hybrid(docs: DataFrame, query: str, id_col: str, text_col: str, cut: float = 0.45, limit: int = 20) -> DataFrame:
-    """id and score of the best texts: half TF-IDF, three tenths BM25, a fifth the share of query terms held; those under ``cut`` of the best are left out."""
-    spark = docs.sparkSession
-    wanted = [r.t for r in spark.range(1).select(F.explode(terms(F.lit(query))).alias("t")).collect()]
-    share = F.size(F.array_intersect("terms", F.array(*map(F.lit, wanted)).cast("array<string>"))) / max(1, len(wanted))
-    overlap = index(docs, id_col, text_col).select("id", share.alias("score")).where("score > 0")
-    parts = [(tfidf(docs, query, id_col, text_col), 0.5), (scaled(bm25(docs, query, id_col, text_col)), 0.3), (overlap, 0.2)]
-    every = None
-    for scores, weight in parts:
-        one = scores.select("id", (F.col("score") * weight).alias("score"))
-        every = one if every is None else every.unionByName(one)
-    total = every.groupBy("id").agg(F.sum("score").alias("score"))
-    best = total.agg(F.max("score")).scalar()
-    return total.where(F.col("score") >= cut * best).orderBy(F.desc("score"), "id").limit(limit)
-
-
 def chunks(rows: DataFrame, session: str | None, span: int = 60, run: int = 50) -> DataFrame:
     """pos and chunk: rows of a session, else of a minute, else of ``run`` positions, belong together."""
     named = F.when(F.coalesce(F.col(session), F.lit("")) != "", F.concat(F.lit("s"), F.substring(F.sha1(F.col(session)), 1, 12))) if session else F.lit(None).cast("string")
@@ -124,3 +104,13 @@ def related_terms(frame, hits: DataFrame, fields: list[str], k: int = 5) -> Data
     counts = frame.on(frame.df.join(hits.select("pos"), "pos", "left_semi")).long(fields).groupBy("field", "value").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
     return counts.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
+
+
+def within_budget(ranked: DataFrame, text: Column, budget: int, order: list[str | Column], part: int | None = None) -> DataFrame:
+    """The rows in their order until their tokens (a quarter of the characters, rounded up) would exceed a budget, with ``tokens`` and ``before``, the tokens of all rows before.
+
+    With ``part`` the rows are also dealt into requests of about that many tokens, numbered from 0. Sums are carried over ranges of the order, so the budget may be of any size.
+    """
+    sized = written(ranked.withColumn("tokens", F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")), "sized")
+    kept = running_sums(sized, order, {"before": "tokens"}).where(F.col("before") + F.col("tokens") <= budget)
+    return kept.withColumn("part", F.floor(F.col("before") / part)) if part else kept

@@ -1,3 +1,3 @@
-from .filters import PlanError, predicate, run
+from .filters import PlanError, finalize, predicate, run
 
-__all__ = ["PlanError", "predicate", "run"]
+__all__ = ["PlanError", "finalize", "predicate", "run"]

@@ -11,10 +11,11 @@ import re
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..logframe import LogFrame
+from ..stored import written
 
 RESULTS = {"COUNT", "DISTINCT", "GROUP", "SORT", "TOP_K"}
 
@@ -122,3 +123,19 @@ def run(plan: dict, frame: LogFrame) -> DataFrame:
     rows = rows.orderBy(order, "pos")
     limit = plan.get("limit", 10 if kind == "TOP_K" else None)
     return rows.limit(int(limit)) if limit is not None else rows
+
+
+def finalize(plan: dict, frame: LogFrame) -> DataFrame:
+    """The rows of a condition (the first ``limit`` by pos) with ``count``, of all matches, ``returned_count``, ``truncated`` and ``exhaustive``.
+
+    The page and the count come of one scan: matches are counted as they pass on to the page.
+    """
+    if str(plan.get("operation", "")).upper() in RESULTS:
+        raise PlanError("only conditions have a page")
+    matches = Observation("matches")
+    rows = frame.df.where(predicate(plan, frame)).observe(matches, F.count("*").alias("n"))
+    limit = plan.get("limit")
+    page = written(rows.orderBy("pos").limit(int(limit)) if limit is not None else rows, "page")
+    count = matches.get["n"]
+    returned = min(count, int(limit)) if limit is not None else count
+    return page.withColumns({"count": F.lit(count).cast("long"), "returned_count": F.lit(returned).cast("long"), "truncated": F.lit(returned < count), "exhaustive": F.lit(returned == count)})

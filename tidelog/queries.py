@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions.iocs import NOT_DOMAINS, STARTERS
 from .logframe import AUDIT_LOG, EVENTS_LOG, LogFrame, audit_log, events_log
-from .operators import aggregates, cases, correlation, detections, gaps, grounding, identity, incident, indicators, retrieval, search, sequences
-from .plans import run
+from .operators import aggregates, cases, chains, correlation, dashboards, detections, gaps, grounding, identity, incident, indicators, ranking, retrieval, search, sequences
+from .plans import finalize, run
 from .plans.questions import answer, extract_values, suggest, verified_zero
 from .sources import merge_audit, parse_syslog
 
@@ -145,7 +145,22 @@ on_log("common_values", lambda log: correlation.common_values(log.on(log.df.wher
 _add("tfidf", lambda spark, d: retrieval.tfidf(spark.read.parquet(f"{d}/documents.parquet"), "license version apache", "doc_id", "text").select("id", F.round("score", 6).alias("score")), """WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM documents), g AS (SELECT id, unnest(w) AS t FROM w UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), tf AS (SELECT id, t, 1 + ln(count(*)) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents), idf AS (SELECT t, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY t), q AS (SELECT t, idf AS q FROM idf WHERE t IN ('license', 'version', 'apache', 'license version', 'version apache')), x AS (SELECT tf.id, tf.tf * idf.idf AS w, q.q FROM tf JOIN idf USING (t) LEFT JOIN q USING (t)), l AS (SELECT sqrt(sum(q * q)) AS l FROM q) SELECT id, round(sum(w * q) / (sqrt(sum(w * w)) * any_value(l)), 6) AS score FROM x, l GROUP BY id HAVING sum(w * q) IS NOT NULL""")
 TERMS = "t AS (SELECT pos AS id, list_distinct(list_transform(list_filter(list_concat(w, flatten(list_transform(w, lambda x: regexp_split_to_array(x, '[_./:@+-]+')))), lambda x: length(x) >= 2), lambda x: CASE WHEN length(x) >= 7 AND x LIKE '%ing' THEN x[:-4] WHEN length(x) >= 6 AND (x LIKE '%ed' OR x LIKE '%es') THEN x[:-3] WHEN length(x) >= 5 AND x LIKE '%s' THEN x[:-2] ELSE x END)) AS terms FROM (SELECT pos, regexp_extract_all(lower(message), '[a-z0-9_./:@+-]{2,}') AS w FROM log))"
 on_log("bm25", lambda log: retrieval.bm25(log.df, "purchase 42 clicks", "pos", "message").select("id", F.round("score", 6).alias("score")), f"{TERMS}, q AS (SELECT unnest(['purchase', '42', 'click']) AS t), d AS (SELECT q.t, count(*) AS df FROM t JOIN q ON list_contains(t.terms, q.t) GROUP BY q.t), s AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t) SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(terms) / mean))), 6) AS score FROM t JOIN d ON list_contains(t.terms, d.t), s GROUP BY id")
-on_log("hybrid_rank", lambda log: retrieval.hybrid(log.df, "purchase user 42", "pos", "message").select("id", F.round("score", 6).alias("score")), None)
+QUESTION = ["purchase", "user", "42"]
+HYBRID = (
+    rf"{TERMS}, m AS (SELECT pos AS id, regexp_extract_all(lower(message), '\b[a-z0-9][a-z0-9_.:/-]*\b') AS w, list_filter(regexp_split_to_array(lower(message), '\s+'), lambda x: x <> '') AS s FROM log), "
+    f"q0 AS (SELECT -1 AS id, {QUESTION} AS w, {QUESTION} AS s), every AS (SELECT * FROM m UNION ALL SELECT * FROM q0), "
+    "f AS (SELECT id, false AS gram, unnest(w) AS g FROM every UNION ALL SELECT id, false, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM every "
+    "UNION ALL SELECT id, true, substring(p, i, k) FROM (SELECT id, ' ' || unnest(s) || ' ' AS p FROM every), unnest([3, 4, 5]) AS a(k), unnest(range(1, length(p) - k + 2)) AS b(i)), "
+    "tf AS (SELECT id, gram, g, 1 + ln(count(*)) AS tf FROM f GROUP BY ALL), n AS (SELECT count(*) AS n FROM log), df AS (SELECT gram, g, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf, n WHERE id >= 0 GROUP BY gram, g), "
+    "x AS (SELECT id, gram, g, tf * idf AS w FROM tf JOIN df USING (gram, g)), l AS (SELECT id, gram, sqrt(sum(w * w)) AS l FROM x GROUP BY id, gram), "
+    "c AS (SELECT x.id, sum(CASE WHEN x.gram THEN 0.35 ELSE 0.65 END * x.w * y.w / (l.l * k.l)) AS cosine FROM x JOIN x y ON y.id = -1 AND x.gram = y.gram AND x.g = y.g JOIN l ON l.id = x.id AND l.gram = x.gram JOIN l k ON k.id = -1 AND k.gram = x.gram WHERE x.id >= 0 GROUP BY x.id), "
+    f"qt AS (SELECT unnest({QUESTION}) AS t), d AS (SELECT qt.t, count(*) AS df FROM t JOIN qt ON list_contains(t.terms, qt.t) GROUP BY qt.t), st AS (SELECT avg(len(terms)) AS mean FROM t), "
+    "b AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(terms) / mean))) AS bm25 FROM t JOIN d ON list_contains(t.terms, d.t), st, n GROUP BY id), "
+    f"p AS (SELECT t.id, coalesce(bm25, 0) AS bm25, coalesce(cosine, 0) AS cosine, len(list_intersect(terms, {QUESTION})) / sqrt({len(QUESTION)}.0 * len(terms)) AS overlap, len(list_intersect(terms, {QUESTION})) / {len(QUESTION)}.0 AS exact FROM t LEFT JOIN b USING (id) LEFT JOIN c USING (id)), "
+    "r AS (SELECT id, 0.5 * (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) + 0.3 * (cosine - min(cosine) OVER ()) / (max(cosine) OVER () - min(cosine) OVER ()) + 0.1 * overlap + 0.07 * exact AS score FROM p) "
+    "SELECT id, round(score, 6) AS score FROM r WHERE score >= 0.45 * (SELECT max(score) FROM r) ORDER BY round(score, 9) DESC, id LIMIT 24"
+)
+on_log("hybrid_rank", lambda log: ranking.hybrid(log.df, " ".join(QUESTION), "pos", "message", fields=list(log.fields)).select("id", F.round("score", 6).alias("score")), HYBRID)
 on_log("chunks", lambda log: retrieval.chunks(log.df, None), "SELECT pos, 't' || (us // 60000000) AS chunk FROM log")
 
 # Questions and claims
@@ -231,3 +246,14 @@ _add("gap_login", _gap("login"), _gap_sql("action = 'successful_login'", "true",
 _add("gap_source", _gap("source"), GAP_SOURCE)
 _add("gap_process", _gap("process"), _gap_sql(f"({LOGIN_ROWS} OR process_name = 'sudo')", "process_name OR source_ip OR " + " OR ".join(gaps.STRONG), gaps.FILLS, True))
 _add("gap_representatives", lambda spark, d: gaps.representatives(log := audit_log(spark, d), gaps.search(log, log.df.where(SEEDS).select("pos"), "source"), ["source_ip", "username", "action"]), f"SELECT pos, score, micros, n AS n_alike FROM (SELECT f.*, count(*) OVER w AS n, row_number() OVER (w ORDER BY score DESC, micros, f.pos) AS r FROM ({GAP_SOURCE}) f JOIN (WITH {EVENTS_LOG} SELECT pos, source_ip, username, action FROM log) l ON l.pos = f.pos WINDOW w AS (PARTITION BY source_ip, username, action)) WHERE r = 1 ORDER BY score DESC, micros, pos LIMIT {gaps.MOST}")
+
+# Pages, budgets, chains and dashboards
+on_log("finalized_page", lambda log: finalize(ERRORS | {"limit": 50}, log).select("pos", "count", "returned_count", "truncated", "exhaustive"), "e AS (SELECT pos, count(*) OVER () AS n FROM log WHERE event_type = 'error') SELECT pos, n AS count, least(n, 50) AS returned_count, n > 50 AS truncated, n <= 50 AS exhaustive FROM e ORDER BY pos LIMIT 50")
+on_log("context_budget", lambda log: retrieval.within_budget(log.df.select("pos", "value", "message"), F.col("message"), 20_000, [F.desc("value"), F.col("pos")], 4_000).select("pos", "tokens", "before", "part"), "t AS (SELECT pos, CAST(ceil(length(message) / 4) AS BIGINT) AS tokens, value FROM log), s AS (SELECT pos, tokens, CAST(sum(tokens) OVER (ORDER BY value DESC, pos) - tokens AS BIGINT) AS before FROM t) SELECT *, before // 4000 AS part FROM s WHERE before + tokens <= 20000")
+on_log("investigation_chain", lambda log: chains.chain(log, log.df.where(SEEDS)), f"s AS (SELECT *, row_number() OVER (ORDER BY us, pos) AS step FROM log WHERE {SEEDS}), n AS (SELECT s.*, lead(us) OVER w AS us2, lead(source_ip) OVER w AS i2, lead(username) OVER w AS u2, lead(process_name) OVER w AS p2 FROM s WINDOW w AS (ORDER BY step)) SELECT step, pos, concat_ws('; ', 'event_type=' || event_type, 'source_ip=' || source_ip, 'username=' || username, CASE WHEN process_name <> '' THEN 'process_name=' || process_name END, 'action=' || action) AS context, concat_ws(',', CASE WHEN source_ip = i2 THEN 'source_ip' END, CASE WHEN username = u2 THEN 'username' END, CASE WHEN process_name <> '' AND process_name = p2 THEN 'process_name' END, CASE WHEN us2 - us <= 300000000 THEN 'temporal' END) AS links FROM n")
+GRAPH = f"s AS (SELECT * FROM log WHERE {SEEDS}), e0 AS (SELECT 'event:' || pos AS source, 'user:' || username AS target FROM s UNION ALL SELECT 'event:' || pos, 'ip:' || source_ip FROM s UNION ALL SELECT * FROM (SELECT 'event:' || pos, 'event:' || lead(pos) OVER (PARTITION BY username ORDER BY ts, pos) AS t FROM s) WHERE t IS NOT NULL), e AS (SELECT source, target FROM e0 UNION SELECT target, source FROM e0), r AS (SELECT 'event:' || min(pos) AS node, 0 AS depth FROM s UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.node WHERE r.depth < 4), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)"
+_add("graph_reach", lambda spark, d: chains.reach(cases.graph(log := events_log(spark, d), log.df.where(SEEDS))[1], log.df.where(SEEDS).agg(F.concat(F.lit("event:"), F.min("pos").cast("string")).alias("node")), 4), f"WITH RECURSIVE {EVENTS_LOG}, {GRAPH} SELECT d.node, CAST(d.depth AS INTEGER) AS depth, (SELECT min(p.node) FROM d p JOIN e ON e.source = p.node WHERE e.target = d.node AND p.depth = d.depth - 1) AS parent FROM d")
+for _kind in dashboards.FACETS:
+    _facets = [f for f in dashboards.FACETS[_kind] if f in ("hour", "event_type", "username", "source_ip", "destination_ip", "action", "severity", "process_name", "command")]
+    _rows = " UNION ALL ".join([f"SELECT '{f}' AS facet, {'strftime(ts, $$%H$$)' if f == 'hour' else f'lower(trim({f}))'} AS value, * EXCLUDE (value) FROM log" for f in _facets] + ["SELECT 'all', NULL, * EXCLUDE (value) FROM log"])
+    on_log(f"dashboard_{_kind}", lambda log, kind=_kind: dashboards.dashboard(log, kind), f"x AS ({_rows}), g AS (SELECT facet, value, count(*) AS n_rows, count(*) FILTER (WHERE action LIKE '%fail%') AS n_failed, count(*) FILTER (WHERE severity IN ('high', 'critical')) AS n_severe, min(pos) AS first, max(pos) AS last FROM x WHERE facet = 'all' OR value <> '' GROUP BY facet, value) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n_rows DESC, value) <= 10")
