@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import pytest
 import regex
 
 from tidelog.llm import decontamination, exact_spans, url_filter
@@ -209,3 +210,21 @@ def test_common_windows_are_looked_for_only_where_needed(spark):
     docs = [(100, common + " of this text"), (101, bench[7][1]), (102, "before it " + bench[29][1] + " behind it")]
     got = {r.doc_id: r["items"] for r in decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert got == {100: [], 101: [7], 102: [29]} and got == leaks(docs, bench)
+
+
+@pytest.mark.parametrize("reworded", [False, True])
+def test_needles_lose_no_document(spark, monkeypatch, reworded):
+    """The same pairs as from windows alone, with items of few words of letters, capitals, signs inside of words and other scripts."""
+    rng = random.Random(9)
+    words = ["the", "Tom's", "co-op", "12", "3.5", "km", "Anna", "apples", "x9", "straße", "ΑΣ", "İz", "wie", "viele", "—", "don't", "dont", "Äpfel", "hat", "5kg"]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(3, 30)))) for k in range(40)] + [(100, "7 x1 8 y2 9 z3 10 q4 11 r5"), (101, "1 2 3 4 5 6 7"), (102, None)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for k in range(60)]
+    for k, (_, text) in enumerate(items[:41]):
+        parts = (text or "").split()
+        changed = " ".join(str(rng.randrange(90)) if w.isdigit() else w for w in parts)
+        docs += [(1000 + k, f"Hello. {text}, yes"), (2000 + k, f"A b {changed.upper()} c"), (3000 + k, " ".join(parts[: len(parts) * 2 // 3])), (None, f"{changed} \x01\x04 end")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda: sorted((str(r.id), r.tag, r.item, r.share) for r in decontamination.contaminated(*frames, reworded=reworded).collect())
+    got, known = pairs(), decontamination.needed
+    monkeypatch.setattr(decontamination, "needed", lambda items, share: known(items, share).limit(0))
+    assert got == pairs() and len(got) > 40
