@@ -46,14 +46,46 @@ def understand(text: str) -> Question:
     return out
 
 
+def anchored(text: str) -> tuple[str, str | None]:
+    """A question without what follows "after the" (or "after his", ...), and that."""
+    found = re.search(r"\bafter (?:the |those |these |his |her |their |its |all )?((?!\d)[^?.!]+)[?.!]*\s*$", text, re.I)
+    return (text[: found.start()], found[1].strip()) if found else (text, None)
+
+
+def named_action(phrase: str, frame: LogFrame) -> str | None:
+    """The action whose words begin as most of the phrase's do (four letters, three of short words), ties by name; None if none does. Only distinct actions are looked at."""
+    asked = sorted(set(re.findall("[a-z]+", phrase.lower())))
+    same = lambda v, w: (F.least(F.length(v), F.lit(min(4, len(w)))) >= 3) & (F.substring(v, 1, min(4, len(w))) == F.substring(F.lit(w), F.lit(1), F.least(F.length(v), F.lit(4))))
+    begins = lambda v: sum((same(v, w).cast("int") for w in asked), F.lit(0))
+    actions = frame.df.select(frame.value("action").alias("action")).where("action <> ''").distinct()
+    words = F.regexp_extract_all("action", F.lit("[a-z]+"), F.lit(0))
+    scored = actions.withColumn("score", F.aggregate(F.transform(words, begins), F.lit(0), lambda a, b: a + b)).where("score > 0")
+    best = scored.orderBy(F.desc("score"), "action").first()
+    return best and best.action
+
+
+def after(frame: LogFrame, phrase: str, conditions: list[dict]) -> LogFrame:
+    """The rows behind the last one that the phrase names, in time and then in place. The question's other conditions hold for that row too, but not those on action and event type.
+    Rows without a time are left out; a phrase that names nothing leaves no rows."""
+    action = named_action(phrase, frame)
+    others = [c for c in conditions if c.get("field") not in ("action", "event_type")]
+    wanted = others + ([{"operation": "EXACT", "field": "action", "value": action}] if action else [])
+    place = F.struct(F.unix_micros("ts").alias("us"), F.col("pos"))
+    if not wanted:
+        return frame.on(frame.df.limit(0))
+    last = frame.df.where(predicate({"operation": "AND", "conditions": wanted}, frame) & F.col("ts").isNotNull()).agg(F.max(place)).scalar()
+    return frame.on(frame.df.where(F.col("ts").isNotNull() & (place > last)))
+
+
 def answer(text: str, frame: LogFrame, limit: int = 50) -> DataFrame:
-    """count, or value and count (top), or first and last, or the rows' pos in order of time (list, timeline: the first ``limit``)."""
+    """count, or value and count (top), or first and last, or the rows' pos in order of time (list, timeline: the first ``limit``). "... after the failures" asks for rows behind the last of these."""
+    text, phrase = anchored(text)
     question = understand(text)
     condition = predicate({"operation": "AND", "conditions": question.conditions}, frame)
-    rows = frame
+    rows = frame if phrase is None else after(frame, phrase, question.conditions)
     if question.last_seconds is not None:
         end = frame.df.agg(F.max(F.unix_micros("ts"))).scalar()
-        rows = frame.on(frame.df.where(F.unix_micros("ts") >= end - question.last_seconds * 1_000_000))
+        rows = rows.on(rows.df.where(F.unix_micros("ts") >= end - question.last_seconds * 1_000_000))
     if question.intent == "count":
         return rows.df.agg(F.count_if(condition).alias("count"))
     if question.intent == "top":

@@ -257,3 +257,5 @@ for _kind in dashboards.FACETS:
     _facets = [f for f in dashboards.FACETS[_kind] if f in ("hour", "event_type", "username", "source_ip", "destination_ip", "action", "severity", "process_name", "command")]
     _rows = " UNION ALL ".join([f"SELECT '{f}' AS facet, {'strftime(ts, $$%H$$)' if f == 'hour' else f'lower(trim({f}))'} AS value, * EXCLUDE (value) FROM log" for f in _facets] + ["SELECT 'all', NULL, * EXCLUDE (value) FROM log"])
     on_log(f"dashboard_{_kind}", lambda log, kind=_kind: dashboards.dashboard(log, kind), f"x AS ({_rows}), g AS (SELECT facet, value, count(*) AS n_rows, count(*) FILTER (WHERE action LIKE '%fail%') AS n_failed, count(*) FILTER (WHERE severity IN ('high', 'critical')) AS n_severe, min(pos) AS first, max(pos) AS last FROM x WHERE facet = 'all' OR value <> '' GROUP BY facet, value) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n_rows DESC, value) <= 10")
+
+on_log("qa_count_after", lambda log: answer("How many successful logins of user 42 were there after the failures?", log), "f AS (SELECT us, pos FROM log WHERE username = '42' AND action = 'failed_login' ORDER BY us DESC, pos DESC LIMIT 1) SELECT count(*) AS count FROM log l, f WHERE username = '42' AND action = 'successful_login' AND (l.us, l.pos) > (f.us, f.pos)")
