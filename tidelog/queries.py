@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.iocs import NOT_DOMAINS, STARTERS
 from .logframe import AUDIT_LOG, EVENTS_LOG, LogFrame, audit_log, events_log
-from .operators import aggregates, cases, chains, claims, correlation, dashboards, detections, gaps, grounding, identity, incident, indicators, ranking, retrieval, search, sequences
+from .operators import adaptive, aggregates, cases, chains, claims, correlation, dashboards, detections, gaps, grounding, identity, incident, indicators, ranking, retrieval, search, sequences
 from .plans import finalize, run
 from .plans.questions import answer, extract_values, suggest, verified_zero
 from .sources import merge_audit, parse_syslog
@@ -273,6 +273,12 @@ _add("gap_representatives", lambda spark, d: gaps.representatives(log := audit_l
 
 # Pages, budgets, chains and dashboards
 on_log("finalized_page", lambda log: finalize(ERRORS | {"limit": 50}, log).select("pos", "count", "returned_count", "truncated", "exhaustive"), "e AS (SELECT pos, count(*) OVER () AS n FROM log WHERE event_type = 'error') SELECT pos, n AS count, least(n, 50) AS returned_count, n > 50 AS truncated, n <= 50 AS exhaustive FROM e ORDER BY pos LIMIT 50")
+on_log("adaptive_context", lambda log: adaptive.retrieve(log, "view by user 42 from", 200), """t AS (SELECT *, concat_ws(' ', 'event_type=' || event_type, 'username=' || username, 'source_ip=' || source_ip, 'destination_ip=' || destination_ip, 'action=' || action, 'severity=' || severity, 'code=' || code,
+    'process_name=' || nullif(process_name, ''), 'command=' || nullif(command, ''), 'message=' || message) AS t FROM log),
+    s AS (SELECT *, CAST(40 * contains(t, 'view by user 42 from')::INT + 11 * contains(t, 'view')::INT + 11 * contains(t, 'user')::INT + 4 * contains(t, '42')::INT + 9 AS DOUBLE) AS score FROM t),
+    n AS (SELECT * FROM s WHERE score >= greatest(8, 0.81 * (SELECT max(score) FROM s)) ORDER BY score DESC, pos LIMIT 200), k AS (SELECT count(*) AS k FROM n), a AS (SELECT * FROM n ORDER BY score DESC, pos LIMIT 8),
+    r AS (SELECT pos, greatest(1, score * 0.45) AS score, row_number() OVER (ORDER BY pos) AS i FROM s WHERE pos NOT IN (SELECT pos FROM n) AND (source_ip IN (SELECT source_ip FROM a) OR destination_ip IN (SELECT destination_ip FROM a) OR username IN (SELECT username FROM a) OR process_name IN (SELECT process_name FROM a WHERE process_name <> '')))
+    SELECT pos, score, 0 AS hop FROM n UNION ALL SELECT pos, score, 1 FROM r, k WHERE k > 1 AND i <= 200 - k""")
 on_log("context_budget", lambda log: retrieval.within_budget(log.df.select("pos", "value", "message"), F.col("message"), 20_000, [F.desc("value"), F.col("pos")], 4_000).select("pos", "tokens", "before", "part"), "t AS (SELECT pos, CAST(ceil(length(message) / 4) AS BIGINT) AS tokens, value FROM log), s AS (SELECT pos, tokens, CAST(sum(tokens) OVER (ORDER BY value DESC, pos) - tokens AS BIGINT) AS before FROM t) SELECT *, before // 4000 AS part FROM s WHERE before + tokens <= 20000")
 on_log("investigation_chain", lambda log: chains.chain(log, log.df.where(SEEDS)), f"s AS (SELECT *, row_number() OVER (ORDER BY us, pos) AS step FROM log WHERE {SEEDS}), n AS (SELECT s.*, lead(us) OVER w AS us2, lead(source_ip) OVER w AS i2, lead(username) OVER w AS u2, lead(process_name) OVER w AS p2 FROM s WINDOW w AS (ORDER BY step)) SELECT step, pos, concat_ws('; ', 'event_type=' || event_type, 'source_ip=' || source_ip, 'username=' || username, CASE WHEN process_name <> '' THEN 'process_name=' || process_name END, 'action=' || action) AS context, concat_ws(',', CASE WHEN source_ip = i2 THEN 'source_ip' END, CASE WHEN username = u2 THEN 'username' END, CASE WHEN process_name <> '' AND process_name = p2 THEN 'process_name' END, CASE WHEN us2 - us <= 300000000 THEN 'temporal' END) AS links FROM n")
 GRAPH = f"s AS (SELECT * FROM log WHERE {SEEDS}), e0 AS (SELECT 'event:' || pos AS source, 'user:' || username AS target FROM s UNION ALL SELECT 'event:' || pos, 'ip:' || source_ip FROM s UNION ALL SELECT * FROM (SELECT 'event:' || pos, 'event:' || lead(pos) OVER (PARTITION BY username ORDER BY ts, pos) AS t FROM s) WHERE t IS NOT NULL), e AS (SELECT source, target FROM e0 UNION SELECT target, source FROM e0), r AS (SELECT 'event:' || min(pos) AS node, 0 AS depth FROM s UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.node WHERE r.depth < 4), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)"
