@@ -77,10 +77,16 @@ def after(frame: LogFrame, phrase: str, conditions: list[dict]) -> LogFrame:
     return frame.on(frame.df.where(F.col("ts").isNotNull() & (place > last)))
 
 
-def answer(text: str, frame: LogFrame, limit: int = 50) -> DataFrame:
-    """count, or value and count (top), or first and last, or the rows' pos in order of time (list, timeline: the first ``limit``). "... after the failures" asks for rows behind the last of these."""
+def answer(text: str, frame: LogFrame, limit: int = 50, earlier: list[str] | None = None) -> DataFrame:
+    """Of a question for proof or causes what the log shows on it (``conclusions.observations``); else count, or value and count (top), or first and last, or the rows' pos in order of time (list, timeline: the first ``limit``). "... after the failures" asks for rows behind the last of these.
+    "This user" and the like stand for what ``earlier`` questions named."""
+    from . import conclusions
+
+    if conclusions.kind(text):
+        return conclusions.observations(text, frame, earlier)
     text, phrase = anchored(text)
     question = understand(text)
+    question.conditions = conclusions.with_earlier(text, earlier or [])
     condition = predicate({"operation": "AND", "conditions": question.conditions}, frame)
     rows = frame if phrase is None else after(frame, phrase, question.conditions)
     if question.last_seconds is not None:

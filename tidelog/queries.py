@@ -279,6 +279,14 @@ on_log("adaptive_context", lambda log: adaptive.retrieve(log, "view by user 42 f
     n AS (SELECT * FROM s WHERE score >= greatest(8, 0.81 * (SELECT max(score) FROM s)) ORDER BY score DESC, pos LIMIT 200), k AS (SELECT count(*) AS k FROM n), a AS (SELECT * FROM n ORDER BY score DESC, pos LIMIT 8),
     r AS (SELECT pos, greatest(1, score * 0.45) AS score, row_number() OVER (ORDER BY pos) AS i FROM s WHERE pos NOT IN (SELECT pos FROM n) AND (source_ip IN (SELECT source_ip FROM a) OR destination_ip IN (SELECT destination_ip FROM a) OR username IN (SELECT username FROM a) OR process_name IN (SELECT process_name FROM a WHERE process_name <> '')))
     SELECT pos, score, 0 AS hop FROM n UNION ALL SELECT pos, score, 1 FROM r, k WHERE k > 1 AND i <= 200 - k""")
+on_log("qa_cause", lambda log: answer("Did the failed logins from 10.0.2.1 cause the clicks?", log), """f AS (SELECT * FROM log WHERE action = 'failed_login' AND source_ip = '10.0.2.1'), g AS (SELECT * FROM log WHERE action = 'click'),
+    a AS (SELECT 'username' AS field, username AS value FROM f UNION ALL SELECT 'source_ip', source_ip FROM f UNION ALL SELECT 'process_name', process_name FROM f WHERE process_name <> ''),
+    b AS (SELECT 'username' AS field, username AS value FROM g UNION ALL SELECT 'source_ip', source_ip FROM g UNION ALL SELECT 'process_name', process_name FROM g WHERE process_name <> ''),
+    c AS (SELECT field, value, x.n + y.n AS n, row_number() OVER (PARTITION BY field ORDER BY value) AS r FROM (SELECT field, value, count(*) AS n FROM a GROUP BY ALL) x JOIN (SELECT field, value, count(*) AS n FROM b GROUP BY ALL) y USING (field, value))
+    SELECT 'first' AS part, 'action' AS field, 'failed_login' AS value, count(*) AS n FROM f UNION ALL SELECT 'second', 'action', 'click', count(*) FROM g UNION ALL SELECT 'shared', field, value, n FROM c WHERE r <= 3""")
+on_log("qa_proof", lambda log: answer("Do the logs prove that user 42 was compromised?", log, earlier=["How many events came from 10.0.2.1?"]), """o AS (SELECT action, count(*) AS n FROM log WHERE username = '42' GROUP BY action ORDER BY n DESC, action LIMIT 6)
+    SELECT 'matching' AS part, '' AS field, '' AS value, count(*) FILTER (WHERE username = '42') AS n FROM log UNION ALL SELECT 'earlier', 'source_ip', '10.0.2.1', count(*) FILTER (WHERE source_ip = '10.0.2.1') FROM log UNION ALL SELECT 'outcome', 'action', action, n FROM o""")
+on_log("qa_earlier", lambda log: answer("How many failures has this user?", log, earlier=["Show user 7", "How many events has user 42?"]), "SELECT count(*) FILTER (WHERE username = '42' AND action = 'failed_login') AS count FROM log")
 on_log("context_budget", lambda log: retrieval.within_budget(log.df.select("pos", "value", "message"), F.col("message"), 20_000, [F.desc("value"), F.col("pos")], 4_000).select("pos", "tokens", "before", "part"), "t AS (SELECT pos, CAST(ceil(length(message) / 4) AS BIGINT) AS tokens, value FROM log), s AS (SELECT pos, tokens, CAST(sum(tokens) OVER (ORDER BY value DESC, pos) - tokens AS BIGINT) AS before FROM t) SELECT *, before // 4000 AS part FROM s WHERE before + tokens <= 20000")
 on_log("investigation_chain", lambda log: chains.chain(log, log.df.where(SEEDS)), f"s AS (SELECT *, row_number() OVER (ORDER BY us, pos) AS step FROM log WHERE {SEEDS}), n AS (SELECT s.*, lead(us) OVER w AS us2, lead(source_ip) OVER w AS i2, lead(username) OVER w AS u2, lead(process_name) OVER w AS p2 FROM s WINDOW w AS (ORDER BY step)) SELECT step, pos, concat_ws('; ', 'event_type=' || event_type, 'source_ip=' || source_ip, 'username=' || username, CASE WHEN process_name <> '' THEN 'process_name=' || process_name END, 'action=' || action) AS context, concat_ws(',', CASE WHEN source_ip = i2 THEN 'source_ip' END, CASE WHEN username = u2 THEN 'username' END, CASE WHEN process_name <> '' AND process_name = p2 THEN 'process_name' END, CASE WHEN us2 - us <= 300000000 THEN 'temporal' END) AS links FROM n")
 GRAPH = f"s AS (SELECT * FROM log WHERE {SEEDS}), e0 AS (SELECT 'event:' || pos AS source, 'user:' || username AS target FROM s UNION ALL SELECT 'event:' || pos, 'ip:' || source_ip FROM s UNION ALL SELECT * FROM (SELECT 'event:' || pos, 'event:' || lead(pos) OVER (PARTITION BY username ORDER BY ts, pos) AS t FROM s) WHERE t IS NOT NULL), e AS (SELECT source, target FROM e0 UNION SELECT target, source FROM e0), r AS (SELECT 'event:' || min(pos) AS node, 0 AS depth FROM s UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.node WHERE r.depth < 4), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)"
