@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.iocs import NOT_DOMAINS, STARTERS
 from .logframe import AUDIT_LOG, EVENTS_LOG, LogFrame, audit_log, events_log
-from .operators import adaptive, aggregates, cases, chains, claims, correlation, dashboards, detections, gaps, grounding, identity, incident, indicators, ranking, retrieval, search, sequences
+from .operators import adaptive, aggregates, cases, chains, claims, correlation, dashboards, detections, escalation, gaps, grounding, identity, incident, indicators, ranking, retrieval, search, sequences
 from .plans import finalize, run
 from .plans.questions import answer, extract_values, suggest, verified_zero
 from .sources import merge_audit, parse_syslog
@@ -239,6 +239,22 @@ def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("attacker_identities", lambda spark, d: identity.learn(log := audit_log(spark, d), identity.main_actor(log)), f"{LEARNT} SELECT identity FROM identities")
 _add("attacker_scope", _scope, f"{LEARNT}, r AS (SELECT pos, CASE WHEN auid IN (SELECT identity FROM identities) THEN 'auid' END AS a, CASE WHEN euid IN (SELECT identity FROM identities) THEN 'euid' END AS e, CASE WHEN source_ip IN (SELECT source_ip FROM actor) THEN 'source_ip' END AS s, CASE WHEN uid IN (SELECT identity FROM identities) THEN 'uid' END AS u, CASE WHEN username IN (SELECT username FROM actor) THEN 'username' END AS n FROM audit) SELECT pos, concat_ws(',', a, e, s, u, n) AS reasons FROM r WHERE coalesce(a, e, s, u, n) IS NOT NULL")
 
+
+
+def _story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the main actor did. In this log views run as root and commands that fetch stand for attempts."""
+    log = audit_log(spark, sf_dir)
+    return escalation.story(log.on(log.df.join(_scope(spark, sf_dir).select("pos"), "pos", "left_semi")), ("curl",), ("/etc",), "euid")
+
+
+_add("actor_story", _story, f"""{LEARNT}, v AS (SELECT * FROM audit WHERE username IN (SELECT username FROM actor) OR source_ip IN (SELECT source_ip FROM actor) OR uid IN (SELECT identity FROM identities) OR euid IN (SELECT identity FROM identities) OR auid IN (SELECT identity FROM identities)),
+    a AS (SELECT command, min(pos) AS pos, count(*) AS n FROM v WHERE command LIKE 'curl %' GROUP BY command),
+    r AS (SELECT command, pid, min(pos) AS pos, count(*) AS n FROM v WHERE command <> '' AND euid = '0' AND auid <> '4294967295' GROUP BY command, pid)
+    SELECT 'attempt' AS part, 'curl' AS what, command AS detail, pos, n FROM a UNION ALL SELECT 'root', command, pid, pos, n FROM r
+    UNION ALL (SELECT 'root shell', command, '', pos, 1 FROM r WHERE pos > (SELECT min(pos) FROM a) ORDER BY pos LIMIT 1)
+    UNION ALL SELECT 'download', 'x', split_part(command, ' ', 4), min(pos), count(*) FROM v WHERE command LIKE 'curl %' GROUP BY ALL
+    UNION ALL SELECT 'root read', split_part(command, ' ', 2), command, min(pos), count(*) FROM v WHERE command LIKE 'cat %' GROUP BY ALL""")
+
 # Gaps beside the evidence of great errors
 GAP_FIELDS = ["username", "source_ip", "process_name", "pid", "ppid", "auid", "uid", "audit_serial", "audit_session"]
 
