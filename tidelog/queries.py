@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.iocs import NOT_DOMAINS, STARTERS
 from .logframe import AUDIT_LOG, EVENTS_LOG, LogFrame, audit_log, events_log
-from .operators import adaptive, aggregates, cases, chains, claims, correlation, dashboards, detections, escalation, gaps, grounding, identity, incident, indicators, ranking, retrieval, search, sequences
+from .operators import adaptive, aggregates, casebook, cases, chains, claims, correlation, dashboards, detections, escalation, gaps, grounding, identity, incident, indicators, ranking, retrieval, search, sequences
 from .plans import finalize, run
 from .plans.questions import answer, extract_values, suggest, verified_zero
 from .sources import merge_audit, parse_syslog
@@ -225,6 +225,15 @@ on_log("qa_values", lambda log: extract_values("List the destinations of critica
 on_log("qa_verified_zero", lambda log: verified_zero("How many critical failed logins of user 9999 were there?", log), "SELECT 'action' AS field, 'failed_login' AS value, count(*) FILTER (WHERE event_type = 'error') AS n_rows FROM log UNION ALL SELECT 'severity', 'critical', count(*) FILTER (WHERE severity = 'critical') FROM log UNION ALL SELECT 'username', '9999', count(*) FILTER (WHERE username = '9999') FROM log")
 on_log("qa_suggestions", suggest, "c AS (SELECT 'How many failed logins of user ' || username || ' were there?' AS question, username AS v, 'u' AS f, count(*) AS n FROM log GROUP BY username UNION ALL SELECT 'Show the timeline of ' || source_ip, source_ip, 'i', count(*) FROM log GROUP BY source_ip UNION ALL SELECT 'Which users have the most events of ' || action || '?', action, 'a', count(*) FROM log GROUP BY action) SELECT question FROM c QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, v) <= 3")
 
+# Cases of all users: what their evidence amounts to
+_book = lambda log: log.df.select(F.col("username").alias("case_id"), F.col("pos").alias("evidence_id"), "action", "event_type", "message", "command", "source_ip", "username", "process_name")
+BOOK = """m AS (SELECT username AS case_id, pos, action = 'failed_login' AS failed, action IN ('failed_login', 'successful_login') AS login, command <> '' AS ran, source_ip, process_name FROM log),
+    s AS (SELECT case_id, CAST(count(*) > 1 AS BIGINT) * 2 + CAST(count(*) FILTER (WHERE process_name = 'curl') > 1 AS BIGINT) + CAST(count(*) FILTER (WHERE process_name = 'sudo') > 1 AS BIGINT) AS n_shared FROM m GROUP BY case_id),
+    b AS (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE failed) AS n_failed, count(*) FILTER (WHERE login) AS n_logins, count(*) FILTER (WHERE ran) AS n_runs, any_value(n_shared) AS n_shared FROM m JOIN s USING (case_id) GROUP BY case_id)"""
+on_log("case_assessment", lambda log: casebook.assess(_book(log)), f"{BOOK} SELECT *, n_failed AS attempts, CAST(1 AS BIGINT) AS n_users, CAST(1 AS BIGINT) AS n_ips, CASE WHEN n_failed > 1 THEN 'Repeated authentication failures.' WHEN n_failed = 1 THEN 'An authentication failure.' WHEN n_logins > 0 AND n_runs > 0 THEN 'Authentication and commands in one case.' WHEN n_runs > 0 THEN 'Commands.' ELSE 'Activity for review.' END AS summary FROM b")
+on_log("case_findings", lambda log: casebook.findings(_book(log)), f"{BOOK}, f AS (SELECT case_id, 1 AS k, 'OBSERVED' AS classification, n_failed AS n_evidence FROM b WHERE n_failed > 0 UNION ALL SELECT case_id, 2, 'CORRELATION', n_shared FROM b WHERE n_shared > 0 UNION ALL SELECT case_id, 3, 'LIMITATION', n FROM b) SELECT case_id, printf('F-%03d', row_number() OVER (PARTITION BY case_id ORDER BY k)) AS finding, classification, CASE classification WHEN 'CORRELATION' THEN 'MEDIUM' ELSE 'HIGH' END AS confidence, n_evidence FROM f")
+on_log("case_support", lambda log: casebook.support(_book(log)), f"{BOOK} SELECT case_id, 'OBSERVED' AS classification, pos AS evidence_id FROM m WHERE failed UNION ALL SELECT case_id, 'LIMITATION', pos FROM m UNION ALL SELECT m.case_id, 'CORRELATION', pos FROM m JOIN s USING (case_id) WHERE n_shared > 0")
+
 # Audit identities
 ACTOR = "fails AS (SELECT username, source_ip, count(*) AS n FROM log WHERE action = 'failed_login' GROUP BY 1, 2 HAVING count(*) >= 3), actor AS (SELECT username, source_ip FROM fails ORDER BY n DESC, username, source_ip LIMIT 1)"
 LEARNT = f"WITH RECURSIVE {EVENTS_LOG}, {AUDIT_LOG}, {ACTOR}, facts AS (SELECT DISTINCT username, source_ip, uid, euid, auid FROM audit), ids AS (SELECT unnest([f.uid, f.auid]) AS identity FROM facts f, actor a WHERE f.username = a.username OR f.source_ip = a.source_ip UNION SELECT unnest([f.uid, f.auid]) FROM facts f JOIN ids i ON i.identity IN (f.uid, f.euid, f.auid) AND i.identity NOT IN ('0', '-1', '4294967295')), identities AS (SELECT identity FROM ids WHERE identity NOT IN ('0', '-1', '4294967295'))"
