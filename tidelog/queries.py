@@ -225,9 +225,9 @@ on_log("qa_values", lambda log: extract_values("List the destinations of critica
 on_log("qa_verified_zero", lambda log: verified_zero("How many critical failed logins of user 9999 were there?", log), "SELECT 'action' AS field, 'failed_login' AS value, count(*) FILTER (WHERE event_type = 'error') AS n_rows FROM log UNION ALL SELECT 'severity', 'critical', count(*) FILTER (WHERE severity = 'critical') FROM log UNION ALL SELECT 'username', '9999', count(*) FILTER (WHERE username = '9999') FROM log")
 on_log("qa_suggestions", suggest, "c AS (SELECT 'How many failed logins of user ' || username || ' were there?' AS question, username AS v, 'u' AS f, count(*) AS n FROM log GROUP BY username UNION ALL SELECT 'Show the timeline of ' || source_ip, source_ip, 'i', count(*) FROM log GROUP BY source_ip UNION ALL SELECT 'Which users have the most events of ' || action || '?', action, 'a', count(*) FROM log GROUP BY action) SELECT question FROM c QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, v) <= 3")
 
-_add("case_likeness", lambda spark, d: likeness.similar(CUSTOMER_SETS(spark, d), {"day": 1, "props": 4}, 40)[0], """WITH s AS (SELECT DISTINCT user_id AS g, 'day' AS field, CAST(CAST(ts AS DATE) AS VARCHAR) AS value, 1 AS w FROM events UNION SELECT DISTINCT user_id, 'props', props, 4 FROM events),
+_add("case_likeness", lambda spark, d: likeness.similar(CUSTOMER_SETS(spark, d), {"day": 1, "props": 4}, 150)[0], """WITH s AS (SELECT DISTINCT user_id AS g, 'day' AS field, CAST(CAST(ts AS DATE) AS VARCHAR) AS value, 1 AS w FROM events UNION SELECT DISTINCT user_id, 'props', props, 4 FROM events),
     k AS (SELECT g, string_agg(field || value, '|' ORDER BY field, value) AS k FROM s GROUP BY g), r AS (SELECT s.* FROM s WHERE g IN (SELECT min(g) FROM k GROUP BY k))
-    SELECT a.g AS a, b.g AS b, count(*) AS n_shared, CAST(sum(a.w) AS BIGINT) AS score FROM r a JOIN r b ON a.field = b.field AND a.value = b.value AND a.g < b.g GROUP BY 1, 2 HAVING sum(a.w) >= 40""")
+    SELECT a.g AS a, b.g AS b, count(*) AS n_shared, CAST(sum(a.w) AS BIGINT) AS score FROM r a JOIN r b ON a.field = b.field AND a.value = b.value AND a.g < b.g GROUP BY 1, 2 HAVING sum(a.w) >= 150""")
 # Cases of all users: what their evidence amounts to
 _book = lambda log: log.df.select(F.col("username").alias("case_id"), F.col("pos").alias("evidence_id"), "action", "event_type", "message", "command", "source_ip", "username", "process_name")
 BOOK = """m AS (SELECT username AS case_id, pos, action = 'failed_login' AS failed, action IN ('failed_login', 'successful_login') AS login, command <> '' AS ran, source_ip, process_name FROM log),
