@@ -1,9 +1,13 @@
 """What only larger tables show: frames that are gone through anew for each row, and identities beyond small numbers."""
 
+import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+import oracle
+from tidelog import queries
 from tidelog.functions import parse_time
 from tidelog.logframe import LogFrame
 from tidelog.operators import sequences
@@ -23,3 +27,32 @@ def test_no_frame_ends_behind_the_last_row(spark):
         frames = windows(out)
         assert frames and not any("unboundedfollowing" in f for f in frames)
     assert sorted((r.failed, r.success) for r in chained.collect()) == [(0, 2), (1, 2), (3, 5), (4, 5), (6, 8), (7, 8)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def shifted(spark, tmp_path_factory):
+    """The test tables with events and users as a large table numbers them: events around a million, users beyond 4096 and beyond a million."""
+    home = tmp_path_factory.mktemp("shifted")
+    for name in oracle.TABLES:
+        if name != "events":
+            os.symlink(f"{SF}/{name}.parquet", home / f"{name}.parquet")
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("event_id", F.col("event_id") + 999_500)
+    events.withColumn("user_id", F.col("user_id") + F.when(F.col("user_id") % 3 == 0, 5_000).otherwise(1_048_570)).coalesce(1).write.parquet(str(home / "e"))
+    (part,) = (home / "e").glob("*.parquet")
+    os.rename(part, home / "events.parquet")
+    return str(home)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["case_evidence", "case_lineage", "evidence_upsert", "evidence_reattach", "ioc_counts", "syslog_parse", "claims_judged"])
+def test_large_numbers(spark, shifted, name):
+    assert oracle.compare(queries.QUERIES[name](spark, shifted), oracle.connect(shifted), queries.ORACLES[name]) is None
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_evidence_ids_are_distinct_beyond_a_million(spark, shifted):
+    rows = queries.QUERIES["case_lineage"](spark, shifted).select("case_id", "place", "evidence_id").collect()
+    assert len({r.evidence_id for r in rows}) == len(rows) and any(len(r.evidence_id) == 10 for r in rows)
