@@ -24,20 +24,22 @@ LEAST_WORDS = 8
 MOST_COVERED = 0.3
 #: Documents with a repeat of more words than this are rejected.
 MOST_REPEATED = 200
+#: Bytes of text whose words make one suffix array: it takes some hundred times as much while it is sorted.
+BATCH = 1 << 19
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The suffix array, and ranks[k]: the rank of each suffix by its first 2**k tokens. The last token must be unique."""
     n = len(tokens)
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens, kind="stable").astype(np.int32)
     head = np.flatnonzero(np.diff(tokens[order], prepend=tokens[order[:1]] - 1))
     sizes = np.diff(head, append=n)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)  # one is kept of each round, so they are half as wide as the keys
     rank[order] = np.repeat(head, sizes)
     ranks, slots, step = [rank.copy()], np.flatnonzero(np.repeat(sizes > 1, sizes)), 1
     while len(slots):
         at = order[slots]
-        key = rank[at] * n + rank[at + step]
+        key = rank[at].astype(np.int64) * n + rank[at + step]
         by = np.argsort(key, kind="stable")
         at, key = at[by], key[by]
         order[slots] = at
@@ -125,7 +127,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", BATCH):
             m = measures(batch.column("text"))
             m["n_dup_lines"] = np.fromiter(map(repeated_lines, texts_of(batch, "text")), np.int64, batch.num_rows)
             failed, kept = verdicts(m)
@@ -140,7 +142,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text_col):
+        for batch in by_bytes(batches, text_col, BATCH):
             yield batch.filter(pa.array(verdicts(measures(batch.column(text_col)))[1]))
 
     return docs.mapInArrow(run, docs.schema)
