@@ -10,7 +10,7 @@ import oracle
 from tidelog import queries
 from tidelog.functions import parse_time
 from tidelog.logframe import LogFrame
-from tidelog.operators import sequences
+from tidelog.operators import correlation, sequences
 from tidelog.operators.running import neighbours
 
 
@@ -56,3 +56,10 @@ def test_large_numbers(spark, shifted, name):
 def test_evidence_ids_are_distinct_beyond_a_million(spark, shifted):
     rows = queries.QUERIES["case_lineage"](spark, shifted).select("case_id", "place", "evidence_id").collect()
     assert len({r.evidence_id for r in rows}) == len(rows) and any(len(r.evidence_id) == 10 for r in rows)
+
+
+def test_equal_groups_meet_the_least_of_them_only(spark):
+    held = {1: "xy", 2: "xy", 3: "xy", 4: "y", 5: "z", 6: "xyy", 7: "z"}
+    rows = [(g, "f", v) for g, vs in held.items() for v in vs]
+    got = correlation.set_overlap(spark.createDataFrame(rows, "group long, field string, value string"), {"f": 2}).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 2, 4), (1, 3, 2, 4), (1, 4, 1, 2), (1, 6, 2, 4), (5, 7, 1, 2)]
