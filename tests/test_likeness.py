@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tidelog.operators import likeness
 from tidelog.operators.likeness import similar
 
 WEIGHTS = {"user": 4, "ip": 2, "day": 1}
@@ -38,6 +39,26 @@ def test_pairs_equal_brute_force(spark, least):
     assert {m.group: m["class"] for m in members.collect()} == want_members
 
 
+@pytest.mark.parametrize("least", [1, 5, 9])
+def test_blocks_and_rare_values_equal_brute_force(spark, monkeypatch, least):
+    for name, size in (("COMMON", 6), ("COLUMNS", 9), ("BLOCK", 8), ("TASKS", 5)):
+        monkeypatch.setattr(likeness, name, size)
+    r = random.Random(8)
+    rows = [(g, f, str(r.randrange(n))) for g in range(60) for f, n in (("user", 40), ("ip", 12), ("day", 3)) for _ in range(r.randrange(5))]
+    pairs, _ = similar(spark.createDataFrame(rows, "group int, field string, value string"), WEIGHTS, least)
+    got = [tuple(p) for p in pairs.collect()]
+    assert len(got) == len({p[:2] for p in got}) and {p[:2]: p[2:] for p in got} == brute(rows, least)[0]
+
+
+def test_common_values_list_no_joined_pairs(spark):
+    """Groups that differ but share common values are compared in blocks: nothing is joined on a value that most of them have."""
+    r = random.Random(9)
+    rows = [(g, "day", str(v)) for g in range(400) for v in r.sample(range(20), 12)]
+    pairs, _ = similar(spark.createDataFrame(rows, "group int, field string, value string"), WEIGHTS, 9)
+    assert "FlatMapCoGroupsInArrow" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(p.a, p.b): (p.n_shared, p.score) for p in pairs.collect()} == brute(rows, 9)[0]
+
+
 def test_empty_and_wrong(spark):
     empty = spark.createDataFrame([], "group int, field string, value string")
     assert [df.count() for df in similar(empty, WEIGHTS, 3)] == [0, 0]
