@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
@@ -132,3 +133,16 @@ def test_sequences_of_marks_are_composed_as_by_the_library():
     some = texts[::50]
     got = [ids for _, ids, _ in bpe.WordBpe(config("word_bpe_49k.json")).encode(some)]
     assert got == [" ".join(map(str, e.ids)) for e in lib.encode_batch(some, add_special_tokens=False)]
+
+
+def test_what_a_worker_remembers_is_small():
+    encoder = bpe.WordBpe(config("word_bpe_49k.json"))
+    words = [f"{a}{b}ing" for a in ("walk", "talk", "read", "sort", "join", "scan") for b in range(10_000)]
+    tracemalloc.start()
+    try:
+        want = [n for n, _, _ in encoder.encode(words)]
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert [len(encoder.memo[w]) for w in words] == want
+    assert kept < 240 * len(words) and most < 660 * len(words)

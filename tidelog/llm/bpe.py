@@ -14,7 +14,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from operator import itemgetter
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from .common import by_bytes, texts_of
 from .letters import NEWER, SMALL, WHITE, bracket, letters_and_numbers
 
-#: Words whose tokens a worker remembers in each of two generations.
+#: Words whose ids a worker remembers in each of two generations.
 MEMO = 150_000
+#: Bytes of text that are encoded together, and words that are merged together: lists of all their symbols take a hundred times as much for a while.
+BATCH, WORDS = 1 << 20, 1 << 14
 _GAP = 0xFFFFF
-_COUNT, _IDS, _TOKENS = map(itemgetter, range(3))
 
 
 def byte_letters() -> list[str]:
@@ -143,7 +144,8 @@ class WordBpe:
         vocab, self.suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.merges = Merges(vocab, spec["model"]["merges"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in [*vocab.items(), *self.added.items()]}
+        names = {i: t for t, i in [*vocab.items(), *self.added.items()]}
+        self.token, self.digits = ([f(i) for i in range(max(names) + 1)] for f in (names.get, str))
         of_byte = byte_letters()
         self.inner, self.last = [vocab[c] for c in of_byte], [vocab[c + self.suffix] for c in of_byte]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -153,19 +155,21 @@ class WordBpe:
         self.capitals = re.compile(f"[{bracket(SMALL)}]")
         self.stretches = re.compile(f"[^{white}]+")
         self.special = re.compile("|".join(map(re.escape, self.added)))
-        self.memo, self.of_word = Memo(), Memo()  # count, ids and tokens of a stretch and of a word
+        self.memo, self.of_word = Memo(), Memo()  # ids of a stretch and of a word: tuples of the vocabulary's own integers, nearly all of one or two
+        self.alone = {i: (i,) for i in sorted({*self.inner, *self.last, *self.merges.made})}
 
     def merge(self, words: Iterable[str]) -> None:
         """Encodes words that were not met of late, all together."""
-        new, inner, last = list(words), self.inner, self.last
-        symbols = []
-        for word in new:
-            raw = word.encode()
-            ids = [inner[b] for b in raw]
-            ids[-1] = last[raw[-1]]
-            symbols.append(ids)
-        for word, ids in zip(new, self.merges.merge_all(symbols), strict=True):
-            self.of_word[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids)))
+        inner, last, alone, words = self.inner, self.last, self.alone, iter(words)
+        while new := list(islice(words, WORDS)):
+            symbols = []
+            for word in new:
+                raw = word.encode()
+                ids = [inner[b] for b in raw]
+                ids[-1] = last[raw[-1]]
+                symbols.append(ids)
+            for word, ids in zip(new, self.merges.merge_all(symbols), strict=True):
+                self.of_word[word] = tuple(ids) if len(ids) > 1 else alone[ids[0]]
 
     def learn(self, stretches: Iterable[str]) -> None:
         """Takes stretches of normalised text apart into words; letters alone are one word."""
@@ -176,8 +180,7 @@ class WordBpe:
             if len(words) == 1:
                 self.memo[stretch] = of_word[words[0]]
             else:
-                found = [of_word[w] for w in words]
-                self.memo[stretch] = (sum(map(_COUNT, found)), " ".join(map(_IDS, found)), " ".join(map(_TOKENS, found)))
+                self.memo[stretch] = tuple(chain.from_iterable([of_word[w] for w in words]))
 
     def split(self, text: str) -> list[str]:
         """The stretches of a text in normal form and lower case.
@@ -199,14 +202,14 @@ class WordBpe:
             parts, at = [], 0
             for m in self.special.finditer(text) if "<|" in text else ():
                 parts += self.split(text[at : m.start()])
-                parts.append((1, str(self.added[m[0]]), m[0]))
+                parts.append((self.added[m[0]],))
                 at = m.end()
             split.append(parts + self.split(text[at:]) if at else self.split(text))
         self.learn(self.memo.missing({x for parts in split for x in parts if type(x) is str}))
-        memo = self.memo
+        memo, digits, token = self.memo, self.digits.__getitem__, self.token.__getitem__
         for parts in split:
-            found = [memo[p] if type(p) is str else p for p in parts]
-            yield sum(map(_COUNT, found)), " ".join(filter(None, map(_IDS, found))), " ".join(filter(None, map(_TOKENS, found)))
+            ids = list(chain.from_iterable([memo[p] if type(p) is str else p for p in parts]))
+            yield len(ids), " ".join(map(digits, ids)), " ".join(map(token, ids))
 
 
 def composed(text: str) -> str:
@@ -231,7 +234,7 @@ def encode_documents(docs: DataFrame, config: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(shared.value)
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", BATCH):
             gc.disable()  # nothing here makes cycles, and collections would walk through all that is remembered
             try:
                 n, ids, decoded = zip(*bpe.encode(texts_of(batch, "text")), strict=True)
