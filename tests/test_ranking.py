@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tidelog.operators import ranking
-from tidelog.operators.retrieval import terms
+from tidelog.operators.retrieval import terms, tfidf
 
 DOCS = [
     (1, "Failed login for admin from 10.0.0.9", "s1", "sshd"),
@@ -87,3 +87,24 @@ def test_morphology_is_found_by_grams(spark):
 def test_nothing_to_rank(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert ranking.hybrid(df, "failed login", "id", "text").count() == 0
+
+
+def test_tfidf_reads_texts_no_more_than_it_must_and_joins_rows_of_one_id(spark, tmp_path):
+    docs = [(1, "apache license apache"), (1, "version two"), (2, "the License, version 2"), (None, "apache version"), (None, "the apache"), (3, "nothing the nothing"), (4, None), (5, "a b c")]
+    spark.createDataFrame(docs, "id long, text string").write.parquet(str(tmp_path / "docs"))
+    out = tfidf(spark.read.parquet(str(tmp_path / "docs")), "apache license", "id", "text")
+    assert not any("/docs/" in f for f in out.inputFiles())
+    counts = {}
+    for k, text in docs:
+        words = re.findall("[a-z0-9]{2,}", (text or "").lower())
+        counts.setdefault(k, Counter()).update([*words, *map(" ".join, zip(words, words[1:]))])
+    df = Counter(t for c in counts.values() for t in c)
+    idf = {t: math.log((1 + len(docs)) / (1 + n)) + 1 for t, n in df.items()}
+    q = {t: idf[t] for t in ("apache", "license", "apache license") if t in idf}
+    want = {}
+    for k, c in counts.items():
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
+        if any(t in w for t in q):
+            want[k] = sum(w.get(t, 0) * x for t, x in q.items()) / math.sqrt(sum(x * x for x in w.values()) * sum(x * x for x in q.values()))
+    got = {r.id: r.score for r in out.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
