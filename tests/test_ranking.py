@@ -108,3 +108,15 @@ def test_tfidf_reads_texts_no_more_than_it_must_and_joins_rows_of_one_id(spark,
             want[k] = sum(w.get(t, 0) * x for t, x in q.items()) / math.sqrt(sum(x * x for x in w.values()) * sum(x * x for x in q.values()))
     got = {r.id: r.score for r in out.collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_tasks_of_the_index_follow_the_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"login {k} from 10.0.0.{k % 9}") for k in range(200)], "id long, text string")
+    seen = []
+    for texts, frequent in ((1000, 100), (5, 2), (5, 1000)):
+        monkeypatch.setattr(ranking, "TEXTS", texts)
+        monkeypatch.setattr(ranking, "FREQUENT", frequent)
+        index = ranking.build(df, "id", "text")
+        seen.append((len(index.postings.inputFiles()), {r.id: (round(r.words, 9), round(r.grams, 9)) for r in index.rows.collect()}))
+    assert seen[0][1] == seen[1][1] == seen[2][1] and len(seen[0][1]) == 200
+    assert seen[1][0] > 4 * seen[0][0]
