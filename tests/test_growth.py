@@ -63,3 +63,12 @@ def test_equal_groups_meet_the_least_of_them_only(spark):
     rows = [(g, "f", v) for g, vs in held.items() for v in vs]
     got = correlation.set_overlap(spark.createDataFrame(rows, "group long, field string, value string"), {"f": 2}).collect()
     assert sorted(map(tuple, got)) == [(1, 2, 2, 4), (1, 3, 2, 4), (1, 4, 1, 2), (1, 6, 2, 4), (5, 7, 1, 2)]
+
+
+def test_case_similarity_lists_pairs_of_equal_groups(spark, tmp_path):
+    """Users 1 and 2 are equal, and each of them has its pair with user 3."""
+    rows = [(k, f"2024-01-0{day} 10:00:00", user, props) for k, (user, day, props) in enumerate([(1, 1, "p"), (1, 2, "q"), (2, 1, "p"), (2, 2, "q"), (3, 1, "q"), (4, 5, "r")])]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["case_similarity"](spark, str(tmp_path)).collect()
+    assert sorted((r.a, r.b, r.n_shared, r.score) for r in got) == [(1, 2, 4, 10), (1, 3, 2, 5), (2, 3, 2, 5)]
