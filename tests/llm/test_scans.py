@@ -204,6 +204,43 @@ def test_runs_equal_brute_force():
         assert {r[3] for r in licenses.runs(words)} == want
 
 
+def test_notices_one_behind_the_other_are_all_counted():
+    """The first of two has lost its beginning, so that its end and the second's beginning hold more of the template than itself."""
+    tried = 0
+    for k, t in enumerate(licenses.ALL):
+        for cut in range(1, len(t.words) if len(t.words) >= 8 else 0):
+            held = set(licenses.pairs_of(t.words[cut:])) & t.pairs
+            if len(held) >= t.need and t.marks <= held:
+                tried += 1
+                found = [r for r in licenses.runs(t.words[cut:] + t.words) if r[3] == k]
+                assert len(found) == 2 and found[0][2] <= len(t.words) - cut <= found[1][1], (k, cut)
+    assert tried > 100
+
+
+def test_runs_apart_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(200):
+        rows = sorted(((rng.randrange(1, 6), a := rng.randrange(20), a + rng.randrange(1, 9)) for _ in range(rng.randrange(9))), key=lambda r: r[2])
+        free = lambda some: all(x[2] <= y[1] for x, y in zip(some, some[1:]))
+        best = max(sum(r[0] ** 2 for r in some) for m in range(1 << len(rows)) if free(some := [r for k, r in enumerate(rows) if m >> k & 1]))
+        got = licenses.apart(rows)
+        assert free(got) and sum(r[0] ** 2 for r in got) == best
+
+
+def test_scattered_words_of_a_notice_are_found(licence_model):
+    """Other words, or another notice, between those of a notice don't hide it, whatever their number."""
+    k, t = next((k, t) for k, t in enumerate(licenses.ALL) if len(t.words) > 25)
+    for gap in (60, 600, 6000):
+        words = [*t.words[:9], *["filler"] * gap, *t.words[9:18], *["filler"] * gap, *t.words[18:]]
+        (run,) = (r for r in licenses.scattered(words) if r[3] == k)
+        assert t.need <= run[0] == len(t.pairs & set(licenses.pairs_of(words[run[1] : run[2]]))) and run[2] - run[1] > 2 * gap
+    assert sum(families_of(licence_model, " ".join(words))[1:]) + len(families_of(licence_model, " ".join(words))[0]) == 1
+    inner = "Released under the MIT License"
+    good, rest = families_of(licence_model, f"{' '.join(t.words[:9])} {'filler ' * 60} {inner} {'filler ' * 60} {' '.join(t.words[9:])}")
+    assert "mit" in good and len(good) + rest == 2
+    assert families_of(licence_model, "Licensed filler filler the MIT " + "filler " * 90 + "License") == ([], 0)
+
+
 def test_every_run_has_an_anchor():
     words = set(licenses.anchors())
     for t in licenses.ALL:
