@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -48,6 +49,38 @@ def test_removed_bytes_equal_brute_force(spark, seed):
     assert sorted((str(r.doc_id), *r[1:]) for r in got.collect()) == brute(rows)
 
 
+def test_packs_and_buckets_follow_the_bytes(spark, monkeypatch):
+    """However many shuffle partitions there are, none holds more than a bound; results are the same."""
+    assert exact_spans.dealt(0, 4) == (8, 4) and exact_spans.dealt(1 << 20, 4) == (8, 4)
+    for size in (1 << 30, 6 << 30):
+        packs, buckets = exact_spans.dealt(size, 4)
+        assert size / packs <= 8 << 20 and size / buckets <= 12 << 20
+    monkeypatch.setattr(exact_spans, "PACK_BYTES", 500)
+    monkeypatch.setattr(exact_spans, "BUCKET_BYTES", 700)
+    rows = corpus(1)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, blob string, pack int")
+    got = exact_spans.remove_repeats(docs)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    packs = exact_spans.dealt(sum(len((r[1] or "").encode()) for r in rows), 4)[0]
+    assert packs > 8 and f"{packs} as bigint" in plan
+    assert sorted((str(r.doc_id), *r[1:]) for r in got.collect()) == brute(rows)
+
+
+def test_a_bucket_is_sorted_in_parts(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(100)] * 2
+    pack = exact_spans.Pack(pa.table({"id": pa.array(range(200), pa.int64()), "tag": pa.array(range(200), pa.int64()), "text": texts}), 1)
+    flags = exact_spans._flags(exact_spans._rows(0, [*pack.anchors()]))
+    pack.chosen(dict(zip(flags.column("bucket").to_pylist(), flags.column("blob").to_pylist(), strict=True)))
+    sorted_at_once, real = [], exact_spans.smallest
+    monkeypatch.setattr(exact_spans, "smallest", lambda lengths, least, text: sorted_at_once.append(len(text)) or real(lengths, least, text))
+    answers = exact_spans._answers(exact_spans._rows(0, [*pack.requests()]))
+    assert len(sorted_at_once) > 8 and max(sorted_at_once) < sum(sorted_at_once) / 4
+    gone = pack.removed(dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True)))
+    assert gone.sum() == len(gone) // 2 and gone[len(gone) // 2 :].all()
+
+
 def test_long_documents_come_in_parts(spark, monkeypatch):
     """As texts do that are too long for 28-bit positions; worked out in the test's own process."""
     rng = np.random.default_rng(1)

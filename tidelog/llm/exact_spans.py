@@ -28,8 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, GRAM = 50, 16
-#: Packs and buckets for each shuffle partition. A pack writes to every bucket, so messages number their product, or that of the anchors if there are fewer.
-PACKS, BUCKETS = 2, 1
+#: Packs and buckets for each shuffle partition at least, and bytes of text for each at most: one task holds one of them at a time, and needs some 20 times a pack's bytes. A pack writes
+#: to every bucket, so messages number their product, or that of the anchors if there are fewer.
+PACKS, BUCKETS, PACK_BYTES, BUCKET_BYTES = 2, 1, 8 << 20, 12 << 20
+#: Parts of a bucket by anchor. Each is sorted alone, which takes some 40 times its bytes; the segments of repeated texts are about three times as long as those.
+CELLS = 16
 _SLICE, _LONGEST = 1 << 19, 1 << 27
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 over the golden ratio, made odd
 _WORDS = -(-LENGTH // 8)
@@ -129,7 +132,8 @@ class Pack:
         self.hash, self.first, self.last, self.doc = h[known], first[known], last[known], doc[known]
         self.buckets = buckets
         self.distinct, self.which = np.unique(self.hash, return_inverse=True)
-        self.bucket = (self.distinct >> np.uint64(20)) % np.uint64(buckets)
+        self.cell = (self.distinct >> np.uint64(20)) % np.uint64(buckets * CELLS)
+        self.bucket = self.cell // np.uint64(CELLS)
 
     def anchors(self) -> Iterator[tuple[int, bytes]]:
         """For each bucket the anchors' hashes in order, and whether two documents of the pack have them."""
@@ -149,29 +153,29 @@ class Pack:
             own = np.flatnonzero(self.bucket == b)
             keep[own] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), count=len(own)).astype(bool)
         at = np.flatnonzero(keep[self.which])
-        at = at[np.argsort(self.bucket[self.which[at]], kind="stable")]
-        self.at, self.of = at, self.bucket[self.which[at]].astype(np.int64)
+        at = at[np.argsort(self.cell[self.which[at]], kind="stable")]
+        self.at, self.of = at, self.cell[self.which[at]].astype(np.int64)
         raw = self.text.tobytes()
         names: dict[bytes, int] = {}
         cut = [raw[a:b] for a, b in zip(self.first[at].tolist(), (self.last[at] + LENGTH).tolist(), strict=True)]
         self.number = np.fromiter((names.setdefault(x, len(names)) for x in cut), np.int64, len(cut))
-        self.names = [*names]  # equal segments have equal anchors, so numbers ascend with the buckets
+        self.names = [*names]  # equal segments have equal anchors, so numbers ascend with the cells, and so with the buckets
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
-        """For each bucket the lengths, smallest documents and text of its distinct segments."""
+        """For each bucket the number in each cell, and the lengths, smallest documents and text of its distinct segments."""
         least = np.full(len(self.names), np.iinfo(np.int64).max)
         np.minimum.at(least, self.number, self.ids[self.doc[self.at]])
         home = np.empty(len(self.names), np.int64)
         home[self.number] = self.of
-        for b, a, z in runs(home):
-            yield b, pack_blob(np.array([len(x) for x in self.names[a:z]], np.uint8), least[a:z], np.frombuffer(b"".join(self.names[a:z]), np.uint8))
+        for b, a, z in runs(home // CELLS):
+            yield b, pack_blob(np.bincount(home[a:z] % CELLS, minlength=CELLS).astype(np.uint32), np.array([len(x) for x in self.names[a:z]], np.uint8), least[a:z], np.frombuffer(b"".join(self.names[a:z]), np.uint8))
 
     def removed(self, answers: dict[int, bytes]) -> np.ndarray:
         """Which bytes of the pack's text go."""
         home = np.empty(len(self.names), np.int64)
         home[self.number] = self.of
         counts, lengths, least = [np.empty(0, np.uint8)], [np.empty(0, np.uint8)], [np.empty(0, np.int64)]
-        for b, _, _ in runs(home):
+        for b, _, _ in runs(home // CELLS):
             for into, x in zip((counts, lengths, least), open_blob(answers[b], np.uint8, np.uint8, np.int64), strict=True):
                 into.append(x)
         counts, lengths, least = np.concatenate(counts).astype(np.int64), np.concatenate(lengths).astype(np.int64), np.concatenate(least)
@@ -296,25 +300,33 @@ def _flags(table: pa.Table) -> pa.Table:
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """A bucket's answer to the packs: the smallest document of each passage of their segments."""
+    """A bucket's answer to the packs: the smallest document of each passage of their segments. One cell after the other is sorted."""
     rows = table.sort_by("pack")
-    names: dict[bytes, int] = {}
-    numbers, least = [], []
+    sent = []
     for blob in rows.column("blob").to_pylist():
-        lengths, low, text = open_blob(blob, np.uint8, np.int64, np.uint8)
-        raw, ends = text.tobytes(), np.cumsum(lengths.astype(np.int64))
-        cut = [raw[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-        numbers.append(np.fromiter((names.setdefault(x, len(names)) for x in cut), np.int64, len(cut)))
-        least.append(low)
-    low = np.full(len(names), np.iinfo(np.int64).max)
-    np.minimum.at(low, np.concatenate(numbers), np.concatenate(least))
-    counts, lengths, values = smallest(np.array([len(x) for x in names], np.int64), low, np.frombuffer(b"".join(names), np.uint8))
-    heads = np.cumsum(counts) - counts
-    answers = []
-    for own in numbers:
-        n = counts[own]
-        run = np.repeat(heads[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        answers.append(pack_blob(n.astype(np.uint8), lengths[run].astype(np.uint8), values[run]))
+        cells, lengths, low, text = open_blob(blob, np.uint32, np.uint8, np.int64, np.uint8)
+        sent.append((np.append(0, np.cumsum(cells.astype(np.int64))), np.append(0, np.cumsum(lengths.astype(np.int64))), low, text))
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in sent]
+    for c in range(CELLS):
+        names: dict[bytes, int] = {}
+        numbers, least = [], []
+        for cells, ends, low, text in sent:
+            ends = ends[cells[c] : cells[c + 1] + 1]
+            raw, ends = text[ends[0] : ends[-1]].tobytes(), (ends - ends[0]).tolist()
+            cut = [raw[a:b] for a, b in zip(ends, ends[1:])]
+            numbers.append(np.fromiter((names.setdefault(x, len(names)) for x in cut), np.int64, len(cut)))
+            least.append(low[cells[c] : cells[c + 1]])
+        if not names:
+            continue
+        low = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(low, np.concatenate(numbers), np.concatenate(least))
+        counts, lengths, values = smallest(np.array([len(x) for x in names], np.int64), low, np.frombuffer(b"".join(names), np.uint8))
+        heads = np.cumsum(counts) - counts
+        for parts, own in zip(found, numbers, strict=True):
+            n = counts[own]
+            run = np.repeat(heads[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            parts.append((n.astype(np.uint8), lengths[run].astype(np.uint8), values[run]))
+    answers = [pack_blob(*map(np.concatenate, zip(*parts, strict=True))) for parts in found]
     return pa.table({"pack": rows.column("pack"), "bucket": rows.column("bucket"), "blob": pa.array(answers, pa.binary())})
 
 
@@ -323,6 +335,11 @@ def _mail(table: pa.Table, kind: int) -> dict[int, bytes]:
     return dict(zip(own.column("bucket").to_pylist(), own.column("blob").to_pylist(), strict=True))
 
 
+def dealt(n_bytes: int, partitions: int) -> tuple[int, int]:
+    """Packs and buckets for so many bytes of text: they follow the text, so what one of them holds doesn't."""
+    return max(PACKS * partitions, -(-n_bytes // PACK_BYTES)), max(BUCKETS * partitions, -(-n_bytes // BUCKET_BYTES))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row for each row of ``docs``: the id, ``n_bytes`` of the text in UTF-8, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``
     of the bytes that are left and, if asked for, ``kept`` (binary).
@@ -332,7 +349,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packs, n = PACKS * partitions, BUCKETS * partitions
+    packs, n = dealt(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0, partitions)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     packed = source.select(F.pmod(F.xxhash64("id", "tag"), F.lit(packs)).cast("int").alias("pack"), "id", "tag", "text")
 
