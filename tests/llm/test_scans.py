@@ -335,3 +335,20 @@ def test_audit_of_sparse_negative_and_huge_ids(spark):
     recs = warc.records(spark.createDataFrame([(i, "u", f"page {i}") for i in ids], kind))
     replica = warc.records(spark.createDataFrame([(i, "u", f"page {i}" + "!" * (i in hurt)) for i in ids if i != lost], kind))
     assert sorted(r.id for r in warc.audit(recs, replica).collect()) == sorted(hurt | {lost})
+
+
+@pytest.mark.parametrize("reworded", [False, True])
+def test_copies_of_an_item_are_compared_once(spark, reworded, monkeypatch):
+    text, other = "the train leaves the old station at noon and arrives in the city by night", "seven small boats cross the wide lake before the storm comes over the hills"
+    rows = [(4, text), (2, text), (9, text), (2, text), (5, other), (5, text), (6, text), (6, other), (7, None), (None, text), (8, "")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    assert {r.item: r["class"] for r in decontamination.alike(bench, "item_id", "text").collect()} == {2: 2, 4: 2, 9: 2, 5: 5, 6: 5, 7: 7, 8: 7}
+    compared, real = [], decontamination.windows
+    monkeypatch.setattr(decontamination, "windows", lambda rows, n: compared.append(sorted(r.item for r in rows.select("item").distinct().collect()) if "item" in rows.columns else None) or real(rows, n))
+    docs = spark.createDataFrame([(1, f"He said {text} again."), (2, "nothing of the kind"), (3, None), (4, f"{text}. {other}")], "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontamination.decontaminate(docs, bench, reworded=reworded).collect()}
+    assert got == {1: [2, 4, 5, 6, 9], 2: [], 3: [], 4: [2, 4, 5, 6, 9]}
+    assert compared[0] == [2, 5, 7]
+    for most in (7, 3, 0):  # the lists of items, the documents and the windows are too many to be broadcast
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", most)
+        assert {r.doc_id: r["items"] for r in decontamination.decontaminate(docs, bench, reworded=reworded).collect()} == got
