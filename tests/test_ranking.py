@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidelog.operators import ranking
@@ -120,3 +121,22 @@ def test_tasks_of_the_index_follow_the_texts(spark, monkeypatch):
         seen.append((len(index.postings.inputFiles()), {r.id: (round(r.words, 9), round(r.grams, 9)) for r in index.rows.collect()}))
     assert seen[0][1] == seen[1][1] == seen[2][1] and len(seen[0][1]) == 200
     assert seen[1][0] > 4 * seen[0][0]
+
+
+def test_postings_equal_those_of_columns(spark, monkeypatch):
+    """Texts are taken apart in batches, each distinct word once: the same grams, hashes and counts as by columns, with repeats, blanks and letters beyond ASCII."""
+    monkeypatch.setattr(ranking, "CHARACTERS", 60)
+    texts = ["user 42 by user 42", "", None, "  a\tb  A ", "Ünïcode/é 😀😀 x.y-z", "aaaa aaaa aaaa", "10.0.0.1 from 10.0.0.1", "\n", "word " * 40, "é"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    want = Counter()
+    for r in df.select("id", ranking.phrases(F.col("text")).alias("p"), F.flatten(F.transform(ranking.between_blanks(F.col("text")), ranking.grams)).alias("g")).collect():
+        want.update([(r.id, False, g) for g in r.p] + [(r.id, True, g) for g in r.g])
+    postings = ranking.build(df, "id", "text").postings
+    rows = ranking.texts_of(postings, "gram", "g").collect()
+    assert len(rows) == len(want) and {(r.id, r.gram, r.g): round(r.tf, 9) for r in rows} == {k: round(1 + math.log(n), 9) for k, n in want.items()}
+    assert ranking.build(df.limit(0), "id", "text").postings.count() == 0
+    split = [pa.RecordBatch.from_pydict({"id": [1, 2], "words": [["a", "a"]] * 2, "parts": [["a", "a"]] * 2})]
+    hashed, real = [], ranking._hashes
+    monkeypatch.setattr(ranking, "CHARACTERS", 1 << 20)
+    monkeypatch.setattr(ranking, "_hashes", lambda xs: hashed.append(list(xs)) or real(xs))
+    assert sum(b.num_rows for b in ranking.counted(iter(split))) == 3 and hashed == [["a"], ["a a"], [" a "]]
